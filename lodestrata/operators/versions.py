@@ -46,7 +46,8 @@ def version_history(
     marked = single.withColumns({"previous": F.lag("state").over(within)})
     marked = marked.withColumns({"leads": F.col("previous").isNull(), "turns": F.coalesce(F.col("state") != F.col("previous"), F.lit(False))})
     # Whether the first row of a bucket opens a version, the bucket before decides.
-    after = within.rowsBetween(1, Window.unboundedFollowing)
+    # A frame that ends at the last row costs the square of the rows; the same frame backwards doesn't.
+    after = Window.partitionBy("entity", "bucket").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     rows = marked.withColumns(
         {
             "inner_no": F.sum(F.col("turns").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)),
@@ -76,7 +77,7 @@ def version_history(
         "opened",
         F.sum("starts").over(whole).alias("n_versions"),
         F.coalesce(F.sum("starts").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"),
-        F.min("first_start").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("next_start"),
+        F.min("first_start").over(whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("next_start"),
         F.max("last_row").over(whole)["removed"].alias("end"),
     )
     versions = rows.join(buckets, ["entity", "bucket"]).filter(F.col("turns") | F.col("opened"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations
+from lodestrata.llm import conversations, lookalikes
 from lodestrata.session import table
 
 
@@ -16,6 +16,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(chats, lines)
 
 
-QUERIES = {"p1_found": p1_found}
+def _p3_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "sources").select(F.lit("title").alias("field_name"), F.col("id").alias("record_key"), F.col("title").alias("raw"))
+    passages = table(spark, sf_dir, "chunks").select(F.lit("content").alias("field_name"), F.col("id").alias("record_key"), F.col("content").alias("raw"))
+    return titles.unionByName(passages)
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every title and passage."""
+    return lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw"], "raw").select("field_name", "record_key", "form")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose strings differ but read the same."""
+    return lookalikes.alike_pairs(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw"], "raw"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms}
 
 ORACLE_SQL: dict[str, str] = {}

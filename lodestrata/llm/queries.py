@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations, lookalikes
+from lodestrata.llm import conversations, formatdups, lookalikes
 from lodestrata.session import table
 
 
@@ -32,6 +32,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike_pairs(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw"], "raw"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms}
+def _p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatdups.collapse(table(spark, sf_dir, "objects").select("hash", "content"), "hash", "content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other members of every group of bodies that differ only in formatting."""
+    return _p4_groups(spark, sf_dir).filter("hash != rep_hash").select("rep_hash", "hash")
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per group of bodies with its number of copies and of stored rows."""
+    return formatdups.copies(_p4_groups(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_copies": p4_copies}
 
 ORACLE_SQL: dict[str, str] = {}

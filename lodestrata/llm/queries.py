@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations, formatdups, lookalikes
+from lodestrata.llm import conversations, formatdups, lookalikes, textstats
 from lodestrata.session import table
 
 
@@ -46,6 +46,26 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdups.copies(_p4_groups(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_copies": p4_copies}
+def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality figures of every document."""
+    # A fixed table of under 200 rows.
+    words = [r.word for r in table(spark, sf_dir, "common_words").select("word").distinct().collect() if r.word]
+    return textstats.document_figures(table(spark, sf_dir, "documents"), words)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return p9_figures(spark, sf_dir).filter("text_kind != 'prose'").select("doc_id", "text_kind").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_forms": p3_forms,
+    "p4_found": p4_found,
+    "p4_copies": p4_copies,
+    "p9_found": p9_found,
+    "p9_figures": p9_figures,
+}
 
 ORACLE_SQL: dict[str, str] = {}

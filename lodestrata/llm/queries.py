@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations, formatdups, lookalikes, textstats
+from lodestrata.llm import conversations, formatdups, leakage, lookalikes, textstats
 from lodestrata.session import table
 
 
@@ -46,6 +46,12 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdups.copies(_p4_groups(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item in one stretch."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return leakage.leaks(table(spark, sf_dir, "documents"), items).select("doc_id", "item_id").distinct()
+
+
 def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality figures of every document."""
     # A fixed table of under 200 rows.
@@ -64,6 +70,7 @@ QUERIES = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_figures": p9_figures,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations, formatdups, leakage, lookalikes, textstats
+from lodestrata.llm import conversations, formatdups, leakage, lookalikes, packing, textstats
 from lodestrata.session import table
 
 
@@ -46,6 +46,16 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdups.copies(_p4_groups(spark, sf_dir))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of one, for every size of container."""
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "packing_sizes"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.usage(p7_containers(spark, sf_dir), table(spark, sf_dir, "packing_sizes"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of an evaluation item in one stretch."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "text")
@@ -70,6 +80,8 @@ QUERIES = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p7_containers": p7_containers,
+    "p7_usage": p7_usage,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_figures": p9_figures,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import conversations, formatdups, leakage, lookalikes, packing, textstats
+from lodestrata.llm import boilerplate, conversations, formatdups, leakage, lookalikes, packing, textstats
 from lodestrata.session import table
 
 
@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(chats, lines)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of web pages that are not main body."""
+    return boilerplate.site_lines(table(spark, sf_dir, "web_pages").select("page_id", "url", "site", "title", "content", "fetched_at"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every web page under its title."""
+    return boilerplate.main_bodies(table(spark, sf_dir, "web_pages").select("page_id", "url", "site", "title", "content", "fetched_at"))
+
+
 def _p3_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "sources").select(F.lit("title").alias("field_name"), F.col("id").alias("record_key"), F.col("title").alias("raw"))
     passages = table(spark, sf_dir, "chunks").select(F.lit("content").alias("field_name"), F.col("id").alias("record_key"), F.col("content").alias("raw"))
@@ -76,6 +86,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p4_found": p4_found,

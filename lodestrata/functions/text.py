@@ -84,10 +84,10 @@ def meaningful_terms(query: str) -> list[str]:
     return [t for t in query_tokens(rest) if t not in STOP_WORDS]
 
 
-def excerpt(content: Column, content_folded: Column, query: str, terms: list[str], before: int = 90, width: int = 320) -> Column:
-    """The stretch of ``content`` around the query, else around its first term, else from the start."""
-    exact = F.instr(content_folded, fold_query(query))
-    places = F.filter(F.array(*[F.instr(content_folded, t) for t in terms]) if terms else F.array().cast("array<int>"), lambda p: p > 0)
+def excerpt_of(content: Column, content_folded: Column, query: Column, terms: Column, before: int = 90, width: int = 320) -> Column:
+    """The stretch of ``content`` around the (folded) query, else around its first term, else from the start."""
+    exact = F.instr(content_folded, query)
+    places = F.filter(F.transform(terms, lambda t: F.instr(content_folded, t)), lambda p: p > 0)
     anchor = F.when(exact > 0, exact).otherwise(F.coalesce(F.array_min(places), F.lit(1)))
     start = F.greatest(anchor - before, F.lit(1))
     piece = F.trim(F.substring(content, start, F.lit(width)))

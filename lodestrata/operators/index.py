@@ -33,20 +33,21 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
     return lengths(index).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(index: DataFrame, terms: list[str], corpus: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, bm25), the higher the better, for passages with any of the terms.
+def bm25(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_no, chunk_id, bm25), the higher the better, for passages with any of a query's terms.
 
-    Terms in at least half of all passages keep a weight of one millionth.  The
-    terms of one query are few, so their postings are found by an equality
-    filter, and only these postings' passages are measured.
+    ``terms`` (query_no, token) is small, as a few typed queries are.  Terms in
+    at least half of all passages keep a weight of one millionth.  Document
+    frequencies and lengths come from the whole index.
     """
-    hits = index.filter(F.col("token").isin(terms))
+    hits = index.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
     sizes = lengths(index)
-    corpus = corpus if corpus is not None else sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     frequency = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = hits.join(F.broadcast(frequency), "token").join(sizes, "chunk_id").join(F.broadcast(corpus))
+    # One row per term, and one row of totals.
+    weighted = hits.join(F.broadcast(terms.join(frequency, "token")), "token").join(sizes, "chunk_id").join(F.broadcast(corpus))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(1e-6))
     f = HEADING_WEIGHT * F.col("in_heading").cast("int") + BODY_WEIGHT * F.col("in_body").cast("int")
     part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.groupBy("chunk_id").agg(F.sum(part).alias("bm25"))
+    return weighted.groupBy("query_no", "chunk_id").agg(F.sum(part).alias("bm25"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata import schema
@@ -22,6 +22,9 @@ RRF_K, FIRST_QUERY, LEXICAL_SHARE = 60, 1.25, 10_000.0
 HIT = ["source_id", "chunk_id", "title", "origin", "object_hash", "start_line", "end_line", "heading_path", "coverage", "exact", "score", "purpose", "authorship", "occurred_at", "subject", "content_scope"]
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def clamp(limit: int) -> int:
     return max(1, min(MAX_HITS, int(limit)))
 
@@ -45,89 +48,99 @@ def passages_of(tables: Tables, purpose: str | None = None) -> DataFrame:
     return chunks.join(sources, "object_hash").withColumn("occurred_at", F.coalesce("chunk_date", "source_date"))
 
 
-def candidates(tables: Tables, query: str, purpose: str | None = None) -> DataFrame:
-    """Passages by three routes, each with its rank.
+def query_table(spark: SparkSession, queries: list[str]) -> DataFrame:
+    """(query_no, query, terms) of the cleaned queries that have a term of meaning; at most MAX_QUERIES rows."""
+    rows = [(n, q, text.meaningful_terms(q)) for n, q in enumerate(queries)]
+    return spark.createDataFrame([r for r in rows if r[2]], "query_no int, query string, terms array<string>")
+
+
+def candidates(tables: Tables, queries: list[str], purpose: str | None = None) -> DataFrame:
+    """Passages for every query by three routes, with ``query_no``, ``route`` and ``bm25``.
 
     Full text gives the best by BM25; a passage that holds the whole query, or
-    whose title does, replaces its full-text row and has no BM25 then.
+    whose title does, replaces its full-text row and has no BM25 then.  All
+    queries share one scan of the postings and one of the passages.
     """
-    terms = text.meaningful_terms(query)
+    spark = tables.sources.sparkSession
     everything = passages_of(tables, purpose)
-    literal = text.fold_query(query)
-    order = [F.col("source_id"), F.col("ordinal")]
-    routes = []
-    if not (len(terms) == 1 and len(terms[0]) == 1):
-        ranked = inverted.bm25(tables.postings, terms)
-        routes.append(everything.join(ranked, "chunk_id").orderBy(F.desc("bm25"), *order).limit(FULL_TEXT).withColumn("route", F.lit(0)))
-    needle = literal.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    inside = everything.filter(text.ascii_lower(F.col("content")).contains(needle))
-    titled = everything.filter((F.col("ordinal") == 0) & text.ascii_lower(F.col("title")).contains(needle))
-    for number, route in ((1, inside), (2, titled)):
-        routes.append(route.orderBy(*order).limit(SUBSTRING).withColumns({"bm25": F.lit(0.0), "route": F.lit(number)}))
-    union = routes[0]
-    for route in routes[1:]:
-        union = union.unionByName(route)
-    last = Window.partitionBy("source_id", "chunk_id").orderBy(F.desc("route"))
-    return union.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-
-
-def _among(terms: list[str], tokens: Column) -> Column:
-    """The terms that a passage's tokens hold."""
-    return F.array_intersect(F.array(*[F.lit(t) for t in terms]), tokens)
-
-
-def score(rows: DataFrame, query: str) -> DataFrame:
-    """Adds exact, coverage and score to candidates, and drops those that match too little.
+    asked = [(n, q, text.meaningful_terms(q)) for n, q in enumerate(queries)]
+    asked = [x for x in asked if x[2]]
+    order = [F.asc("source_id"), F.asc("ordinal")]
+    # A lone character is looked for literally only.
+    indexed = [(n, t) for n, _, terms in asked if not (len(terms) == 1 and len(terms[0]) == 1) for t in terms]
+    ranked = inverted.bm25(tables.postings, spark.createDataFrame(indexed, "query_no int, token string"))
+    full_text = everything.join(ranked, "chunk_id").withColumn("route", F.lit(0))
+    best = Window.partitionBy("query_no").orderBy(F.desc("bm25"), *order)
+    full_text = full_text.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= FULL_TEXT).drop("_n")
+
+    needles = F.array(*[F.struct(F.lit(n).alias("query_no"), F.lit(q.translate(_LOWER)).alias("needle")) for n, q, _ in asked])
+    inside = lambda column, route: F.transform(
+        F.filter(needles, lambda x: column.contains(x["needle"])), lambda x: F.struct(x["query_no"].alias("query_no"), F.lit(route).alias("route"))
+    )
+    none = F.array().cast("array<struct<query_no:int,route:int>>")
+    found = F.concat(inside(text.ascii_lower(F.col("content")), 1), F.when(F.col("ordinal") == 0, inside(text.ascii_lower(F.col("title")), 2)).otherwise(none))
+    literal = everything.select("*", F.inline(found)).withColumn("bm25", F.lit(0.0))
+    first = Window.partitionBy("query_no", "route").orderBy(*order)
+    literal = literal.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SUBSTRING).drop("_n")
+
+    last = Window.partitionBy("query_no", "source_id", "chunk_id").orderBy(F.desc("route"))
+    return full_text.unionByName(literal).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+
+def score(rows: DataFrame, queries: list[str]) -> DataFrame:
+    """Adds query, exact, coverage and score to candidates, and drops those that match too little.
 
     Up to four terms must all match, more by six tenths, unless the query occurs
     literally.  Where two or more ASCII terms only name the title, the other
     terms must be found in heading or body.
     """
-    terms, literal = text.meaningful_terms(query), text.fold_query(query)
-    if not terms:
-        return rows.limit(0).withColumns({"exact": F.lit(False), "coverage": F.lit(0.0), "score": F.lit(0.0)})
+    rows = rows.join(F.broadcast(query_table(rows.sparkSession, queries)), "query_no")
     heading = F.array_join("heading_path", " ")
     rows = rows.withColumns({"_title": text.folded(F.col("title")), "_heading": text.folded(heading), "_body": text.folded(F.col("content"))})
     for name in ("title", "heading", "body"):
-        rows = rows.withColumn(f"_in_{name}", _among(terms, text.index_tokens(F.col(f"_{name}"), compatible=False)))
-    in_content = F.col("_heading").contains(literal) | F.col("_body").contains(literal)
+        rows = rows.withColumn(f"_in_{name}", F.array_intersect("terms", text.index_tokens(F.col(f"_{name}"), compatible=False)))
+    n = F.size("terms")
+    in_content = F.col("_heading").contains(F.col("query")) | F.col("_body").contains(F.col("query"))
     in_text = F.array_union("_in_heading", "_in_body")
-    rest = F.array_except(F.array(*[F.lit(t) for t in terms]), "_in_title")
+    rest = F.array_except("terms", "_in_title")
     named = F.filter("_in_title", lambda t: t.rlike(r"^[a-z0-9][a-z0-9._\-]*$"))
     about = F.size(F.array_intersect(rest, in_text)) / F.size(rest)
     off_subject = (F.size(named) >= 2) & (F.size(rest) > 0) & ~in_content & (about < F.when(F.size(rest) <= 3, 1.0).otherwise(0.6))
-    rows = rows.withColumn("exact", F.col("_title").contains(literal) | in_content)
-    rows = rows.withColumn("coverage", F.when(F.col("exact"), 1.0).otherwise(F.size(F.array_union("_in_title", in_text)) / len(terms)))
-    rows = rows.filter((F.col("exact") | (F.col("coverage") >= (1.0 if len(terms) <= 4 else 0.6))) & ~off_subject)
+    rows = rows.withColumn("exact", F.col("_title").contains(F.col("query")) | in_content)
+    rows = rows.withColumn("coverage", F.when(F.col("exact"), 1.0).otherwise(F.size(F.array_union("_in_title", in_text)) / n))
+    rows = rows.filter((F.col("exact") | (F.col("coverage") >= F.when(n <= 4, 1.0).otherwise(0.6))) & ~off_subject)
     bonus = F.least(F.lit(BM25_MOST), F.log1p(F.greatest(F.lit(0.0), F.col("bm25")) * 1_000_000))
     total = (
         EXACT * F.col("exact").cast("int") + COVERAGE * F.col("coverage") + TITLE * F.size("_in_title") + HEADING * F.size("_in_heading") + BODY * F.size("_in_body") + bonus
     )
-    return rows.withColumn("score", total).drop("_title", "_heading", "_body", "_in_title", "_in_heading", "_in_body")
+    return rows.withColumn("score", total).drop("_title", "_heading", "_in_title", "_in_heading", "_in_body")
 
 
 def by_score() -> list[Column]:
     return [F.desc("score"), F.collate("title", "zh").asc(), F.asc("source_id"), F.asc("ordinal")]
 
 
+def search_each(tables: Tables, queries: list[str], limit: int = 8, purpose: str | None = None) -> DataFrame:
+    """The best passages for every query (query_no, query, rank and the fields of a hit); none for a query without a term of meaning."""
+    asked = [q for q in queries if text.meaningful_terms(q)]
+    rows = passages_of(tables).limit(0).withColumns({"query_no": F.lit(0), "route": F.lit(0), "bm25": F.lit(0.0)})
+    rows = score(candidates(tables, queries, purpose) if asked else rows, queries)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_no").orderBy(*by_score()))).filter(F.col("rank") <= clamp(limit))
+    # Excerpts are cut for the few rows that are left.
+    return rows.select("query_no", "query", "rank", *HIT, text.excerpt_of(F.col("content"), F.col("_body"), F.col("query"), F.col("terms")).alias("excerpt"), "ordinal")
+
+
 def search(tables: Tables, query: str, limit: int = 8, purpose: str | None = None) -> DataFrame:
-    """The best passages for one query; none if it has no term of meaning."""
-    literal = text.fold_query(query)
-    terms = text.meaningful_terms(query)
-    if not terms:
-        return passages_of(tables).limit(0).select(*[F.lit(None).alias(c) if c in ("coverage", "exact", "score") else F.col(c) for c in HIT], F.lit("").alias("excerpt"), "ordinal")
-    rows = score(candidates(tables, literal, purpose), literal)
-    words = text.excerpt(F.col("content"), text.folded(F.col("content")), literal, terms)
-    return rows.orderBy(*by_score()).limit(clamp(limit)).select(*HIT, words.alias("excerpt"), "ordinal")
+    """The best passages for one query, best first."""
+    return search_each(tables, [text.fold_query(query)], limit, purpose).orderBy("rank").drop("query_no", "query", "rank")
 
 
 def fuse(hits: DataFrame) -> DataFrame:
     """One row per passage from the hits of several queries (query_no, query, source_id, chunk_id, score, ...).
 
     Reciprocal rank fusion with a slightly heavier first query; the lexical
-    score only breaks near ties.  Other fields are those of the first query.
+    score only breaks near ties.  Other fields are those of the first query.  ``rank`` counts from 1 within a query.
     """
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_no").orderBy(*by_score())))
     part = F.when(F.col("query_no") == 0, FIRST_QUERY).otherwise(1.0) / (RRF_K + F.col("rank"))
     others = [c for c in hits.columns if c not in ("source_id", "chunk_id", "query_no", "query", "rank", "score", "coverage", "exact")]
     fused = hits.groupBy("source_id", "chunk_id").agg(
@@ -154,14 +167,8 @@ def per_source(fused: DataFrame, most: int) -> DataFrame:
 
 def query(tables: Tables, queries: list[str], limit: int = 8, purpose: str | None = None, max_per_source: int = 2) -> DataFrame:
     """The best passages for up to six queries together."""
-    found = None
-    for number, q in enumerate(clean_queries(queries)):
-        if text.meaningful_terms(q):
-            hits = search(tables, q, PER_QUERY, purpose).withColumns({"query_no": F.lit(number), "query": F.lit(q)})
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return search(tables, "", limit).withColumn("matched_queries", F.array().cast("array<string>"))
-    return per_source(fuse(found), max_per_source).orderBy(*by_fusion()).limit(clamp(limit))
+    hits = search_each(tables, clean_queries(queries), PER_QUERY, purpose)
+    return per_source(fuse(hits), max_per_source).orderBy(*by_fusion()).limit(clamp(limit))
 
 
 @dataclass

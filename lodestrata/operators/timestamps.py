@@ -118,10 +118,14 @@ def normalize_times(df: DataFrame, value: str, default_zone: str, out: str = "no
     ``default_zone`` is the column with the IANA zone of wall-clock times; where
     it is NULL or unknown, they are UTC.  Partial dates keep their precision.
     Null, empty and illegible values give NULL; rows are neither lost nor doubled,
-    other columns stay as they are (names starting with ``_t_`` are reserved).
+    other columns stay as they are, whatever their names (only one named like
+    ``out`` is replaced).
     """
     spark: SparkSession = df.sparkSession
-    clean = F.regexp_replace(F.translate(F.col(value), WIDE, PLAIN), _STRIP, "")
+    kept = [c for c in df.columns if c != out]
+    # The row travels in one column, so no name of its own can clash with those used here.
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_t_row"), F.col(value).alias("_t_value"), F.col(default_zone).alias("_t_default"))
+    clean = F.regexp_replace(F.translate(F.col("_t_value"), WIDE, PLAIN), _STRIP, "")
     epoch = F.col("_t_clean").rlike(_EPOCH)
     fields = F.col("_t_clean")
     for pattern, replacement in _FORMS:
@@ -170,7 +174,7 @@ def normalize_times(df: DataFrame, value: str, default_zone: str, out: str = "no
             "_t_local": local,
             "_t_ms": millis,
             "_t_fixed": (fixed * 60).cast("bigint"),
-            "_t_region": F.when(zone.isNull(), F.coalesce(F.col(default_zone), F.lit("UTC"))).when(zone.contains("/"), zone),
+            "_t_region": F.when(zone.isNull(), F.coalesce(F.col("_t_default"), F.lit("UTC"))).when(zone.contains("/"), zone),
             "_t_named": zone.isNotNull(),
         }
     )
@@ -190,8 +194,7 @@ def normalize_times(df: DataFrame, value: str, default_zone: str, out: str = "no
     fraction = F.rpad(F.substring(F.regexp_extract("_t_clean", r"[.,](\d+)$", 1), 1, 3), 3, "0").try_cast("int")
     stamp = _utc_text(F.when(F.col("_t_clean").rlike(r"^\d{13}$"), seconds).otherwise(seconds * 1000 + fraction))
     result = F.when(F.col("_t_clean").rlike(_EPOCH), stamp).otherwise(F.coalesce("_t_partial", clock))
-    df = df.withColumn(out, result)
-    return df.drop(*[c for c in df.columns if c.startswith("_t_")], "spans")
+    return df.select("_t_row.*", result.alias(out))
 
 
 def with_zone(df: DataFrame, connections: DataFrame) -> DataFrame:

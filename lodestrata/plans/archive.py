@@ -224,7 +224,8 @@ _BM_TERMS = ["长堤", "预算", "archive"]
 @query(f"WITH {_bm25_sql(_BM_TERMS)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, d):
     """BM25 of every passage that holds one of three terms."""
-    return index.bm25(index.postings(_chunks(spark, d)), _BM_TERMS).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    terms = spark.createDataFrame([(0, t) for t in _BM_TERMS], "query_no int, token string")
+    return index.bm25(index.postings(_chunks(spark, d)), terms).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _passages_sql(purpose: str | None) -> str:
@@ -297,7 +298,7 @@ def search_han(spark, d):
 @query(f"WITH {_passages_sql(None)}, {_search_sql(LATIN_QUERY, '0', 30)} SELECT source_id, chunk_id, route, round(bm25, 6) AS bm25 FROM u0")
 def candidate_union(spark, d):
     """The candidates of the three routes, the last route counting."""
-    return search.candidates(archive(spark, d), LATIN_QUERY).select("source_id", "chunk_id", "route", F.round("bm25", 6).alias("bm25"))
+    return search.candidates(archive(spark, d), [LATIN_QUERY]).select("source_id", "chunk_id", "route", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"{_fused_sql(QUERIES_TOGETHER, None, 2, 30)} SELECT source_id, chunk_id, title, matched AS matched_queries, exact, round(coverage, 6) AS coverage, round(score, 8) AS score FROM top")
@@ -344,8 +345,9 @@ p AS (SELECT *, greatest(spot - 90, 1) AS start FROM a)
 SELECT id, CASE WHEN start > 1 THEN '…' ELSE '' END || trim(substring(content, start, 320), ' ') || CASE WHEN start + 319 < length(content) THEN '…' ELSE '' END AS excerpt FROM p""")
 def excerpt(spark, d):
     """The stretch of every passage that speaks for a query."""
-    words = text.excerpt(F.col("content"), text.folded(F.col("content")), LATIN_QUERY, text.meaningful_terms(LATIN_QUERY))
-    return _chunks(spark, d).select("id", words.alias("excerpt"))
+    terms = F.array(*[F.lit(t) for t in text.meaningful_terms(LATIN_QUERY)])
+    rows = _chunks(spark, d).withColumn("folded", text.folded(F.col("content")))
+    return rows.select("id", text.excerpt_of(F.col("content"), F.col("folded"), F.lit(LATIN_QUERY), terms).alias("excerpt"))
 
 
 # --- dates ---

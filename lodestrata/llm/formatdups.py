@@ -25,12 +25,12 @@ _BLOCK = r"^\s*---[ \t]*\r?\n(?s:(.*?))\r?\n[ \t]*---[ \t]*(?:\r?\n|$)"
 
 
 def folded(text: Column) -> Column:
-    """Letters, digits and marks without case (upper case first, since some letters have only a longer upper form)."""
-    return F.lower(F.upper(F.regexp_replace(text, _FORMATTING, "")))
+    """Letters, digits and marks without case; sharp s is the one letter in use whose upper form is longer."""
+    return F.lower(F.upper(F.regexp_replace(F.regexp_replace(text, _FORMATTING, ""), "[ßẞ]", "ss")))
 
 
 def _fold(text: str) -> str:
-    return _FORMATTING_PY.sub("", text).upper().lower()
+    return _FORMATTING_PY.sub("", text).replace("ß", "ss").replace("ẞ", "ss").upper().lower()
 
 
 def _canonical(value) -> str:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage
+
 
 def version_history(
     snapshots: DataFrame,
@@ -32,7 +34,7 @@ def version_history(
     prefix of ``time`` that names a bucket.  Empty input gives no rows.
     """
     # A separator and a mark for null keep (null, 'a') and ('a', null) apart.
-    state = F.sha2(F.concat_ws("\u0002", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in attributes]), 256)
+    state = F.unhex(F.md5(F.concat_ws("\u0002", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in attributes])))
     slim = snapshots.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(
         F.col(entity).alias("entity"),
         F.col(time).alias("at"),
@@ -41,6 +43,8 @@ def version_history(
     # Partial maxima are formed before the shuffle.
     single = slim.groupBy("entity", "at").agg(F.max("row").alias("row"))
     single = single.select("entity", "at", F.substring("at", 1, bucket_chars).alias("bucket"), F.col("row.state").alias("state"), F.col("row.removed").alias("removed"))
+    # Two steps read this, of columns far narrower than the snapshots.
+    single = cut_lineage(single)
 
     within = Window.partitionBy("entity", "bucket").orderBy("at")
     marked = single.withColumns({"previous": F.lag("state").over(within)})

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import cut_lineage
+
 #: Look-alike letters; the string under a script lists its letters in the order of ``LATIN``.
 LATIN = "aeopcyxijshqwdl" + "ABEKMHOPCTXIJSYGQW" + "vpojc" + "ABEZHIKMNOPTYXC" + "o"
 FOREIGN = "аеорсухіјѕһԛԝԁӏ" + "АВЕКМНОРСТХІЈЅҮԌԚԜ" + "νροϳϲ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ" + "օ"
@@ -43,6 +45,11 @@ _INVISIBLE = (
     r"|[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{180B}-\x{180F}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}\x{0001}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{0084}\x{0086}-\x{009F}]"
 )
 
+#: A string without any of these holds nothing invisible.
+_HIDDEN = r"[\p{Cf}\p{Cc}\x{034F}\x{115F}\x{1160}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}&&[^\n]]"
+_SPACES = "\t\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_BREAKS = "\u0085\u2028\u2029"
+
 _TOKEN = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}\p{M}]+"
 _SUSPECT = r"[\p{IsGreek}\p{IsCyrillic}\p{IsArmenian}]"
 
@@ -60,13 +67,16 @@ def _composed(texts: pd.Series) -> pd.Series:
 def visible_form(text: Column) -> Column:
     """The string without what a reader does not see; accents, case, raised digits and punctuation stay."""
     single = [c for c in [*_WIDE, *_ALIKE] if len(_plain(chr(c))) == 1 and _plain(chr(c)) != chr(c)]
-    source = "".join(map(chr, single)) + _HYPHENS
-    target = "".join(_plain(chr(c)) for c in single) + "-" * len(_HYPHENS)
-    form = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(text, _INVISIBLE, ""), source, target)).otherwise(text)
+    source = "".join(map(chr, single)) + _HYPHENS + _SPACES + _BREAKS
+    target = "".join(_plain(chr(c)) for c in single) + "-" * len(_HYPHENS) + " " * len(_SPACES) + "\n" * len(_BREAKS)
+    # Each step runs only on strings that need it.
+    wide = text.rlike(r"[^\x0A\x20-\x7F]")
+    form = F.when(text.rlike(_HIDDEN), F.regexp_replace(text, _INVISIBLE, "")).otherwise(text)
+    form = F.translate(F.when(form.contains("\r"), F.regexp_replace(form, "\r\n?", "\n")).otherwise(form), source, target)
     # Only strings that need it cross over to Python.
-    form = F.coalesce(_composed(F.when(form.rlike(_COMPOSE), form)), form)
-    form = F.regexp_replace(F.regexp_replace(form, r"\r\n?|[\x{0085}\x{2028}\x{2029}]", "\n"), r"[\t\x{000B}\x{000C}\p{Zs}]", " ")
-    return F.regexp_replace(form, r"^[ \n]+|[ \n]+$| +(?=\n)", "")
+    composed = F.coalesce(_composed(F.when(wide & form.rlike(_COMPOSE), form)), form)
+    form = F.btrim(F.when(wide, composed).otherwise(text), F.lit(" \n"))
+    return F.when(form.contains(" \n"), F.regexp_replace(form, r" +(?=\n)", "")).otherwise(form)
 
 
 def _script(char: str) -> str | None:
@@ -111,45 +121,52 @@ def consistent_form(df: DataFrame, key: list[str], text: str, corpus: DataFrame
     ``corpus_text`` holds visible forms.  Null stays null; empty and invisible
     strings become empty; every row of ``df`` stays.
     """
-    base = df.select(*key, visible_form(F.col(text)).alias("form"))
+    # Read three times below; keys and forms are as large as the strings at most.
+    base = cut_lineage(df.select(*key, visible_form(F.col(text)).alias("form")))
     words = (base if corpus is None else corpus).select(F.col("form" if corpus is None else corpus_text).alias("form"))
 
     letters = lambda kind: F.length(F.regexp_replace("form", rf"[^{kind}]", ""))
-    suspects = base.filter(F.col("form").rlike(_SUSPECT)).select("form").distinct()
+    suspect = F.coalesce(F.col("form").rlike(_SUSPECT), F.lit(False))
+    doubted, plain = base.filter(suspect), base.filter(~suspect)
     latin, greek, cyrillic = letters(r"\p{IsLatin}"), letters(r"\p{IsGreek}"), letters(r"\p{IsCyrillic}")
     # A text that is mostly Chinese, or whose foreign letters are all look-alikes, counts as Latin.
     disguised = ~F.translate("form", FOREIGN, "").rlike(_SUSPECT)
     script = F.when(disguised | ((latin >= greek) & (latin >= cyrillic)), "latin").when(cyrillic >= greek, "cyrillic").otherwise("greek")
     # Pieces alternate between tokens and what lies between them.
     cut = F.split(F.regexp_replace("form", f"({_TOKEN})", "\u0001$1\u0001"), "\u0001")
-    pieces = suspects.withColumn("script", script).select("form", "script", F.posexplode(cut).alias("n", "piece"))
-    doubtful = pieces.filter(F.col("piece").rlike(_SUSPECT)).select("piece", "script").distinct()
-    options = doubtful.select("piece", "script", F.posexplode(_repairs("piece", "script")).alias("rank", "option"))
+    pieces = doubted.select("form").distinct().withColumn("script", script).select("form", "script", F.posexplode(cut).alias("n", "piece"))
+    pieces = pieces.withColumn("token", F.when(F.col("piece").rlike(_SUSPECT), F.col("piece")))
+    asked = pieces.filter("token is not null").select("token", "script").distinct()
+    options = asked.select("token", "script", F.posexplode(_repairs("token", "script")).alias("rank", "option"))
 
     tokens = words.select(F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(f"({_TOKEN})"), 1))).alias("option"))
     # Tokens of one script only may vouch for a repair.
     pure = tokens.filter(~F.col("option").rlike(_SUSPECT) | F.col("option").rlike(r"^(?:[\p{IsGreek}\p{M}]+|[\p{IsCyrillic}\p{M}]+|[\p{IsArmenian}\p{M}]+)$"))
     known = options.join(pure.distinct(), "option", "left_semi")
-    chosen = known.groupBy("piece", "script").agg(F.min_by("option", "rank").alias("repair"))
-
-    repaired = pieces.join(chosen, ["piece", "script"], "left").groupBy("form").agg(
-        F.sort_array(F.collect_list(F.struct("n", F.coalesce("repair", "piece").alias("piece")))).alias("pieces"),
-        F.max(F.col("repair").isNotNull()).alias("changed"),
+    chosen = known.groupBy("token", "script").agg(F.min_by("option", "rank").alias("repair"))
+
+    # Only the doubtful tokens of doubtful strings move; the others would share one empty key.
+    fixed = pieces.filter("token is not null").join(chosen, ["token", "script"]).select("form", "n", "repair")
+    fixed = fixed.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("n", "repair"))).alias("repairs"))
+    joined = doubted.join(fixed, "form", "left")
+    repaired = F.when(F.col("repairs").isNull(), F.col("form")).otherwise(
+        F.array_join(F.transform(cut, lambda piece, n: F.coalesce(F.try_element_at("repairs", n), piece)), "")
     )
-    repaired = repaired.filter("changed").select(F.col("form"), F.array_join("pieces.piece", "").alias("repaired"))
-    # Only suspect strings look for a repair.
-    joined = base.withColumn("suspect", F.when(F.col("form").rlike(_SUSPECT), F.col("form"))).join(repaired.withColumnRenamed("form", "suspect"), "suspect", "left")
-    return joined.select(*key, F.coalesce("repaired", "form").alias("form"))
+    return plain.select(*key, "form").unionByName(joined.select(*key, repaired.alias("form")))
+
+
+def string_id(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def alike_pairs(forms: DataFrame) -> DataFrame:
-    """From (field_name, record_key, raw, form): pairs of ids whose strings differ but have one form.
+    """From (field_name, record_key, raw_id, form): pairs of ids whose strings differ but have one form.
 
-    Pairs arise only between different strings of one form, never among the
+    ``raw_id`` identifies the string as it is stored (see ``string_id``).  Pairs arise only between different strings of one form, never among the
     records that share a string.
     """
     marked = forms.filter(F.col("form").isNotNull() & F.col("record_key").isNotNull()).select(
-        "field_name", "record_key", F.unhex(F.md5("form")).alias("form_id"), F.unhex(F.md5("raw")).alias("raw_id")
+        "field_name", "record_key", F.unhex(F.md5("form")).alias("form_id"), "raw_id"
     )
     groups = marked.groupBy("field_name", "form_id").agg(F.min("raw_id").alias("low"), F.max("raw_id").alias("high"))
     several = groups.filter(F.col("low") != F.col("high")).select("field_name", "form_id")

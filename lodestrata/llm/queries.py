@@ -29,17 +29,17 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p3_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "sources").select(F.lit("title").alias("field_name"), F.col("id").alias("record_key"), F.col("title").alias("raw"))
     passages = table(spark, sf_dir, "chunks").select(F.lit("content").alias("field_name"), F.col("id").alias("record_key"), F.col("content").alias("raw"))
-    return titles.unionByName(passages)
+    return titles.unionByName(passages).withColumn("raw_id", lookalikes.string_id(F.col("raw")))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every title and passage."""
-    return lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw"], "raw").select("field_name", "record_key", "form")
+    return lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key"], "raw")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records whose strings differ but read the same."""
-    return lookalikes.alike_pairs(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw"], "raw"))
+    return lookalikes.alike_pairs(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw_id"], "raw"))
 
 
 def _p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

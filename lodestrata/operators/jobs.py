@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,27 @@ def progress(outcomes: DataFrame) -> DataFrame:
         F.count_if(~skipped & ~F.col("source_created")).alias("unchanged"),
         F.count_if(skipped).alias("skipped"),
     )
+
+
+def run(archive, ledger: DataFrame, job: str, connection: str | None, documents: DataFrame, skipped: int = 0, now: datetime | None = None) -> DataFrame:
+    """Imports documents under a job: the ledger goes from pending over running to completed or failed.
+
+    A connection with an open job is not imported twice.  What is imported can
+    be imported again without effect, so a failed job is simply run anew.
+    """
+    now = now or datetime.now(timezone.utc)
+    if connection is not None and not active(ledger, connection).isEmpty():
+        return ledger
+    total = documents.count()
+    base = {"job_id": job, "connection_id": connection, "created_at": now, "total": total + skipped, "skipped": skipped}
+    for n, state in enumerate(("pending", "running")):
+        ledger = append(ledger, base | {"state": state, "completed": 0, "updated_at": now + timedelta(milliseconds=n)})
+    last = {"updated_at": datetime.now(timezone.utc)}
+    try:
+        before = archive.tables().sources.count()
+        archive.add(documents, now)
+        imported = archive.tables().sources.count() - before
+        last |= {"state": "completed", "completed": total + skipped, "imported": imported, "unchanged": total - imported}
+    except Exception as error:  # whatever ends an import is what the ledger is for
+        last |= {"state": "failed", "completed": 0, "error": str(error)[:500]}
+    return append(ledger, base | last)

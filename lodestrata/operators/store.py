@@ -21,6 +21,7 @@ from lodestrata import schema
 from lodestrata.functions import chunking, dates, text
 from lodestrata.operators import index
 
+#: Headings of a kept entry and of its context, which are part of its identity.
 MEMORY_TITLE, CONTEXT_TITLE = "你选择留下的话", "当时的背景（由 Codex 整理）"
 
 
@@ -114,7 +115,8 @@ def version_key() -> Column:
 def import_documents(tables: Tables, documents: DataFrame, now: datetime | None = None) -> Tables:
     """The archive after importing ``documents`` (schema.DOCUMENTS).
 
-    Empty bodies are left out.  A body is stored once, whatever its sources.  A
+    Empty bodies are left out.  Times of publication and change are kept as
+    given; ``timestamps.normalize_times`` brings them to one form.  A body is stored once, whatever its sources.  A
     source known by (kind, origin, body) is revived and keeps what the document
     does not state, its title included; a new body supersedes other versions.
     """
@@ -225,6 +227,12 @@ def overview(sources: DataFrame) -> DataFrame:
     )
 
 
+def card(summary: DataFrame) -> DataFrame:
+    """One line of text for an overview."""
+    period = F.when(F.col("earliest_memory").isNull(), "no dated memories").otherwise(F.format_string("from %s to %s", "earliest_memory", "latest_memory"))
+    return summary.select(F.format_string("%d memories (%d dated, %s), %d references", "memories", "dated_memories", period, "reference_count").alias("card"))
+
+
 def status(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: live sources, their bodies, and the passages of these."""
     current = live(sources)

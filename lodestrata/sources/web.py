@@ -102,6 +102,12 @@ def crawl(seeds: DataFrame, pages: DataFrame, links: DataFrame, max_pages: int =
     return joined.withColumn("skip_code", F.coalesce("skip_code", F.when(total > SITE_BYTES, "TOTAL_TOO_LARGE")))
 
 
+def page_documents(pages: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Documents of pages (page_id, url) and their readable text (html.extract_pages)."""
+    rows = pages.select("page_id", urls.canonical_url(F.col("url")).alias("origin")).distinct().join(extracted, "page_id")
+    return rows.select(F.lit("web").alias("kind"), "origin", F.col("origin").alias("external_id"), "title", "content", "published_at", "modified_at", "author")
+
+
 def wiki_documents(docs: DataFrame) -> DataFrame:
     """Documents of a wiki's rows: the first body that has text, times and author as given."""
     body = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("body_markdown", "body_html", "description")])

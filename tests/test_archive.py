@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import chunking, dates, html, text, urls
-from lodestrata.operators import jobs, search, store
+from lodestrata.operators import connections, jobs, search, store
 from lodestrata.session import cut_lineage
 from lodestrata.sources import readers, web
 
@@ -216,3 +216,30 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/b.md").write_text("# B\n\nmore words")
     ingest.follow(archive, str(tmp_path / "in"), str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r.title for r in archive.tables().sources.collect()) == ["A", "B"]
+
+
+def test_connections(spark):
+    registry = spark.createDataFrame([], connections.SCHEMA)
+    inputs = spark.createDataFrame([("https://GitHub.com/a/b/",), ("https://github.com/a/b",), ("notes",), (" ",), (None,)], "input string")
+    once = cut_lineage(connections.connect(registry, inputs, NOW))
+    assert {r.input: (r.kind, r.purpose, r.content_scope) for r in once.collect()} == {"https://github.com/a/b": ("github", "reference", "sourced"), "notes": ("local", "memory", "personal")}
+    assert connections.connect(once, inputs, NOW).count() == 2
+
+
+def test_job_runs_and_fails(spark, tmp_path):
+    from lodestrata import schema
+
+    archive = store.Archive(spark, str(tmp_path / "space"))
+    ledger = jobs.run(archive, spark.createDataFrame([], schema.JOBS), "j1", "c", documents(spark, [note("a", "x"), note("b", "y")]), skipped=1)
+    row = jobs.latest(ledger).head()
+    assert (row.state, row.total, row.imported, row.unchanged, row.skipped) == ("completed", 3, 2, 0, 1)
+    broken = documents(spark, [note("a", "x")]).withColumn("title", F.raise_error(F.lit("no")).cast("string"))
+    assert {r.job_id: r.state for r in jobs.latest(jobs.run(archive, ledger, "j2", "c", broken)).collect()} == {"j1": "completed", "j2": "failed"}
+
+
+def test_page_documents_and_card(spark):
+    pages = spark.createDataFrame([(1, "https://S.example/a#x", "<title>T</title><body><p>words</p></body>"), (2, "https://s.example/b", None)], "page_id bigint, url string, html string")
+    docs = web.page_documents(pages, html.extract_pages(pages)).orderBy("origin").collect()
+    assert [(d.origin, d.title, d.content) for d in docs] == [("https://s.example/a", "T", "# T\n\nwords"), ("https://s.example/b", html.UNTITLED, f"# {html.UNTITLED}")]
+    tables = added(spark, [note("a", "x", purpose="memory", occurred_at="2024"), note("b", "y")])
+    assert store.card(store.overview(tables.sources)).head().card == "1 memories (1 dated, from 2024 to 2024), 1 references"

@@ -390,8 +390,7 @@ def chat_render(spark, d):
     """Chats as one document each, with their period."""
     lines = table(spark, d, "chat_lines").select("conv_id", "node_id", "role", "text", "created_at").distinct()
     titles = table(spark, d, "chat_conversations").groupBy("conv_id").agg(F.min("title").alias("title"))
-    usable = lines.filter("created_at is null or created_at < 1e11").join(titles, "conv_id")
-    return readers.chat_table(usable).select("conv_id", F.sha2("content", 256).alias("digest"), "occurred_at", "occurred_end")
+    return readers.chat_table(lines.join(titles, "conv_id")).select("conv_id", F.sha2("content", 256).alias("digest"), "occurred_at", "occurred_end")
 
 
 @query("""SELECT page_id, url, lower(regexp_extract(url, '^(https?)', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) AS canonical,

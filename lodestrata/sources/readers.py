@@ -199,7 +199,8 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 def chat_table(conversations: DataFrame) -> DataFrame:
     """The same rendering of chats for lines that are rows: (conv_id, title, node_id, role, text, created_at) to (conv_id, title, content, occurred_at, occurred_end)."""
-    shown = conversations.filter(F.trim("text") != "")
+    # Lines with a clock of another unit stay, in their place and with their day.
+    shown = conversations.filter(F.trim("text") != "").withColumn("created_at", dates.clock_seconds(F.col("created_at")))
     day = F.coalesce(dates.epoch_date(F.col("created_at")), F.lit("undated"))
     turn = F.struct(F.coalesce("created_at", F.lit(0.0)).alias("at"), "node_id", F.concat(F.lit("## "), day, F.lit(" · "), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.col("text")).alias("words"))
     grouped = shown.groupBy("conv_id").agg(

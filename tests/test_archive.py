@@ -243,3 +243,17 @@ def test_page_documents_and_card(spark):
     assert [(d.origin, d.title, d.content) for d in docs] == [("https://s.example/a", "T", "# T\n\nwords"), ("https://s.example/b", html.UNTITLED, f"# {html.UNTITLED}")]
     tables = added(spark, [note("a", "x", purpose="memory", occurred_at="2024"), note("b", "y")])
     assert store.card(store.overview(tables.sources)).head().card == "1 memories (1 dated, from 2024 to 2024), 1 references"
+
+
+def test_chats_keep_lines_of_every_clock(spark, tmp_path):
+    from lodestrata.plans import archive
+
+    line = "conv_id bigint, node_id string, role string, text string, created_at double"
+    rows = [(1, "a", "user", "in ms", 1.7e12), (2, "a", "user", "late", 1.7e9 + 60), (2, "b", None, "early", 1.7e12), (2, "c", "user", "no clock", 1e15), (2, "d", "user", "lost", None)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/chat_lines.parquet")
+    spark.createDataFrame([(1, "one"), (2, None)], "conv_id bigint, title string").write.parquet(f"{tmp_path}/chat_conversations.parquet")
+    got = {r.conv_id: (r.occurred_at, r.occurred_end) for r in archive.chat_render(spark, str(tmp_path)).collect()}
+    assert got == {1: ("2023-11-14", "2023-11-14"), 2: ("2023-11-14", "2023-11-14")}
+    lines = spark.createDataFrame([(*r, None) for r in rows], line + ", title string")
+    text = {r.conv_id: r.content for r in readers.chat_table(lines).collect()}
+    assert text[2] == "# untitled\n\n## undated · user\nno clock\n\n## undated · user\nlost\n\n## 2023-11-14 · unknown\nearly\n\n## 2023-11-14 · user\nlate"

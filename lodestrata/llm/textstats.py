@@ -2,8 +2,9 @@
 
 Whole texts are measured in array operations over their code points, some
 million characters at a time.  Tables show in delimiters that stand under one
-another in neighbouring lines, lists in markers and in lines of like shape and
-indentation; junk in symbols, broken characters, repetition and missing words.
+another in neighbouring lines, lists in markers, in lines of like shape and in
+indentation or lengths that come in turn; junk in symbols, broken characters,
+repetition and missing words.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ QUOTES = "”’\"'»」』)）]】"
 BROKEN = "\ufffd□▯▢¤§¶†‡¬¦¨¯´¸�"
 CODE = "<>{}=\\&"
 
+#: Distances in lines at which indents may come again.
+PERIODS = (2, 3, 4, 5, 6)
+
 FIGURES = (
     "n_chars n_words n_lines mean_word_length symbol_ratio digit_ratio punct_ratio end_punct_share common_word_share "
     "list_share table_share indent_share length_autocorrelation repeated_line_share compressed_ratio broken_ratio mojibake_ratio "
@@ -247,6 +251,23 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
     spread = np.bincount(row_doc, weights=centred**2, minlength=n)
     pairs = np.bincount(row_doc, weights=np.where(same_down, centred * np.roll(centred, -1), 0), minlength=n)
     autocorrelation = np.where(n_content < 3, 0, np.where(spread > 1e-9, pairs / np.maximum(spread, 1e-9), 1))
+    # Periodicity: correlation of the indents with those some lines on, for the best of a few distances.
+    deep = indent.astype(float)
+    deep -= (np.bincount(row_doc, weights=deep, minlength=n) / np.maximum(n_content, 1))[row_doc]
+    variety = np.bincount(row_doc, weights=deep**2, minlength=n)
+    periodicity = np.zeros(n)
+    for period in PERIODS:
+        pair = np.flatnonzero(row_doc[period:] == row_doc[:-period])
+        together = np.bincount(row_doc[pair], weights=deep[pair] * deep[pair + period], minlength=n)
+        turns = (n_content >= 3 * period) & (variety > 1e-9)
+        periodicity = np.maximum(periodicity, np.where(turns, together / np.maximum(variety, 1e-9) * n_content / np.maximum(n_content - period, 1), 0))
+    # Wrapped prose has sentences that end inside a line, or lines that go on in small letters.
+    stops_inside = per_line(ends_flag[look[: len(code)]] & ((kinds[np.minimum(following, 0x10FFFF)] == SPACE) | (kinds[np.minimum(following, 0x10FFFF)] == HAN)) & (following != 10) & (following != 13))[content]
+    begins = look[first[content]]
+    going_on = (kinds[begins] == LETTER) & (lower[begins] == begins) & (begins < 0x250)
+    numbers = text_size.astype(float)
+    average = np.bincount(row_doc, weights=numbers, minlength=n) / np.maximum(n_content, 1)
+    deviation = np.sqrt(np.bincount(row_doc, weights=(numbers - average[row_doc]) ** 2, minlength=n) / np.maximum(n_content, 1))
     # Repeated lines: equal hashes within a text.
     line_hash = (total[breaks] - total[line_start]) * _powers(_INVERSE, len(small) + 1)[line_start]
     keys = line_hash[content] ^ (row_doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -302,6 +323,11 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
         "marker_ratio": marker / np.maximum(n_words, 1),
         "_shown": n_shown,
         "_scattered": scattered / np.maximum(n_letters + n_han, 1),
+        "_indent_periodicity": periodicity,
+        "_inside_share": share(stops_inside > 0),
+        "_going_on_share": share(going_on),
+        "_line_width": average,
+        "_line_spread": deviation / np.maximum(average, 1),
         "_monotonous": (n_raw >= 100) & (n_packed < 30 + 0.06 * n_raw),
         "_wordy": n_letters + n_han,
     }
@@ -310,9 +336,23 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
 def classify(f: dict[str, np.ndarray]) -> np.ndarray:
     """prose, list, table or junk by the figures."""
     table = f["table_share"] > 0.5
-    listed = ~table & (f["list_share"] > 0.5)
+    # Items without markers, wider than a short line or ended like sentences: the lines' shape over the whole text, where it isn't wrapped prose.
+    rhythm, turns = f["length_autocorrelation"], f["_indent_periodicity"] > 0.6
+    itemised = (f["n_lines"] >= 5) & (f["_inside_share"] < 0.1) & (f["_going_on_share"] <= 0.5) & (f["_line_width"] <= 160) & (f["symbol_ratio"] < 0.05) & (f["punct_ratio"] < 0.15)
+    even = (f["_line_spread"] <= 0.6) | (rhythm <= -0.5)
+    shaped = itemised & (((f["end_punct_share"] < 0.1) & (even | turns)) | (turns & (np.abs(rhythm) >= 0.3) & (f["_going_on_share"] < 0.1)))
+    listed = ~table & ((f["list_share"] > 0.5) | shaped)
+    # One of these alone is found in prose of other languages, too.
+    strange = (
+        (f["symbol_ratio"] > 0.15).astype(int)
+        + (f["punct_ratio"] > 0.4)
+        + (f["mean_word_length"] > 12)
+        + ((f["common_word_share"] < 0.02) & (f["n_words"] >= 20))
+        + ((f["end_punct_share"] == 0) & (f["punct_ratio"] < 0.005) & ~listed)
+    )
     junk = (
-        (f["_wordy"] + f["digit_ratio"] * f["_shown"] < 1)
+        ((strange >= 2) & ~table)
+        | (f["_wordy"] + f["digit_ratio"] * f["_shown"] < 1)
         | (f["broken_ratio"] > 0.02)
         | (f["mojibake_ratio"] > 0.008)
         | (f["machine_line_share"] > 0.5)

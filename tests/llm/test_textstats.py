@@ -40,3 +40,20 @@ def test_rows(spark, monkeypatch):
     got = T.document_figures(spark.createDataFrame(rows, "doc_id bigint, text string, n_words string"), ["the", "in", "我"]).collect()
     assert {r.doc_id: r.text_kind for r in got if r.doc_id is not None} == {n: k for n, (k, _) in enumerate(CASES)} and len(got) == len(rows)
     assert T.document_figures(spark.createDataFrame([], "doc_id bigint, text string"), []).collect() == []
+
+
+WIDE = ["Repair the import of the archive before anything new is begun", "Ring the landlord about the lease and the broken lamp downstairs", "Water the mint on the sill while Keziah is away for the whole week",
+        "Bring back the books on sleep that were due at the library in May", "Write three lines before bed and leave the telephone in the kitchen"]
+NESTED = "Monday.\n    Ring the landlord about the lease.\n    Water the mint on the sill.\nTuesday.\n    Bring back the books on sleep.\n    Repair the import of the archive.\nFriday.\n    Write three lines before bed.\n    Leave the telephone in the kitchen."
+WRAPPED = "    It rained all morning, so I stayed in\nand read old letters. Nobody called.\n    In the end I was glad of it, although\nthe lamp was broken. I slept early.\n    We went to the river after that, and\nnobody said a word. It was enough."
+SIGNS = "q$7 ~k^ +=z $$w ^b~ k+3 =q$ z~^ w$= b^+ " * 2 + "q+b z=k w^q 7~z k$b =w^ +q~ ^z$ ~b= $k+"
+
+
+@pytest.mark.parametrize("kind,text", [("list", "\n".join(WIDE)), ("list", NESTED), ("prose", WRAPPED), ("junk", SIGNS)])
+def test_kinds_by_shape_and_ratios(kind, text):
+    assert T.classify(T.measure([text], T.Vocabulary(["the", "in", "and", "of"])))[0] == kind
+
+
+def test_indents_that_come_in_turn():
+    f = T.measure([NESTED, "a\n" * 9, "    a\n" * 9, ""], T.Vocabulary([]))["_indent_periodicity"]
+    assert f[0] > 0.9 and list(f[1:]) == [0, 0, 0]

@@ -209,7 +209,7 @@ def furniture(lines: list[str], title: str | None, shares: list[float], compared
             if kind != style or (j in strong and not kind) or plain[j].startswith("#") or _SENTENCE.search(plain[j]) or len(plain[j]) > 90 or " --" in plain[j]:
                 break
             run.append(j)
-        in_block.update(run[:12])
+        in_block.update(run)
     bad |= strong | in_block
 
     # After the last line of the page's own writing, everything is the site's.

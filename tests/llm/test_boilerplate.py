@@ -50,3 +50,10 @@ def test_null_empty_and_repeated(spark):
 def test_bodies(spark):
     rows = spark.createDataFrame([(1, "https://l.example/1", "l.example", "A day", "Home | About\n# A day\nWords here.\n© 2024 x", NOW, None)], SCHEMA)
     assert [tuple(r) for r in B.main_bodies(rows).collect()] == [(1, "A day", "# A day\nWords here.")]
+
+
+def test_a_block_of_many_titles_goes_whole():
+    for mark in ("- ", ""):
+        lines = ["# A day", "I slept late.", "Related", *[f"{mark}Other title {'abcdefghijklmnopqrst'[n]}" for n in range(20)]]
+        zero = [0.0] * len(lines)
+        assert B.furniture(lines, "A day", zero, 0, zero) == list(range(2, len(lines)))

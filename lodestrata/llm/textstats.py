@@ -210,12 +210,13 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
     rank[content] = np.arange(len(content))
     cell_row, column = rank[line_of], cell - line_start[line_of]
     inner = (cell_row >= 0) & (cell > first[line_of])
-    cell_row, column = cell_row[inner], np.minimum(column[inner], 4095)
-    spots = np.sort(cell_row * 4096 + column)
+    cell_row, column = cell_row[inner], column[inner]
+    stride = int((breaks - line_start).max(initial=0)) + 1
+    spots = np.sort(cell_row * stride + column)
     if len(spots):
-        own_up = _found_in(spots - 4096, spots) & same_up[spots // 4096]
-        own_down = _found_in(spots + 4096, spots) & same_down[spots // 4096]
-        standing = np.bincount((spots // 4096)[own_up | own_down], minlength=len(content))
+        own_up = _found_in(spots - stride, spots) & same_up[spots // stride]
+        own_down = _found_in(spots + stride, spots) & same_down[spots // stride]
+        standing = np.bincount((spots // stride)[own_up | own_down], minlength=len(content))
         row |= standing >= 2
         single = (standing == 1) & aligned(np.minimum(standing, 1))
         cells = np.bincount(cell_row, minlength=len(content))

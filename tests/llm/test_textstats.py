@@ -57,3 +57,9 @@ def test_kinds_by_shape_and_ratios(kind, text):
 def test_indents_that_come_in_turn():
     f = T.measure([NESTED, "a\n" * 9, "    a\n" * 9, ""], T.Vocabulary([]))["_indent_periodicity"]
     assert f[0] > 0.9 and list(f[1:]) == [0, 0, 0]
+
+
+def test_gaps_far_along_a_line_are_columns_of_their_own():
+    paragraph = lambda n: ("word " * n)[:-1] + ".  Here  it ends, after two gaps, and so the day was over."
+    apart, below = T.measure([paragraph(900) + "\n" + paragraph(1000), paragraph(900) + "\n" + paragraph(900)], T.Vocabulary([]))["table_share"]
+    assert apart == 0 and below == 1

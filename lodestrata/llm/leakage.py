@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Letters and digits of a passage, and from one passage to the next.
 WINDOW, STRIDE = 512, 256
-#: Longest gram; every ``SAMPLING``-th gram by hash is a coordinate.
-GRAM, SAMPLING = 28, 4
+#: Longest gram; every gram of the items is a coordinate.
+GRAM = 28
 #: Dimensions of the latent space, and those added while it is found.
 RANK, OVERSAMPLING = 128, 16
 #: Least cosine of a candidate.
@@ -75,7 +75,7 @@ def gram_hashes(kept: np.ndarray, gram: int) -> np.ndarray:
 
 
 class Items:
-    """The grams of the items: where they occur, and which are coordinates."""
+    """The grams of the items, which are the coordinates, and where they occur."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         kept, starts = plain(texts)
@@ -93,9 +93,7 @@ class Items:
         self.keys, first = np.unique(hashes[order], return_index=True)
         self.begin = np.concatenate((first, [len(order)]))
         self.item, self.place = item[order], place[order]
-        sampled = (self.keys >> np.uint64(17)) % np.uint64(SAMPLING) == 0
-        self.feature = np.where(sampled, np.cumsum(sampled) - 1, -1)
-        self.n_features = int(sampled.sum())
+        self.n_features = len(self.keys)
         self.mask = np.zeros(1 << 22, bool)
         self.mask[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -110,26 +108,23 @@ class Items:
         return maybe[true], at[true]
 
     def passages(self, starts: np.ndarray, place: np.ndarray, gram: np.ndarray):
-        """(passage, feature, count) of all grams that are coordinates, by passage, and the number of passages before each text."""
+        """(passage, feature, count) of all grams, by passage, and the number of passages before each text."""
         sizes = np.diff(starts) - 1
         n = np.maximum(1, -(-sizes // STRIDE))
         before = np.concatenate(([0], np.cumsum(n)))
-        feature = self.feature[gram]
-        place, feature = place[feature >= 0], feature[feature >= 0]
         text = np.searchsorted(starts, place, side="right") - 1
         part = (place - starts[text]) // STRIDE
         one = before[text] + part
         both = np.concatenate((one, (one - 1)[part > 0]))
-        key, count = np.unique(both * max(1, self.n_features) + np.concatenate((feature, feature[part > 0])), return_counts=True)
+        key, count = np.unique(both * max(1, self.n_features) + np.concatenate((gram, gram[part > 0])), return_counts=True)
         return key // max(1, self.n_features), key % max(1, self.n_features), count, before
 
     def own_passages(self, texts: list[str]):
         """(item, feature, count) with each item as one passage."""
         kept, starts = plain(texts)
         place, gram = self.hits(kept)
-        feature = self.feature[gram]
-        item = np.searchsorted(starts, place[feature >= 0], side="right") - 1
-        key, count = np.unique(item * max(1, self.n_features) + feature[feature >= 0], return_counts=True)
+        item = np.searchsorted(starts, place, side="right") - 1
+        key, count = np.unique(item * max(1, self.n_features) + gram, return_counts=True)
         return key // max(1, self.n_features), key % max(1, self.n_features), count
 
 

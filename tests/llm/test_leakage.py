@@ -56,3 +56,13 @@ def test_empty(spark):
     assert K.leaks(docs, spark.createDataFrame([(1, "?!"), (None, "x"), (2, None)], "item_id bigint, text string")).isEmpty()
     with pytest.raises(ValueError):
         K.leaks(docs, items, max_items=0)
+
+
+def test_every_gram_of_a_short_item_is_sought(spark):
+    item = "quartz jumpy"
+    halves = [plain(item)[n : n + 6] for n in range(6)]
+    documents = [(n, f"... {half} ...") for n, half in enumerate(halves)]
+    got = K.leaks(spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == set(range(6))
+    prepared = K.Items([1], [item])
+    assert prepared.n_features == len(prepared.keys) == 9

@@ -360,7 +360,7 @@ def excerpt(spark, d):
   FROM (SELECT occurred_at, trim(occurred_at, ' ') AS v FROM sources WHERE occurred_at IS NOT NULL AND occurred_at NOT LIKE '0000%')""")
 def date_normalize(spark, d):
     """Stated dates as they are if the calendar has them."""
-    values = table(spark, d, "sources").select(F.col("occurred_at").alias("value")).filter("value is not null and value not like '0000%'").distinct()
+    values = table(spark, d, "sources").select(F.col("occurred_at").alias("value")).filter("value is not null").distinct()
     return values.select("value", dates.normalize_date(F.col("value")).alias("date"))
 
 

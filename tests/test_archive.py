@@ -257,3 +257,12 @@ def test_chats_keep_lines_of_every_clock(spark, tmp_path):
     lines = spark.createDataFrame([(*r, None) for r in rows], line + ", title string")
     text = {r.conv_id: r.content for r in readers.chat_table(lines).collect()}
     assert text[2] == "# untitled\n\n## undated · user\nno clock\n\n## undated · user\nlost\n\n## 2023-11-14 · unknown\nearly\n\n## 2023-11-14 · user\nlate"
+
+
+def test_dates_of_year_0_are_shown_as_none(spark, tmp_path):
+    from lodestrata.plans import archive
+
+    stated = ["0000", "0000-01", " 0000-01-01", "0000-00-00 00:00:00", "0001-12", None]
+    spark.createDataFrame([(x,) for x in stated], "occurred_at string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = {r.value: r.date for r in archive.date_normalize(spark, str(tmp_path)).collect()}
+    assert got == {x: None for x in stated[:4]} | {"0001-12": "0001-12"}

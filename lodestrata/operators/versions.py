@@ -92,3 +92,28 @@ def version_history(
         (F.col("done") + F.col("opened").cast("int") + F.col("inner_no")).cast("bigint").alias("version_no"),
         F.col("n_versions").cast("bigint").alias("n_versions"),
     )
+
+
+def merge_versions(
+    versions: DataFrame,
+    snapshots: DataFrame,
+    batch: DataFrame,
+    entity: str,
+    attributes: list[str],
+    time: str,
+    arrival: list[str],
+    removed: str,
+    bucket_chars: int = 7,
+) -> DataFrame:
+    """Stored ``versions`` after a ``batch`` of snapshots, in the columns of ``version_history``.
+
+    ``snapshots`` are those that ``versions`` were made of.  Entities without a
+    row in the batch keep their stored versions.  Those of the others are closed,
+    opened or split from their stored and new snapshots: a late one may end a
+    version before a stored snapshot that a version doesn't tell.
+    """
+    touched = batch.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(entity).distinct()
+    columns = list(dict.fromkeys([entity, *attributes, time, *arrival, removed]))
+    history = snapshots.select(columns).unionByName(batch.select(columns)).join(touched, entity, "left_semi")
+    merged = version_history(history, entity, attributes, time, arrival, removed, bucket_chars)
+    return versions.join(touched, entity, "left_anti").unionByName(merged)

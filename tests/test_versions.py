@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestrata.operators.versions import version_history
 
 SCHEMA = "origin string, at string, imported int, id string, title string, author string, removed string, bucket string, entity int"
@@ -53,3 +55,22 @@ def test_random_histories_at_every_bucket_size(spark):
 
 def test_empty(spark):
     assert history(spark, []) == []
+
+
+def test_merge_of_batches_with_late_snapshots(spark):
+    from lodestrata.operators.versions import merge_versions
+
+    random.seed(5)
+    options = ("origin", ["title", "author"], "at", ["imported", "id"], "removed")
+    rows = [row(random.choice("abcd"), f"2020-{random.randint(1, 12):02}-{random.randint(1, 28):02}", n, random.choice(["x", "y", None]), random.choice(["u", None]), random.choice([None, "2030"]), str(n)) for n in range(60)]
+    frame = lambda part: spark.createDataFrame(part, SCHEMA)
+    # Changed, late inside a version, of a new entity, of no entity or time.
+    batch = [row("a", "2020-06-15", 90, "z"), row("b", "2021-01-01", 91, "x"), row("e", "2020-01-01", 92, "x"), row(None, "2020-01-01", 93, "x"), row("c", None, 94, "x")]
+    stored = version_history(frame(rows), *options).localCheckpoint()
+    columns = ["origin", "version_no", "valid_from", "valid_to", "n_versions"]
+    merged = merge_versions(stored, frame(rows), frame(batch), *options)
+    assert sorted(tuple(r) for r in merged.select(columns).collect()) == brute(rows + batch)
+    assert sorted(tuple(r) for r in merge_versions(stored, frame(rows), frame([]), *options).select(columns).collect()) == brute(rows)
+    # A version says nothing of stored snapshots inside it; the untouched entities are taken as they are stored.
+    kept = merge_versions(stored.withColumn("valid_to", F.lit("stored")), frame(rows), frame(batch), *options)
+    assert {r.origin for r in kept.filter("valid_to = 'stored'").collect()} == {"c", "d"}

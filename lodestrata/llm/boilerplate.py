@@ -1,11 +1,15 @@
-"""The main body of web pages.
-
-Pages of one host are put in order of their URL's path, and each is compared
-with its nearest neighbours: lines that both have in the same order (a longest
-common subsequence) belong to the site, not to the page.  What this says of a
-line's wording over all hosts then also judges pages that have no neighbour,
-and lines that only some neighbours share.  Lines that differ on every page
-(breadcrumbs, titles of other pages) follow from where they stand.
+"""The main body of web pages, by differencing pages of near URLs.
+
+All pages are put in one order of (host, URL path) and cut into blocks that
+overlap by ``NEAREST`` pages at their ends, so that every page meets the same
+neighbours wherever the cuts fall.  Each page is aligned with its neighbours by
+longest common subsequence of lines.  Lines that neighbours share are the
+site's.  What differencing says of a wording, of a frame (``Next: ...``,
+``... →``) and of a label (``Home``), summed over all hosts, judges pages
+without neighbours and lines that differ on every page; lines that name another
+page are links to it.  No list of wordings is used.
+
+Only hashes of lines travel; texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -22,109 +28,201 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import cut_lineage
 
-#: Neighbours on either side, and pages compared in one group.
-NEAREST, GROUP_PAGES = 4, 200
+#: Neighbours on either side, and pages of one block.
+NEAREST, BLOCK_PAGES = 4, 256
 
-#: Share of compared pages that have the line, from which it is the site's; and the same over the wording's occurrences on all hosts.
-LEAST_SHARE, LEAST_RATIO, LEAST_PAGES = 0.5, 0.22, 4
+#: Share of neighbours that have a line, from which it is the site's; the same over all hosts (of list items, which bodies have too, more); and occurrences needed for that.
+LEAST_SHARE, LEAST_RATIO, ITEM_MORE, LEAST_LINES = 0.5, 0.22, 0.1, 4
+
+#: Learned keys that are sent to every task as one table (16 bytes each); more of them are joined.
+KEYS_SENT = 1_000_000
+
+#: A line that a page repeats more often than this is aligned by the number of its repetition.
+REPEATS = 64
 
 _DIGITS = regex.compile(r"\p{N}+")
 _SPACE = regex.compile(r"[\s\p{Z}\p{Cf}]+")
 _NAME = regex.compile(r"\s(?:[·|–—\-•»:])\s([^·|–—•»]{2,40})$")
 _SENTENCE = regex.compile(r"[.!?。！？…][\"'”’»」』）)]*$")
 _ITEM = regex.compile(r"^(?:[-*•·‣▪◦–+]|\d{1,3}[.)、])\s*")
+_HEADING = re.compile(r"^#{1,6} ")
+_LEAD = re.compile(r"^([^:：。，,.!?]{1,30})[:：]\s*\S")
+_SEPARATED = re.compile(r"\s*(?:\||·|/|•|»|>|›|\s{2,}|\t|、|[,，。！？；]|[.!?;](?=\s|$))\s*")
+_OWNER = regex.compile(r"^(?:©|\(c\)|copyright)\s*(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*(.{2,40}?)(?:\s+\p{Han}{4}|[.,].*)?$", regex.I)
+_WRITING = regex.compile(r"[，,;；]")
 
-#: Wordings of site furniture, by language, for pages whose host has no others.
-LABELS = """
-home start startseite accueil 首页 about about me über mich à propos 关于 关于我 archive archives archiv 归档 存档 search suche recherche 搜索 contact kontakt 联系 联系我们
-sign in log in login anmelden connexion 登录 register registrieren s'inscrire inscription 注册 subscribe abonnieren s'abonner 订阅 links liens 友链 友情链接 guestbook gästebuch livre d'or 留言板 留言
-tags schlagwörter étiquettes 标签 projects projekte projets 项目 now jetzt maintenant 现在 reading lesen lecture lectures 读书 阅读 essays texte textes 随笔 文章 timeline zeitleiste chronologie 时间线 topics themen thèmes 主题 分类
-back to top nach oben zum seitenanfang retour en haut haut de page 返回顶部 回到顶部 sitemap plan du site 站点地图 rss accessibility barrierefreiheit accessibilité 无障碍 imprint impressum mentions légales privacy datenschutz confidentialité 隐私政策 隐私 terms agb conditions 使用条款
-accept accept all alle akzeptieren alles akzeptieren tout accepter accepter 接受全部 全部接受 同意 only necessary nur notwendige seulement nécessaire 仅必要 仅必要的 decline ablehnen refuser 拒绝 manage preferences einstellungen verwalten gérer les préférences 管理偏好设置 偏好设置 settings einstellungen paramètres
-share teilen partager 分享 comments kommentare commentaires 评论 menu menü 菜单
-"""
-_LABELS = {x.casefold() for x in re.split(r"[\n ]", LABELS) if x} | {
-    "about me", "über mich", "à propos", "sign in", "log in", "s'inscrire", "livre d'or", "back to top", "nach oben", "zum seitenanfang", "retour en haut", "haut de page",
-    "plan du site", "mentions légales", "accept all", "alle akzeptieren", "tout accepter", "only necessary", "nur notwendige", "manage preferences", "einstellungen verwalten", "gérer les préférences",
-}
-
-#: Headings of blocks of other pages' titles.
-RELATED = (
-    r"(?:related(?: posts| articles| reading)?|you may also like|read next|trending(?: now)?|recently updated|recent posts|latest|popular(?: posts)?|most read|more from .*|"
-    r"auch interessant|beliebt(?:e beiträge)?|meistgelesen|zuletzt aktualisiert|neueste beiträge|ähnliche (?:beiträge|artikel)|mehr lesen|"
-    r"à lire aussi|à lire ensuite|les plus lus|populaires?|articles (?:liés|similaires|récents)|dernières mises à jour|mis à jour récemment|voir aussi|sur le même sujet|"
-    r"推荐阅读|相关(?:阅读|内容|文章|推荐)|猜你(?:想读|喜欢)|热门(?:文章|推荐)|最近(?:更新|文章)|最新文章|延伸阅读|大家都在看)"
-)
-
-#: Lines that are furniture wherever they stand.
-FURNITURE = [
-    r"^(?:©|\(c\)|copyright\b)|all rights reserved|alle rechte vorbehalten|tous droits réservés|版权所有|保留所有权利",
-    r"^(?:←|→|«|»|‹|›|⟵|⟶)\s*\S|\S\s*(?:→|»|›|⟶)$",
-    r"^(?:next|previous|prev|older|newer|zurück|weiter|vorheriger?|nächster?|précédent|suivant|article (?:précédent|suivant)|上一篇|下一篇|上一页|下一页|前一篇|后一篇)\s*[:：]\s*\S",
-    r"^(?:🏷|tags?\s*[:：]|schlagwörter\s*[:：]|étiquettes?\s*[:：]|mots-clés\s*[:：]|标签\s*[:：])",
-    r"^(?:share|teilen|partager|分享(?:到|至)?)\s*[:：]",
-    r"^(?:advertisement|sponsored|ad|anzeige|werbung|publicité|sponsorisé|广告|赞助)\s*[·:：|\-–]",
-    r"^(?:built with|powered by|theme by|erstellt mit|gestaltet mit|propulsé par|réalisé avec|由 .* (?:主题)?(?:驱动|强力驱动))|主题驱动$",
-    r"^(?:online (?:for|since|seit|depuis)|seit \d+ tagen online|en ligne depuis|本站已运行)",
-    rf"^(?:{RELATED}|read also|see also|lesen sie auch)\s*[:：]\s*\S",
-    r"^(?:\S+ )?#\w+(?: #\w+)+$",
-    r"never miss|ne (?:rien manquer|manquez)|nichts verpassen|verpasse(?:n sie)? (?:nichts|keinen)|不(?:再)?错过(?:任何)?更新",
-    r"jederzeit abbestellbar|unsubscribe|désabonn|随时(?:可以)?退订|(?:uses?|verwendet|utilise) (?:des )?cookies\b",
-    r"(?:join|schon|déjà|已有) [\d,.]+ (?:readers|leser|lecteurs|位读者)|get a short letter from",
-    r"^(?:sign in|log in|anmelden|connectez-vous|登录)(?:\s+(?:to|um|pour)|后).{2,40}$",
-]
-_FURNITURE = [regex.compile(p, regex.I) for p in FURNITURE]
-_RELATED = regex.compile(rf"^{RELATED}\s*[:：]?$", regex.I)
-_OWNER = regex.compile(r"^(?:©|\(c\)|copyright)\s*(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*(.{2,40}?)(?:\s*版权所有|[.,]? (?:all rights|alle rechte|tous droits).*|\.)?$", regex.I)
-_SEPARATED = regex.compile(r"\s*(?:\||·|/|•|»|>|›|\s{2,}|\t|,|、)\s*")
-
-
-def wording(line: str, name: str) -> str:
-    """The line without case, kinds of space, digits and the site's name."""
-    text = _SPACE.sub(" ", unicodedata.normalize("NFKC", line)).strip().casefold()
-    if name:
-        text = text.replace(name, "\u0001")
-    return _DIGITS.sub("0", text)
-
-
-def site_name(title: str | None) -> str:
-    found = _NAME.search(title or "")
-    return _SPACE.sub(" ", unicodedata.normalize("NFKC", found.group(1))).strip().casefold() if found else ""
-
-
-def host_name(titles: list[str | None], pages: list[list[str]]) -> str:
-    """The name that a host gives itself: the commonest ending of its titles, else the owner in a copyright line."""
-    counts: dict[str, int] = {}
-    for title in titles:
-        name = site_name(title)
-        if name:
-            counts[name] = counts.get(name, 0) + 1
-    for lines in pages if not counts else ():
-        for line in lines:
-            owner = _OWNER.match(line.strip())
-            if owner:
-                name = _SPACE.sub(" ", unicodedata.normalize("NFKC", owner.group(1))).strip().casefold()
-                counts[name] = counts.get(name, 0) + 1
-    return min(counts, key=lambda n: (-counts[n], n)) if counts else ""
-
-
-def url_path(url: str) -> tuple:
-    """Path of a URL in parts, numbers by value, so that neighbours stand together."""
-    path = re.sub(r"^[a-z][a-z0-9+.\-]*://[^/?#]*", "", url or "", flags=re.I)
-    return tuple((1, int(p), "") if p.isascii() and p.isdigit() and len(p) < 19 else (0, 0, p) for p in re.split(r"[/?#&=_.\-]", path))
+HEADING, ITEM, SENTENCE, WRITING, WIDE, SUBJECT, MARKED = 1, 2, 4, 8, 16, 32, 64
+
+#: Kinds of the other keys of a line: a frame, a label, and the words before its colon (looked up as a wording).
+FRAME, LABEL, LEAD = 0, 1, 2
+
+_NARROW = np.uint64((1 << 48) - 1)
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
-    places: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
+def plain(line: str) -> str:
+    return _SPACE.sub(" ", line if line.isascii() else unicodedata.normalize("NFKC", line)).strip()
+
+
+def key_of(kind: str, words: str) -> int:
+    """48 bits; ``kind`` keeps wordings, frames and labels apart."""
+    return xxhash.xxh64_intdigest(f"{kind}\u0000{words}") & int(_NARROW)
+
+
+def wording(text: str, name: str) -> str:
+    """A line (as ``plain`` gives it) without case, digits and the site's name."""
+    text = text.casefold()
+    return _DIGITS.sub("0", text.replace(name, "\u0001") if name else text)
+
+
+def page_name(title: str | None, lines: list[str]) -> str:
+    """What a page calls its site: the ending of its title, else the owner in a copyright line."""
+    found = _NAME.search(plain(title or ""))
+    if found:
+        return found.group(1).strip().casefold()
+    for line in lines:
+        owner = _OWNER.match(line)
+        if owner:
+            return owner.group(1).strip().casefold()
+    return ""
+
+
+def labels_of(words: str) -> list[str]:
+    """The parts of a menu, a trail, a row of tags, the phrases of a sentence; of a short line, the line."""
+    if len(words) > 160:
+        return []
+    parts = [p for p in _SEPARATED.split(words) if p]
+    if len(parts) < 2 or max(map(len, parts)) > 40:
+        parts = [words] if len(words) <= 24 else []
+        spaced = words.split(" ")
+        if 2 <= len(spaced) <= 8 and len(words) <= 60 and regex.search(r"\p{Han}", words):
+            parts = spaced
+    return [p for p in parts if re.search(r"[^\W\d_]", p)]
+
+
+def frames_of(words: str, heading: bool) -> list[str]:
+    """What a line has around its varying part: words before a colon, a sign at either end."""
+    found = []
+    lead = _LEAD.match(words)
+    if lead and len(words) < 120:
+        found.append(lead.group(1).strip() + ":")
+    first, last = words[0], words[-1]
+    if not heading and (first in "«»‹›#" or unicodedata.category(first)[0] == "S"):
+        found.append("^" + first)
+    if last in "«»‹›" or unicodedata.category(last)[0] == "S":
+        found.append("$" + last)
+    return found
+
+
+@dataclass
+class Page:
+    """The non-blank lines of a page: numbers from 1, keys of wordings, flags, marks; and other keys as (line, kind, key)."""
+
+    numbers: np.ndarray
+    keys: np.ndarray
+    flags: np.ndarray
+    others: np.ndarray
+
+    def packed(self) -> tuple[bytes, bytes]:
+        lines = np.zeros(len(self.keys), [("n", "<u4"), ("lo", "<u4"), ("hi", "<u2"), ("f", "u1")])
+        lines["n"], lines["lo"], lines["hi"], lines["f"] = self.numbers, self.keys & 0xFFFFFFFF, self.keys >> 32, self.flags
+        # Numbers as steps, which compress.
+        lines["n"][1:] = np.diff(self.numbers)
+        return lines.tobytes(), self.others.tobytes()
+
+
+OTHER = np.dtype([("line", "<u4"), ("kind", "u1"), ("lo", "<u4"), ("hi", "<u2")])
+
+
+def unpacked(lines: bytes, others: bytes) -> Page:
+    a = np.frombuffer(lines, [("n", "<u4"), ("lo", "<u4"), ("hi", "<u2"), ("f", "u1")])
+    return Page(np.cumsum(a["n"].astype(np.int64)), a["lo"].astype(np.int64) | (a["hi"].astype(np.int64) << 32), a["f"].copy(), np.frombuffer(others, OTHER))
+
+
+def other_keys(others: np.ndarray) -> np.ndarray:
+    return others["lo"].astype(np.int64) | (others["hi"].astype(np.int64) << 32)
+
+
+class Reader:
+    """Reads pages; wordings of lines that come again are kept for the batch."""
+
+    def __init__(self):
+        self.seen: dict[str, tuple] = {}
+
+    def line(self, text: str, name: str) -> tuple:
+        """(key, flags without SUBJECT, other keys) of a plain line."""
+        known = (text, name if name and name in text.casefold() else "")
+        found = self.seen.get(known)
+        if found is not None:
+            return found
+        heading = bool(_HEADING.match(text))
+        mark = None if heading else _ITEM.match(text)
+        words = wording(text[mark.end() :] if mark else text, known[1])
+        flags = HEADING * heading | ITEM * bool(mark) | SENTENCE * bool(_SENTENCE.search(text)) | WIDE * (len(text) > 90)
+        flags |= WRITING * bool(flags & (SENTENCE | HEADING | ITEM) or " --" in text or len(text) > 60 or _WRITING.search(text))
+        flags |= MARKED * (" --" in text)
+        others = []
+        if words and not heading:
+            for frame in frames_of(words, heading):
+                others.append((FRAME, key_of("f", frame)))
+                if frame.endswith(":"):
+                    others.append((LEAD, key_of("w", frame[:-1])))
+            others.extend((LABEL, key_of("l", label)) for label in labels_of(words))
+        found = key_of("w", words), flags, others
+        if len(self.seen) > 50_000:
+            self.seen.clear()
+        self.seen[known] = found
+        return found
+
+    def page(self, title: str | None, content: str | None) -> tuple[Page, int]:
+        """The page, and the key of its title as a line of another page would have it (0 without one)."""
+        shown = [(n, text) for n, text in enumerate(map(plain, (content or "").split("\n")), 1) if text]
+        name = page_name(title, [text for _, text in shown])
+        named = plain(title or "")
+        headings = [i for i, (_, text) in enumerate(shown) if text.startswith("# ")]
+        own = [i for i in headings if named and named.startswith(shown[i][1][2:].strip())]
+        alike = [i for i, (_, text) in enumerate(shown) if named and len(text) > 8 and named.startswith(text)]
+        head = (own or headings or alike or [-1])[0]
+        rows = [self.line(text, name) for _, text in shown]
+        flags = [r[1] for r in rows]
+        others = [(i, *k) for i, r in enumerate(rows) for k in r[2]]
+        subject = wording(shown[head][1].lstrip("# "), "") if head >= 0 else ""
+        if head >= 0:
+            flags[head] |= SUBJECT
+            # Where a line ends in the page's own subject, that part is no label.
+            own_label = key_of("l", subject)
+            others = [(i, kind, k) for i, kind, k in others if not (kind == LABEL and k == own_label and i != head)]
+        packed = np.zeros(len(others), OTHER)
+        if others:
+            keys = np.array([k for _, _, k in others], np.int64)
+            packed["line"], packed["kind"] = [i for i, _, _ in others], [kind for _, kind, _ in others]
+            packed["lo"], packed["hi"] = keys & 0xFFFFFFFF, keys >> 32
+        ending = _NAME.search(named)
+        title_words = wording(named[: ending.start()] if ending else named, "")
+        page = Page(np.array([n for n, _ in shown], np.int64), np.array([r[0] for r in rows], np.int64), np.array(flags, np.uint8), packed)
+        return page, key_of("w", title_words) if title_words else 0
+
+
+def url_order(url: str | None) -> str:
+    """The path of a URL as a text whose order puts neighbours together, numbers by value."""
+    path = re.sub(r"^[a-z][a-z0-9+.\-]*://[^/?#]*", "", url or "", flags=re.I)
+    parts = re.split(r"[/?#&=_.\-]", path)
+    return "\u0001".join(f"1{len(p.lstrip('0')):04}{p.lstrip('0')}" if p.isascii() and p.isdigit() else f"0{p}" for p in parts)
+
+
+def common_lines(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of ``a`` and ``b``."""
+    start = 0
+    while start < len(a) and start < len(b) and a[start] == b[start]:
+        start += 1
+    places: dict = {}
+    for j in range(start, len(b)):
+        places.setdefault(b[j], []).append(j)
     tails: list[int] = []
     nodes: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
+    for i in range(start, len(a)):
+        for j in reversed(places.get(a[i], ())):
             at = bisect.bisect_left(tails, j)
-            node = (i, nodes[at - 1] if at else None)
+            node = (i, j, nodes[at - 1] if at else None)
             if at == len(tails):
                 tails.append(j)
                 nodes.append(node)
@@ -133,179 +231,280 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
                 nodes[at] = node
     found, node = [], nodes[-1] if nodes else None
     while node:
-        found.append(node[0])
-        node = node[1]
-    return found[::-1]
+        found.append(node[:2])
+        node = node[2]
+    return [(k, k) for k in range(start)] + found[::-1]
 
 
-def compare(pages: list[list[int]]) -> list[tuple[list[int], int]]:
-    """For pages in order: of each line, how many of the nearest pages share it, and how many there are."""
+def _sequence(keys: np.ndarray) -> list:
+    counts: dict = {}
     out = []
-    for i, own in enumerate(pages):
-        # Repeated fetches of one page say nothing about the site.
-        near = [p for p in pages[max(0, i - NEAREST) : i] + pages[i + 1 : i + 1 + NEAREST] if p != own]
-        shared = [0] * len(own)
-        for other in near:
-            for k in common_lines(own, other):
-                shared[k] += 1
-        out.append((shared, len(near)))
+    for k in keys.tolist():
+        n = counts[k] = counts.get(k, 0) + 1
+        # Only a line repeated very often would make the alignment quadratic.
+        out.append(k if n <= REPEATS else (k, n))
     return out
 
 
-def _is_labels(line: str) -> bool:
-    """A menu: nothing but known labels, one or several."""
-    parts = [p for p in _SEPARATED.split(line.strip()) if p]
-    if not parts or len(line) > 120:
-        return False
-    known = sum(p.casefold() in _LABELS for p in parts)
-    if known == len(parts) or (len(parts) >= 3 and known >= len(parts) - 1):
-        return True
-    # A breadcrumb that starts at a known place.
-    if regex.match(r"^[^>»›/]+(?:\s*[>»›]\s*|\s/\s)\S", line) and parts[0].casefold() in _LABELS:
-        return True
-    words = line.casefold().split()
-    return len(words) >= 2 and all(w in _LABELS for w in words)
-
-
-def furniture(lines: list[str], title: str | None, shares: list[float], compared: int, ratios: list[float]) -> list[int]:
-    """Numbers (from 0) of the non-blank lines that are not main body."""
-    plain = [_SPACE.sub(" ", unicodedata.normalize("NFKC", x)).strip() for x in lines]
-    shown = [i for i, x in enumerate(plain) if x]
-    short_title = _SPACE.sub(" ", unicodedata.normalize("NFKC", title or "")).strip()
-    headings = [i for i in shown if plain[i].startswith("# ")]
-    own = [i for i in headings if short_title and short_title.startswith(plain[i][2:].strip())]
-    head = (own or headings or [i for i in shown if short_title and plain[i] and short_title.startswith(plain[i]) and len(plain[i]) > 8] or [-1])[0]
-    subject = plain[head].lstrip("# ") if head >= 0 else ""
-
-    bad: set[int] = {i for i in shown if i < head}
-
-    def site_line(i: int) -> bool:
-        text = plain[i]
-        if regex.match(r"^#{1,6} ", text):
-            return False
-        listed = bool(_ITEM.match(text))
-        if compared >= (4 if listed else 2) and shares[i] >= LEAST_SHARE:
-            return True
-        if ratios[i] >= (LEAST_RATIO + 0.1 if listed else LEAST_RATIO):
-            return True
-        if any(p.search(text) for p in _FURNITURE) or _RELATED.match(text) or _is_labels(text):
-            return True
-        # A breadcrumb ends with the page's own heading.
-        return bool(subject) and text.endswith(subject) and len(text) > len(subject) and bool(regex.search(r"[>»›/|·]\s*$", text[: -len(subject)]))
-
-    strong = {i for i in shown if i > head and site_line(i)}
-    # Titles below the heading of a block: lines of one style, none of them a sentence.
-    order = [i for i in shown if i > head]
-    in_block: set[int] = set()
-    for n, i in enumerate(order):
-        if i not in strong or not (_RELATED.match(plain[i])):
+def compare(pages: list[Page], sites: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For pages in order: how many neighbours share each line and each other key, and how many neighbours there are."""
+    sequences = [_sequence(p.keys) for p in pages]
+    sets = [set(zip(p.others["kind"].tolist(), other_keys(p.others).tolist())) for p in pages]
+    shared = [np.zeros(len(p.keys), np.int32) for p in pages]
+    shared_others = [np.zeros(len(p.others), np.int32) for p in pages]
+    near = [0] * len(pages)
+    others = [list(zip(p.others["kind"].tolist(), other_keys(p.others).tolist())) for p in pages]
+    for i in range(len(pages)):
+        for j in range(i + 1, min(i + 1 + NEAREST, len(pages))):
+            # Repeated fetches of one page say nothing about the site.
+            if sites[i] != sites[j] or sequences[i] == sequences[j]:
+                continue
+            near[i] += 1
+            near[j] += 1
+            for x, y in common_lines(sequences[i], sequences[j]):
+                shared[i][x] += 1
+                shared[j][y] += 1
+            for one, two in ((i, j), (j, i)):
+                shared_others[one] += np.fromiter((k in sets[two] for k in others[one]), np.int32, len(others[one]))
+    return list(zip(shared, shared_others, near))
+
+
+def judge(page: Page, shared: np.ndarray, shared_others: np.ndarray, near: int, known: dict[int, int]) -> dict[int, str]:
+    """Line numbers that are not main body, each with what tells so.
+
+    ``known`` has the learned keys: 1 the site's even as a list item, 2 the site's otherwise, 3 the title of another page.
+    """
+    n = len(page.keys)
+    heading, item = (page.flags & HEADING) > 0, (page.flags & ITEM) > 0
+    subject = np.flatnonzero(page.flags & SUBJECT)
+    head = int(subject[0]) if len(subject) else -1
+    reason: dict[int, str] = {}
+    keys = page.keys.tolist()
+    by_line: dict[int, list[tuple[int, int, int]]] = {}
+    for line, kind, key, count in zip(page.others["line"].tolist(), page.others["kind"].tolist(), other_keys(page.others).tolist(), shared_others.tolist()):
+        by_line.setdefault(line, []).append((kind, key, count))
+    titled = []
+    for i in range(n):
+        if heading[i] or i == head:
             continue
-        run, style = [], None
-        for j in order[n + 1 :]:
-            mark = _ITEM.match(plain[j])
-            kind = mark.group(0).strip()[:1] if mark else ""
-            if style is None:
-                style = kind
-            if kind != style or (j in strong and not kind) or plain[j].startswith("#") or _SENTENCE.search(plain[j]) or len(plain[j]) > 90 or " --" in plain[j]:
-                break
-            run.append(j)
-        in_block.update(run)
-    bad |= strong | in_block
-
-    # After the last line of the page's own writing, everything is the site's.
-    def own_writing(i: int) -> bool:
-        text = plain[i]
-        return bool(_SENTENCE.search(text)) or bool(regex.match(r"^#{1,6} ", text)) or bool(_ITEM.match(text)) or " --" in text or regex.search(r"[，,;；]", text) is not None or len(text) > 60
-
-    last = max((i for i in order if i not in bad and own_writing(i)), default=head)
-    bad |= {i for i in order if i > last}
-    return sorted(bad)
-
-
-def _compare_groups(batches):
-    """Per page: lines, wordings as hashes, shares; pages arrive by group and are held one group at a time."""
-    schema = pa.schema(
-        [("page_id", pa.int64()), ("title", pa.string()), ("lines", pa.list_(pa.string())), ("wordings", pa.list_(pa.int64())), ("shared", pa.list_(pa.int32())), ("compared", pa.int32())]
-    )
-
-    def done(group):
-        rows = sorted(group, key=lambda r: (url_path(r[1]), r[1] or "", r[0]))
-        lines = [(r[3] or "").split("\n") for r in rows]
-        lines = [[x.rstrip("\r") for x in page] for page in lines]
-        name = host_name([r[2] for r in rows], lines)
-        hashes = [[xxhash.xxh64_intdigest(wording(x, name)) - (1 << 63) if _SPACE.sub("", x) else 0 for x in page] for page in lines]
-        results = compare([[h for h in page if h] for page in hashes])
-        out = []
-        for row, page, hashed, (shared, compared) in zip(rows, lines, hashes, results):
-            counts = iter(shared)
-            out.append((row[0], row[2], page, hashed, [next(counts) if h else 0 for h in hashed], compared))
-        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-
-    current, group = None, []
-    for batch in batches:
-        for site, part, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            # Pages beyond that, as where very many share one URL, are compared among themselves.
-            if group and ((site, part) != current or len(group) >= 5 * GROUP_PAGES):
-                yield done(group)
-                group = []
-            current = (site, part)
-            group.append(tuple(row))
-    if group:
-        yield done(group)
-
-
-def _decide(batches):
-    for batch in batches:
-        pages, numbers = [], []
-        for page_id, title, lines, shared, compared, evidence in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            ratios = [0.0] * len(lines)
-            for e in evidence or ():
-                ratios[e["pos"]] = e["ratio"]
-            found = furniture(lines, title, [s / compared if compared else 0.0 for s in shared], compared, ratios)
-            pages.extend([page_id] * len(found))
-            numbers.extend(n + 1 for n in found)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(numbers, pa.int32())], ["page_id", "line_no"])
+        learned = known.get(keys[i])
+        others = by_line.get(i, ())
+        if near >= 2 and shared[i] >= LEAST_SHARE * near:
+            reason[i] = "neighbours"
+        elif learned == 1 or (learned == 2 and not item[i]):
+            reason[i] = "wording"
+        elif not item[i] and any(kind == FRAME and near >= 2 and count >= LEAST_SHARE * near for kind, _, count in others):
+            reason[i] = "frame of neighbours"
+        elif not item[i] and any(kind != LABEL and known.get(key) in (1, 2) for kind, key, _ in others):
+            reason[i] = "frame"
+        else:
+            labels = [known.get(key) in (1, 2) or (near >= 2 and count >= LEAST_SHARE * near) for kind, key, count in others if kind == LABEL]
+            # One label of a menu may be unknown; a sentence must consist of known phrases.
+            spare = len(labels) > 2 and not page.flags[i] & SENTENCE
+            if labels and not item[i] and sum(labels) >= len(labels) - spare:
+                reason[i] = "labels"
+            elif learned == 3:
+                titled.append(i)
+    # A title among the page's own lines may be chance; one beside the site's lines or another title is a link.
+    beside = set(reason) | set(titled)
+    for i in titled:
+        if i < head or i - 1 in beside or i + 1 in beside:
+            reason[i] = "title"
+    # A block: lines of one style between lines of the site.
+    run: list[int] = []
+    style, opened = None, False
+    for i in range(max(head + 1, 0), n + 1):
+        if i == n or i in reason:
+            if opened:
+                reason |= {k: "block" for k in run}
+            run = []
+            # A title inside a block goes on with it.
+            if i == n or reason[i] != "title":
+                style, opened = None, True
+        elif opened:
+            style = bool(item[i]) if style is None else style
+            if heading[i] or bool(item[i]) != style or page.flags[i] & (SENTENCE | WIDE | MARKED):
+                opened = False
+            else:
+                run.append(i)
+    # Before the heading and after the last line of own writing everything is the site's.
+    for i in range(head):
+        reason.setdefault(i, "place")
+    last = max((i for i in range(max(head, 0), n) if i not in reason and (i == head or page.flags[i] & WRITING)), default=head)
+    for i in range(last + 1, n):
+        reason.setdefault(i, "place")
+    return {int(page.numbers[i]): why for i, why in reason.items()}
 
 
-def _single_pages(pages: DataFrame) -> DataFrame:
-    """One row per page_id; of several fetches the last counts."""
-    latest = F.max_by(F.struct("url", "site", "title", "content"), F.struct("fetched_at", "content"))
-    return pages.filter("page_id is not null").groupBy("page_id").agg(latest.alias("p")).select("page_id", "p.*")
+_READ = "page_id bigint, version bigint, fetched_at timestamp, site string, place string, title_key bigint, lines binary, others binary"
+_COMPARED = "page_id bigint, version bigint, title_key bigint, lines binary, others binary, shared binary, near int"
 
 
-def site_lines(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+def _read(batches):
+    for batch in batches:
+        reader, out = Reader(), []
+        for page_id, version, url, site, title, content in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
+            page, title_key = reader.page(title, content)
+            # A page without site stands alone.
+            out.append((page_id, version, f"\u0001{page_id}" if site is None else site, url_order(url), title_key, *page.packed()))
+        ids, versions, sites, places, titles, lines, others = zip(*out) if out else ((),) * 7
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), batch.column(2), pa.array(sites, pa.string()), pa.array(places, pa.string()), pa.array(titles, pa.int64()), pa.array(lines, pa.binary()), pa.array(others, pa.binary())],
+            ["page_id", "version", "fetched_at", "site", "place", "title_key", "lines", "others"],
+        )
+
+
+def _compare_blocks(batches):
+    """Rows by block and place; one block is held at a time."""
+
+    def done(rows):
+        pages = [unpacked(r[6], r[7]) for r in rows]
+        out = []
+        for row, (shared, others, near) in zip(rows, compare(pages, [r[5] for r in rows])):
+            if row[1]:
+                counts = np.concatenate((shared, others)).astype(np.uint8)
+                out.append((row[2], row[3], row[4], row[6], row[7], counts.tobytes(), near))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+        columns = zip(*out) if out else ((),) * 7
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["page_id", "version", "title_key", "lines", "others", "shared", "near"])
+
+    current, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if rows and row[0] != current:
+                yield done(rows)
+                rows = []
+            current = row[0]
+            rows.append(row)
+    if rows:
+        yield done(rows)
+
+
+def _tally(batches):
+    """(key, shared, compared, lines, titles) summed over a batch, for keys of wordings, frames and labels."""
+    for batch in batches:
+        keys, shares, nears, ones, titles = [], [], [], [], []
+        for title_key, lines, others, shared, near in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            page, counts = unpacked(lines, others), np.frombuffer(shared, np.uint8)
+            counted = page.others["kind"] != LEAD
+            own = np.concatenate((page.keys, other_keys(page.others)[counted]))
+            keys.append(np.concatenate((own, [title_key])))
+            shares.append(np.concatenate((counts[: len(page.keys)], counts[len(page.keys) :][counted], [0])))
+            nears.append(np.append(np.full(len(own), near), 0))
+            ones.append(np.append(np.ones(len(own), np.int64), 0))
+            titles.append(np.append(np.zeros(len(own), np.int64), 1))
+        if not keys:
+            continue
+        key, index = np.unique(np.concatenate(keys), return_inverse=True)
+        total = lambda parts: pa.array(np.bincount(index, weights=np.concatenate(parts), minlength=len(key)).astype(np.int64))
+        compared = np.concatenate(nears)
+        # An occurrence counts where its page had neighbours to compare with.
+        seen = np.where(compared > 0, np.concatenate(ones), 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), total(shares), total([compared]), total([seen]), total(ones), total(titles)], ["key", "shared", "compared", "seen", "lines", "titles"]
+        )
+
+
+def learned_keys(compared: DataFrame) -> DataFrame:
+    """(key, verdict) of wordings, frames and labels that are the site's, and of lines that name a page (see ``judge``)."""
+    tally = compared.select("title_key", "lines", "others", "shared", "near").mapInArrow(_tally, "key bigint, shared bigint, compared bigint, seen bigint, lines bigint, titles bigint")
+    sums = tally.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("shared", "compared", "seen", "lines", "titles")])
+    ratio = F.when((F.col("compared") > 0) & (F.col("seen") >= LEAST_LINES), F.col("shared") / F.col("compared"))
+    verdict = F.when(ratio >= LEAST_RATIO + ITEM_MORE, 1).when(ratio >= LEAST_RATIO, 2).when((F.col("titles") > 0) & (F.col("lines") > 0), 3)
+    return sums.filter("key != 0").select("key", verdict.alias("verdict")).filter("verdict is not null")
+
+
+def _verdicts(known: dict[int, int] | None, with_reasons: bool):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page_id, version, lines, others, shared, near, given in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                page, counts = unpacked(lines, others), np.frombuffer(shared, np.uint8)
+                facts = known if known is not None else {g["key"]: g["verdict"] for g in given or ()}
+                found = judge(page, counts[: len(page.keys)], counts[len(page.keys) :], near, facts)
+                out.extend((page_id, version, n, why) for n, why in sorted(found.items()))
+            ids, versions, numbers, reasons = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(numbers, pa.int32()), pa.array(reasons, pa.string())], ["page_id", "version", "line_no", "reason"]
+            )
+
+    return run
+
+
+def _every_key(batches):
+    for batch in batches:
+        ids, keys = [], []
+        for page_id, lines, others in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            page = unpacked(lines, others)
+            own = np.unique(np.concatenate((page.keys, other_keys(page.others))))
+            ids.append(np.full(len(own), page_id))
+            keys.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["page_id", "key"])
+
+
+def with_version(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("_version", F.xxhash64("url", "site", "title", "content", "fetched_at"))
+
+
+def marked_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES, keys_sent: int = KEYS_SENT) -> DataFrame:
+    """(page_id, version, line_no, reason) for every non-blank line that is not main body; see ``site_lines``."""
+    spark = pages.sparkSession
+    raw = with_version(pages.filter("page_id is not null")).select("page_id", "_version", "fetched_at", "url", "site", "title", "content")
+    read = raw.mapInArrow(_read, _READ)
+    slim = [c.split()[0] for c in _READ.split(", ") if not c.startswith(("page_id", "fetched_at"))]
+    latest = F.max_by(F.struct(*slim), F.struct("fetched_at", "version"))
+    single = read.groupBy("page_id").agg(latest.alias("p")).select("page_id", "p.*")
+    # The cuts of a range depend on a sample, so places are numbered from what was written.
+    ordered = single.repartitionByRange("site", "place", "page_id").sortWithinPartitions("site", "place", "page_id").drop("place")
+    ordered = cut_lineage(ordered.withColumn("_n", F.monotonically_increasing_id()))
+    part, inner = F.shiftright("_n", 33), F.col("_n").bitwiseAND((1 << 33) - 1)
+    # One row per partition.
+    before, offsets = 0, []
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r[0], before))
+        before += r[1]
+    if not offsets:
+        return spark.createDataFrame([], "page_id bigint, version bigint, line_no int, reason string")
+    numbered = ordered.withColumns({"part": part, "inner": inner}).join(F.broadcast(spark.createDataFrame(offsets, "part bigint, before bigint")), "part")
+    place = F.col("before") + F.col("inner")
+    block, rest = F.floor(place / block_pages), place % block_pages
+    copies = F.array_compact(F.array(block, F.when(rest < NEAREST, block - 1), F.when(rest >= block_pages - NEAREST, block + 1)))
+    blocks = numbered.select(F.explode(copies).alias("block"), block.alias("home"), place.alias("place"), "page_id", "version", "title_key", "site", "lines", "others")
+    blocks = blocks.select("block", (F.col("block") == F.col("home")).alias("own"), "page_id", "version", "title_key", "site", "lines", "others", "place")
+    compared = blocks.repartition("block").sortWithinPartitions("block", "place").drop("place").mapInArrow(_compare_blocks, _COMPARED)
+    compared = cut_lineage(compared)
+    known = cut_lineage(learned_keys(compared))
+    columns = ["page_id", "version", "lines", "others", "shared", "near"]
+    schema = "page_id bigint, version bigint, line_no int, reason string"
+    if known.count() <= keys_sent:
+        table = {r.key: r.verdict for r in known.collect()}
+        return compared.select(*columns, F.lit(None).cast("string").alias("known")).mapInArrow(_verdicts(table, True), schema)
+    met = compared.select("page_id", "lines", "others").mapInArrow(_every_key, "page_id bigint, key bigint").join(known, "key")
+    given = met.groupBy("page_id").agg(F.collect_list(F.struct("key", "verdict")).alias("known"))
+    return compared.join(given, "page_id", "left").select(*columns, "known").mapInArrow(_verdicts(None, True), schema)
+
+
+def site_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES, keys_sent: int = KEYS_SENT) -> DataFrame:
     """(page_id, line_no) for every non-blank line that is not main body.
 
     ``pages`` has page_id, url, site, title, content, fetched_at.  Lines count
-    from 1, split at newlines.  Null content has no lines; a page without site
-    stands alone.  A host of more than ``group_pages`` pages is cut into groups
-    of about that size, each in order of URL, so no task holds a whole host.
+    from 1, split at newlines.  Of several fetches of a page_id the last counts,
+    and of equal times the one with the greatest hash.  Null content has no
+    lines; a page without site stands alone; rows without page_id are left out;
+    empty tables give no rows.  A host's pages are spread over blocks of
+    ``block_pages``, so no task holds a host, and the result is the same for
+    every size of block.
     """
-    single = cut_lineage(_single_pages(pages).withColumn("site", F.coalesce("site", F.concat(F.lit("\u0001"), F.col("page_id").cast("string")))))
-    sizes = single.groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_pages)
-    spread = single.join(sizes, "site", "left")
-    groups = F.ceil(F.coalesce("n", F.lit(1)) / group_pages)
-    # Stretches of near URLs stay together: a group takes whole prefixes of the path.
-    spread = spread.withColumn("part", F.pmod(F.xxhash64(F.coalesce(F.regexp_replace("url", r"[^/]{0,2}/?$", ""), F.col("page_id").cast("string"))), groups).cast("bigint"))
-    ordered = spread.select("site", "part", "page_id", "url", "title", "content").repartition("site", "part").sortWithinPartitions("site", "part")
-    compared = ordered.mapInArrow(
-        _compare_groups, "page_id bigint, title string, lines array<string>, wordings array<bigint>, shared array<int>, compared int"
-    )
-    compared = cut_lineage(compared)
-    places = compared.select("page_id", "compared", F.posexplode(F.arrays_zip("wordings", "shared")).alias("pos", "x")).select("page_id", "compared", "pos", "x.wordings", "x.shared")
-    places = places.filter("wordings != 0")
-    known = places.filter("compared > 0").groupBy("wordings").agg((F.sum("shared") / F.sum("compared")).alias("ratio"), F.count(F.lit(1)).alias("n"))
-    known = known.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("n") >= LEAST_PAGES)).select("wordings", "ratio")
-    evidence = places.join(known, "wordings").groupBy("page_id").agg(F.collect_list(F.struct("pos", "ratio")).alias("evidence"))
-    judged = compared.join(evidence, "page_id", "left").select("page_id", "title", "lines", "shared", "compared", "evidence")
-    return judged.mapInArrow(_decide, "page_id bigint, line_no int")
+    return marked_lines(pages, block_pages, keys_sent).select("page_id", "line_no")
 
 
-def main_bodies(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+def main_bodies(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """(page_id, title, body): every page with the lines that are left."""
-    single = cut_lineage(_single_pages(pages))
-    removed = site_lines(pages, group_pages).groupBy("page_id").agg(F.collect_set("line_no").alias("removed"))
-    joined = single.join(removed, "page_id", "left")
+    marked = marked_lines(pages, block_pages)
+    removed = marked.groupBy("page_id").agg(F.collect_set("line_no").alias("removed"))
+    fetched = with_version(pages.filter("page_id is not null"))
+    latest = F.max_by(F.struct("title", "content"), F.struct("fetched_at", "_version"))
+    joined = fetched.groupBy("page_id").agg(latest.alias("p")).select("page_id", "p.*").join(removed, "page_id", "left")
     lines = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\r(?=\n|$)", ""), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i + 1))
     return joined.select("page_id", "title", F.trim(F.array_join(kept, "\n")).alias("body"))

@@ -507,4 +507,4 @@ def main_bodies(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     joined = fetched.groupBy("page_id").agg(latest.alias("p")).select("page_id", "p.*").join(removed, "page_id", "left")
     lines = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), r"\r(?=\n|$)", ""), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i + 1))
-    return joined.select("page_id", "title", F.trim(F.array_join(kept, "\n")).alias("body"))
+    return joined.select("page_id", "title", F.btrim(F.array_join(kept, "\n"), F.lit(" \n")).alias("body"))

@@ -1,19 +1,23 @@
-"""Evaluation passages that leaked into a corpus.
-
-Latent semantic retrieval: documents are read as overlapping passages, each a
-TF-IDF vector over the character grams of the items (other coordinates cannot
-change a product with an item).  A randomised SVD of the passage matrix, summed
-up over all partitions, gives the latent space; passages near an item in it are
-candidates, and only these are compared exactly: the longest stretch that
-document and item share, by runs of equal grams.
-
-The corpus is read three times (document frequencies, SVD, search).  What
-reaches the driver depends on the items alone, a bounded set of queries.
+"""Evaluation passages that leaked into a corpus, whole, in part or reworded.
+
+Latent semantic retrieval.  Every document is read as overlapping passages,
+each a TF-IDF vector over all its subwords (runs of four letters, pairs of Han
+characters, hashed into ``TERMS`` coordinates).  A randomised SVD of all passages, summed
+up over all partitions, gives the latent space.  Passages near an item in it
+are candidates; nothing else is compared.  Candidates are then checked exactly:
+the longest stretch of letters and digits that document and item share, and for
+reworded passages the longest common subsequence of terms and the answer (the
+item's telling terms that its question does not give away).
+
+The corpus is read three times (document frequencies, SVD, search), the search
+once more for every ``block_items`` items.  What reaches the driver is bounded
+by the number of coordinates and dimensions, whatever corpus and items.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -21,22 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters and digits of a passage, and from one passage to the next.
-WINDOW, STRIDE = 512, 256
-#: Longest gram; every gram of the items is a coordinate.
-GRAM = 28
-#: Dimensions of the latent space, and those added while it is found.
-RANK, OVERSAMPLING = 128, 16
-#: Least cosine of a candidate.
-LEAST_COSINE = 0.05
+#: Letters and digits of a cell; a passage is two cells, and begins at every cell.
+CELL = 64
+#: Letters of a coordinate of scripts with letters; a pair of Han characters is one, too.
+GRAM = 4
+#: Items of fewer letters and digits have too little for a passage; every text is a candidate for them.
+SHORT = 24
+#: Coordinates of the hashed terms, dimensions of the latent space, and those added while it is found.
+TERMS, RANK, OVERSAMPLING = 1 << 14, 40, 8
+#: Least cosine of a candidate, and of one whose wording is compared.
+LEAST_COSINE, REWORDED_COSINE = 0.6, 0.75
+#: Share of an item's terms in common order, and of its answer, that make a reworded passage.
+LEAST_COMMON, LEAST_ANSWER = 0.6, 0.8
+#: Terms that make up an answer: the item's numbers, then its rarest terms, without those of its question.
+ANSWER_TERMS = 12
+#: Longest gram that leads the search for stretches; shorter items have shorter ones.
+GRAMS = (28, 14, 7, 3, 1)
+#: Items of one search.
+BLOCK_ITEMS = 4096
 SLICE_CHARS = 1_000_000
 _BLOCK = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
-SCHEMA = "doc_id bigint, item_id bigint, shared_chars int, item_chars int, cosine double"
-
+SCHEMA = "doc_id bigint, item_id bigint, kind string, shared_chars int, item_chars int, common_share double, answer_share double, cosine double"
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -57,75 +70,96 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and digits of all texts, each closed by a 10, and where each text begins (one more for the end)."""
-    code = np.frombuffer("\n".join(t.replace("\n", " ") for t in [*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    small = _letters()[np.minimum(code, 0x10FFFF)]
-    kept = small[small > 0]
-    return kept, np.concatenate(([0], np.flatnonzero(kept == 10) + 1))
-
+@functools.lru_cache(maxsize=1)
+def _han() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    for first, last in ((0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+        table[first : last + 1] = True
+    return table
 
-def gram_hashes(kept: np.ndarray, gram: int) -> np.ndarray:
-    if len(kept) < gram:
-        return np.zeros(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kept.astype(np.uint64) * _powers(_BASE, len(kept)), dtype=np.uint64)))
-    mixed = (total[gram:] - total[:-gram]) * _powers(_INVERSE, len(kept))[: len(kept) - gram + 1]
-    mixed ^= mixed >> np.uint64(29)
-    return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
+@functools.lru_cache(maxsize=1)
+def _digits() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[code for code in range(0x20000) if chr(code).isdigit()]] = True
+    return table
 
-class Items:
-    """The grams of the items, which are the coordinates, and where they occur."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        kept, starts = plain(texts)
-        self.ids = np.array(ids, np.int64)
-        self.chars = np.diff(starts) - 1
-        self.need = -(-self.chars // 2)
-        shortest = int(self.need[self.chars > 0].min()) if (self.chars > 0).any() else GRAM
-        self.gram = max(2, min(GRAM, shortest * 6 // 10))
-        hashes = gram_hashes(kept, self.gram)
-        place = np.arange(len(hashes))
-        item = np.searchsorted(starts, place, side="right") - 1
-        inside = place + self.gram <= starts[item + 1] - 1
-        hashes, item, place = hashes[inside], item[inside], (place - starts[item])[inside]
-        order = np.argsort(hashes, kind="stable")
-        self.keys, first = np.unique(hashes[order], return_index=True)
-        self.begin = np.concatenate((first, [len(order)]))
-        self.item, self.place = item[order], place[order]
-        self.n_features = len(self.keys)
-        self.mask = np.zeros(1 << 22, bool)
-        self.mask[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``kept`` where a gram of the items begins, and which gram."""
-        hashes = gram_hashes(kept, self.gram)
-        if not len(self.keys) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.mask[(hashes >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
-        true = self.keys[at] == hashes[maybe]
-        return maybe[true], at[true]
-
-    def passages(self, starts: np.ndarray, place: np.ndarray, gram: np.ndarray):
-        """(passage, feature, count) of all grams, by passage, and the number of passages before each text."""
-        sizes = np.diff(starts) - 1
-        n = np.maximum(1, -(-sizes // STRIDE))
-        before = np.concatenate(([0], np.cumsum(n)))
-        text = np.searchsorted(starts, place, side="right") - 1
-        part = (place - starts[text]) // STRIDE
-        one = before[text] + part
-        both = np.concatenate((one, (one - 1)[part > 0]))
-        key, count = np.unique(both * max(1, self.n_features) + np.concatenate((gram, gram[part > 0])), return_counts=True)
-        return key // max(1, self.n_features), key % max(1, self.n_features), count, before
-
-    def own_passages(self, texts: list[str]):
-        """(item, feature, count) with each item as one passage."""
-        kept, starts = plain(texts)
-        place, gram = self.hits(kept)
-        item = np.searchsorted(starts, place, side="right") - 1
-        key, count = np.unique(item * max(1, self.n_features) + gram, return_counts=True)
-        return key // max(1, self.n_features), key % max(1, self.n_features), count
+class Slice:
+    """Letters and digits of some texts, where each text begins, and their terms with the place at which each begins."""
+
+    def __init__(self, texts: list[str]):
+        code = np.frombuffer("\n".join(t.replace("\n", " ") for t in [*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        small = _letters()[np.minimum(code, 0x10FFFF)]
+        shown = small > 0
+        self.kept = small[shown]
+        self.starts = np.concatenate(([0], np.flatnonzero(self.kept == 10) + 1))
+        # A word ends at anything that is no letter, and beside a Han character.
+        apart = np.concatenate(([True], ~shown))[:-1][shown]
+        han, close = _han()[np.minimum(self.kept, 0x10FFFF)], self.kept == 10
+        before = np.concatenate(([True], (han | close)[:-1]))
+        begin = np.flatnonzero((apart | before) & ~han & ~close)
+        stops = np.concatenate((begin[1:], [len(self.kept)]))
+        # The next Han character, text end or word ends a word.
+        walls = np.flatnonzero(han | close)
+        after = np.searchsorted(walls, begin)
+        walls = np.concatenate((walls, [len(self.kept)]))
+        end = np.minimum(stops, walls[after])
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.kept.astype(np.uint64) * _powers(_BASE, len(self.kept)), dtype=np.uint64)))
+        back = _powers(_INVERSE, len(self.kept) + 1)
+        words = (total[end] - total[begin]) * back[begin]
+        pair = np.flatnonzero(han[:-1] & han[1:])
+        pairs = (total[pair + 2] - total[pair]) * back[pair]
+        place, term = np.concatenate((begin, pair)), np.concatenate((words, pairs))
+        order = np.argsort(place, kind="stable")
+        self.place = place[order]
+        term = term[order]
+        term ^= term >> np.uint64(31)
+        term *= np.uint64(0x94D049BB133111EB)
+        self.term = term ^ (term >> np.uint64(29))
+        self.total = total
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, place, side="right") - 1
+
+    def coordinates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates and their places, in order.
+
+        A coordinate is a pair of Han characters or a run of GRAM other letters,
+        whatever stands between them, so spaces and line breaks change nothing.
+        """
+        kept = np.concatenate((self.kept, np.full(GRAM, 10, np.uint32)))
+        n = len(self.kept)
+        mixed = kept[:n] * np.uint32(0x9E3779B1) + kept[1 : n + 1] * np.uint32(0x85EBCA6B)
+        whole = (self.kept != 10) & (kept[1 : n + 1] != 10)
+        pair = _han()[np.minimum(self.kept, 0x10FFFF)]
+        longer = whole & ~pair
+        run = mixed.copy()
+        for k, factor in zip(range(2, GRAM), (0xC2B2AE35, 0x27D4EB2F)):
+            letter = kept[k : n + k]
+            run += letter * np.uint32(factor)
+            longer &= letter != 10
+        mixed = np.where(pair, mixed, run)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        place = np.flatnonzero((whole & pair) | longer)
+        return (mixed[place] >> np.uint32(32 - TERMS.bit_length() + 1)).astype(np.uint16), place
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Coordinates, where those of each cell begin, and the number of cells before each text (every text has one)."""
+        coordinate, place = self.coordinates()
+        sizes = np.maximum(1, -(-(np.diff(self.starts) - 1) // CELL))
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        first = np.repeat(self.starts[:-1] - before[:-1] * CELL, sizes) + np.arange(before[-1]) * CELL
+        return coordinate, np.append(np.searchsorted(place, first), len(place)), before
+
+    def grams(self, gram: int) -> np.ndarray:
+        n = len(self.kept)
+        if n < gram:
+            return np.zeros(0, np.uint64)
+        mixed = (self.total[gram:] - self.total[:-gram]) * _powers(_INVERSE, n)[: n - gram + 1]
+        mixed ^= mixed >> np.uint64(29)
+        return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _slices(batch):
@@ -136,81 +170,87 @@ def _slices(batch):
         while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
             chars += len(texts[stop])
             stop += 1
-        yield ids.slice(start, stop - start), texts[start:stop]
+        yield ids.slice(start, stop - start), Slice(texts[start:stop])
         start = stop
 
 
-def _weighted(row, feature, count, idf):
-    """Rows in order without gaps, and weights of unit length per row."""
-    rows, dense = np.unique(row, return_inverse=True)
-    weight = count * idf[feature]
-    norm = np.sqrt(np.bincount(dense, weights=weight**2, minlength=len(rows)))
-    return rows, dense, (weight / np.maximum(norm, 1e-12)[dense]).astype(np.float32)
-
-
-def _project(dense, feature, weight, n_rows: int, basis: np.ndarray) -> np.ndarray:
-    out = np.zeros((n_rows, basis.shape[1]), np.float32)
-    if len(dense):
-        begin = np.flatnonzero(np.concatenate(([True], dense[1:] != dense[:-1])))
-        out[dense[begin]] = np.add.reduceat(basis[feature] * weight[:, None], begin, axis=0)
+def _sums(begin: np.ndarray, coordinate: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For every row, which begins at ``begin``, the sum of its coordinates' vectors."""
+    out = np.zeros((len(begin) - 1, table.shape[1]), np.float32)
+    full = np.flatnonzero(begin[1:] > begin[:-1])
+    # Some rows at a time, so that the gathered vectors stay small.
+    for at in range(0, len(full), 2048):
+        some = full[at : at + 2048]
+        low, high = begin[some[0]], begin[some[-1] + 1]
+        out[some] = np.add.reduceat(table[coordinate[low:high]], begin[some] - low, axis=0)
     return out
 
 
-def _add_products(total: np.ndarray, dense, feature, weight, image: np.ndarray) -> None:
-    """total[feature] += weight * image[row], summed by feature first."""
-    if len(feature):
-        order = np.argsort(feature, kind="stable")
-        sorted_features = feature[order]
-        begin = np.flatnonzero(np.concatenate(([True], sorted_features[1:] != sorted_features[:-1])))
-        total[sorted_features[begin]] += np.add.reduceat(image[dense[order]] * weight[order][:, None], begin, axis=0)
+def _passages(cells: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Every cell with the next one of its text; the last cell of a text stands alone."""
+    out = cells.copy()
+    goes_on = np.ones(len(cells), bool)
+    goes_on[before[1:] - 1] = False
+    goes_on = np.flatnonzero(goes_on)
+    out[goes_on] += cells[goes_on + 1]
+    return out
 
 
-def _frequencies(documents: DataFrame, shared) -> tuple[np.ndarray, int]:
-    """Passages with each coordinate, and all passages, over the whole corpus."""
+def _frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """Cells with each coordinate, and all cells, over the whole corpus."""
 
     def count(batches):
-        items = shared.value
-        seen, n = np.zeros(items.n_features, np.int64), 0
+        seen, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for _, texts in _slices(batch):
-                kept, starts = plain(texts)
-                _, feature, _, before = items.passages(starts, *items.hits(kept))
-                seen += np.bincount(feature, minlength=items.n_features)
+            for _, part in _slices(batch):
+                coordinate, begin, before = part.cells()
+                # Narrow numbers sort faster; only a text of very many letters needs wide ones.
+                number = np.uint32 if before[-1] < 1 << 17 else np.uint64
+                cell = np.repeat(np.arange(before[-1], dtype=number), np.diff(begin))
+                key = np.sort(cell * number(TERMS) + coordinate)
+                seen += np.bincount((key[np.flatnonzero(key[1:] != key[:-1])] & number(TERMS - 1)).astype(np.int64), minlength=TERMS)
+                seen += np.bincount((key[-1:] & number(TERMS - 1)).astype(np.int64), minlength=TERMS)
                 n += int(before[-1])
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([n, *seen[some]], pa.int64())], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([n, *seen[some]], pa.int64())], ["coordinate", "n"])
 
-    rows = documents.mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(shared.value.n_features, np.int64)
-    known = rows[rows.feature >= 0]
-    seen[known.feature.to_numpy(np.int64)] = known.n.to_numpy(np.int64)
-    return seen, int(rows[rows.feature < 0].n.sum())
+    rows = documents.mapInArrow(count, "coordinate bigint, n bigint").groupBy("coordinate").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(TERMS, np.int64)
+    known = rows[rows.coordinate >= 0]
+    seen[known.coordinate.to_numpy(np.int64)] = known.n.to_numpy(np.int64)
+    return seen, int(rows[rows.coordinate < 0].n.sum())
 
 
-def _latent_basis(documents: DataFrame, shared, idf: np.ndarray, own, n_items: int, seed: int = 7) -> np.ndarray:
-    """Coordinates by latent dimensions: the right singular vectors of all passages and items.
+def _latent_basis(documents: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Coordinates by latent dimensions: the right singular vectors of all passages.
 
     With Y = A·Omega, each partition adds up YᵀY and YᵀA; the range's orthonormal
     basis is Y·R for an R that follows from YᵀY, so QᵀA = Rᵀ(YᵀA) and A is read once.
     """
-    n, width = shared.value.n_features, RANK + OVERSAMPLING
+    width = RANK + OVERSAMPLING
 
     def sums(batches):
-        items = shared.value
-        omega = np.random.default_rng(seed).standard_normal((n, width), np.float32)
-        square, products = np.zeros((width, width)), np.zeros((n, width), np.float32)
+        omega = np.random.default_rng(seed).standard_normal((TERMS, width), np.float32)
+        weighted = omega * idf[:, None].astype(np.float32)
+        square, products = np.zeros((width, width)), np.zeros((TERMS, width), np.float32)
         for batch in batches:
-            for _, texts in _slices(batch):
-                kept, starts = plain(texts)
-                row, feature, count, _ = items.passages(starts, *items.hits(kept))
-                rows, dense, weight = _weighted(row, feature, count, idf)
-                image = _project(dense, feature, weight, len(rows), omega)
+            for _, part in _slices(batch):
+                coordinate, begin, before = part.cells()
+                image = _passages(_sums(begin, coordinate, weighted), before)
                 square += image.T.astype(float) @ image
-                _add_products(products, dense, feature, weight, image)
-        blocks = [b for b in range(0, n, _BLOCK) if products[b : b + _BLOCK].any()]
+                # A term's cell is in the passage that begins there and in the one before.
+                double = image.copy()
+                inner = np.ones(len(image), bool)
+                inner[before[:-1]] = False
+                inner = np.flatnonzero(inner)
+                double[inner] += image[inner - 1]
+                order = np.argsort(coordinate, kind="stable")
+                cell = np.repeat(np.arange(before[-1]), np.diff(begin))
+                products += _sums(np.searchsorted(coordinate[order], np.arange(TERMS + 1)), cell[order], double)
+        products *= idf[:, None].astype(np.float32)
+        blocks = [b for b in range(0, TERMS, _BLOCK) if products[b : b + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *blocks], pa.int64()), pa.array([square.astype(np.float64).tobytes(), *[products[b : b + _BLOCK].tobytes() for b in blocks]], pa.binary())],
-            ["block", "data"],
+            [pa.array([-1, *blocks], pa.int64()), pa.array([square.tobytes(), *[products[b : b + _BLOCK].tobytes() for b in blocks]], pa.binary())], ["block", "data"]
         )
 
     def total(batches):
@@ -226,105 +266,244 @@ def _latent_basis(documents: DataFrame, shared, idf: np.ndarray, own, n_items: i
 
     schema = "block bigint, data binary"
     rows = documents.mapInArrow(sums, schema).repartition("block").mapInArrow(total, schema).collect()
-    square, products = np.zeros((width, width)), np.zeros((n, width))
+    square, products = np.zeros((width, width)), np.zeros((TERMS, width))
     for r in rows:
         if r.block < 0:
             square += np.frombuffer(r.data, np.float64).reshape(width, width)
         else:
             part = np.frombuffer(r.data, np.float32).reshape(-1, width)
             products[r.block : r.block + len(part)] += part
-    item, feature, count = own
-    omega = np.random.default_rng(seed).standard_normal((n, width), np.float32)
-    rows, dense, weight = _weighted(item, feature, count, idf)
-    image = _project(dense, feature, weight, len(rows), omega)
-    square += image.T.astype(float) @ image
-    _add_products(products, dense, feature, weight, image)
     values, vectors = np.linalg.eigh(square)
-    good = values > values.max() * 1e-9
+    good = values > max(values.max(), 1e-12) * 1e-9
     small = products @ (vectors[:, good] / np.sqrt(values[good]))
     left, _, _ = np.linalg.svd(small, full_matrices=False)
     return left[:, :RANK].astype(np.float32)
 
 
-def longest_shared(items: Items, text_of: np.ndarray, place: np.ndarray, gram: np.ndarray, wanted: np.ndarray):
-    """(text, item, longest common stretch) for the wanted pairs, a matrix of texts by items."""
-    n = items.begin[gram + 1] - items.begin[gram]
-    source = np.repeat(np.arange(len(gram)), n)
-    spot = np.repeat(items.begin[gram] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(source))
-    text, item = text_of[source], items.item[spot]
-    keep = wanted[text, item]
-    text, item, at, there = text[keep], item[keep], place[source][keep], items.place[spot[keep]]
-    if not len(text):
-        return text, item, at
-    order = np.lexsort((at, at - there, item, text))
-    text, item, at, diagonal = text[order], item[order], at[order], (at - there)[order]
-    breaks = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)))
-    begin = np.flatnonzero(breaks)
-    length = np.diff(np.concatenate((begin, [len(at)]))) + items.gram - 1
-    key, index = np.unique(text[begin].astype(np.int64) * wanted.shape[1] + item[begin], return_inverse=True)
-    best = np.zeros(len(key), np.int64)
-    np.maximum.at(best, index, length)
-    return key // wanted.shape[1], key % wanted.shape[1], best
-
-
-def leaks(documents: DataFrame, items: DataFrame, least_cosine: float = LEAST_COSINE, max_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, shared_chars, item_chars, cosine): documents that hold at least half of an item in one stretch.
-
-    ``documents`` has doc_id and text, ``items`` item_id and text; only letters
-    and digits count, without case.  The items are a bounded set (more than
-    ``max_items`` raise an error) and held by every task.  Null and empty texts
-    match nothing; repeated items count once; every document row is searched.
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+
+
+def _latent(part: Slice, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent vectors of all passages, of unit length, and the number of passages before each text."""
+    coordinate, begin, before = part.cells()
+    weighted = basis * idf[:, None].astype(np.float32)
+    return _unit(_passages(_sums(begin, coordinate, weighted), before)), before
+
+
+class Items:
+    """Items of one search: latent passages, and their grams by length of gram."""
+
+    def __init__(self, ids: list[int], texts: list[str], questions: list[str], idf: np.ndarray, basis: np.ndarray):
+        part = Slice(texts)
+        self.ids = np.array(ids, np.int64)
+        self.chars = np.diff(part.starts) - 1
+        self.need = np.maximum(1, -(-self.chars // 2))
+        self.latent, before = _latent(part, idf, basis)
+        self.item_of = np.repeat(np.arange(len(ids)), np.diff(before))
+        text = part.text_of(part.place)
+        self.terms = [part.term[text == n] for n in range(len(ids))] if len(ids) < 64 else np.split(part.term, np.searchsorted(text, np.arange(1, len(ids))))
+        asked = Slice(questions)
+        asked_of = asked.text_of(asked.place)
+        # How rare a term is, by the coordinate that it begins with.
+        coordinate, at = part.coordinates()
+        weights = np.append(idf[coordinate], 0)[np.minimum(np.searchsorted(at, part.place), len(at))]
+        numeric = _digits()[np.minimum(part.kept[part.place], 0x10FFFF)]
+        self.answers = []
+        for n in range(len(ids)):
+            mine = np.flatnonzero(text == n) if len(ids) < 64 else np.arange(*np.searchsorted(text, (n, n + 1)))
+            terms, first = np.unique(part.term[mine], return_index=True)
+            fresh = ~np.isin(terms, asked.term[asked_of == n])
+            order = np.lexsort((terms[fresh], -weights[mine][first][fresh], ~numeric[mine][first][fresh]))
+            self.answers.append(np.sort(terms[fresh][order[:ANSWER_TERMS]]))
+        sizes = np.array([len(a) for a in self.answers], np.int64)
+        self.least_answer = np.ceil(LEAST_ANSWER * sizes).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.answers])
+        order = np.argsort(flat, kind="stable")
+        self.answer_terms, first = np.unique(flat[order], return_index=True)
+        self.answer_begin, self.answer_items = np.concatenate((first, [len(flat)])), np.repeat(np.arange(len(ids)), sizes)[order]
+        # The gram of an item is shorter than the half that is sought, so every such half holds one.
+        gram_of = np.array([next((g for g in GRAMS if g <= max(1, n * 6 // 10)), 1) for n in self.need])
+        self.classes = []
+        for gram in sorted(set(gram_of[self.chars > 0].tolist())):
+            hashes = part.grams(gram)
+            place = np.arange(len(hashes))
+            item = part.text_of(place)
+            inside = (place + gram <= part.starts[item + 1] - 1) & (gram_of[item] == gram)
+            hashes, item, place = hashes[inside], item[inside], (place - part.starts[item])[inside]
+            order = np.argsort(hashes, kind="stable")
+            keys, first = np.unique(hashes[order], return_index=True)
+            mask = np.zeros(1 << 22, bool)
+            mask[(keys >> np.uint64(42)).astype(np.int64)] = True
+            self.classes.append((gram, keys, np.concatenate((first, [len(order)])), item[order], place[order], mask))
+
+    def nearest(self, vectors: np.ndarray, before: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, cosine) of the texts and items whose nearest passages are candidates, by text and item."""
+        found = []
+        edges = np.searchsorted(self.item_of, np.arange(len(self.ids) + 1))
+        # Blocks of whole texts of about 4,096 passages, and of items.
+        cuts = np.unique(np.searchsorted(before, np.arange(0, before[-1], 4096)))
+        cuts = np.concatenate((cuts[cuts < len(before) - 1], [len(before) - 1]))
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            there = vectors[before[first] : before[last]].T
+            for low in range(0, len(self.ids), 512):
+                high = min(low + 512, len(self.ids))
+                cosine = self.latent[edges[low] : edges[high]] @ there
+                cosine = np.maximum.reduceat(cosine, edges[low:high] - edges[low], axis=0)
+                cosine = np.maximum.reduceat(cosine, before[first:last] - before[first], axis=1)
+                cosine[self.chars[low:high] < SHORT] = 1
+                item, text = np.nonzero(cosine >= least)
+                found.append((text + first, item + low, cosine[item, text]))
+        text, item, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+        order = np.lexsort((item, text))
+        return text[order], item[order], cosine[order]
+
+    def nearest_passage(self, vectors: np.ndarray, before: np.ndarray, text: int, item: int) -> int:
+        low, high = np.searchsorted(self.item_of, (item, item + 1))
+        return int(before[text] + np.argmax((vectors[before[text] : before[text + 1]] @ self.latent[low:high].T).max(axis=1)))
+
+    def answered(self, part: Slice, wanted: np.ndarray) -> np.ndarray:
+        """Which of the wanted pairs (sorted keys text * items + item) have enough of the item's answer anywhere in the text."""
+        if not len(self.answer_terms) or not len(wanted):
+            return np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.answer_terms, part.term), len(self.answer_terms) - 1)
+        hit = np.flatnonzero(self.answer_terms[at] == part.term)
+        once = np.unique(part.text_of(part.place[hit]) * len(self.answer_terms) + at[hit])
+        text, which = once // len(self.answer_terms), once % len(self.answer_terms)
+        times = self.answer_begin[which + 1] - self.answer_begin[which]
+        spot = np.repeat(self.answer_begin[which] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+        pair = np.repeat(text, times) * len(self.ids) + self.answer_items[spot]
+        place = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+        counts = np.bincount(place[wanted[place] == pair], minlength=len(wanted))
+        return (counts >= self.least_answer[wanted % len(self.ids)]) & (counts > 0)
+
+    def stretches(self, part: Slice, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, longest stretch in common) of wanted pairs, sorted keys text * items + item; pairs without a common gram are left out."""
+        n = len(self.ids)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for gram, keys, begin, items, places, mask in self.classes:
+            hashes = part.grams(gram)
+            maybe = np.flatnonzero(mask[(hashes >> np.uint64(42)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
+            true = keys[at] == hashes[maybe]
+            place, which = maybe[true], at[true]
+            times = begin[which + 1] - begin[which]
+            source = np.repeat(np.arange(len(which)), times)
+            spot = np.repeat(begin[which] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(source))
+            text, item = part.text_of(place)[source], items[spot]
+            pair = text * n + item
+            keep = wanted[np.minimum(np.searchsorted(wanted, pair), max(len(wanted) - 1, 0))] == pair if len(wanted) else np.zeros(len(pair), bool)
+            pair, here, there = pair[keep], place[source][keep], places[spot[keep]]
+            if not len(pair):
+                continue
+            order = np.lexsort((here, here - there, pair))
+            pair, here, diagonal = pair[order], here[order], (here - there)[order]
+            breaks = np.concatenate(([True], (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1]) | (here[1:] != here[:-1] + 1)))
+            first = np.flatnonzero(breaks)
+            length = np.diff(np.concatenate((first, [len(here)]))) + gram - 1
+            key, index = np.unique(pair[first], return_inverse=True)
+            best = np.zeros(len(key), np.int64)
+            np.maximum.at(best, index, length)
+            out.append((key // n, key % n, best))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def common_terms(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bits: one word of arithmetic per term of ``a``."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        match = row & places.get(x, 0)
+        row = ((row + match) | (row - match)) & full
+    return len(b) - row.bit_count()
+
+
+def _reworded(items: Items, part: Slice, vectors: np.ndarray, before: np.ndarray, text: int, item: int) -> tuple[float, float]:
+    """Shares of an item's terms that stand in the same order around the text's nearest passage, and of its answer there."""
+    terms, answer = items.terms[item], items.answers[item]
+    if not len(terms) or not len(answer):
+        return 0.0, 0.0
+    # As much text on either side of the passage as the item is long.
+    middle = part.starts[text] + (items.nearest_passage(vectors, before, text, item) - before[text]) * CELL
+    low = max(part.starts[text], middle - int(items.chars[item]))
+    high = min(part.starts[text + 1], middle + 2 * CELL + int(items.chars[item]))
+    there = part.term[slice(*np.searchsorted(part.place, (low, high)))]
+    answered = float(np.isin(answer, there).mean())
+    if answered < LEAST_ANSWER:
+        return 0.0, answered
+    return common_terms(terms, there) / len(terms), answered
+
+
+def _found(items: Items, idf: np.ndarray, basis: np.ndarray, ids: pa.Array, part: Slice, least_cosine: float) -> pa.RecordBatch:
+    vectors, before = _latent(part, idf, basis)
+    text, item, cosine = items.nearest(vectors, before, least_cosine)
+    pair = text * len(items.ids) + item
+    t, i, best = items.stretches(part, pair)
+    shared = np.zeros(len(pair), np.int64)
+    shared[np.searchsorted(pair, t * len(items.ids) + i)] = best
+    exact = (shared >= items.need[item]) & (items.chars[item] > 0)
+    rows = [(k, "stretch", None, None) for k in np.flatnonzero(exact)]
+    maybe = np.flatnonzero(~exact & (cosine >= REWORDED_COSINE))
+    for k in maybe[items.answered(part, pair[maybe])]:
+        common, answered = _reworded(items, part, vectors, before, int(text[k]), int(item[k]))
+        if common >= LEAST_COMMON:
+            rows.append((k, "reworded", common, answered))
+    at = np.array([r[0] for r in rows], np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(text[at], pa.int64())),
+            pa.array(items.ids[item[at]], pa.int64()),
+            pa.array([r[1] for r in rows], pa.string()),
+            pa.array(shared[at], pa.int32()),
+            pa.array(items.chars[item[at]], pa.int32()),
+            pa.array([r[2] for r in rows], pa.float64()),
+            pa.array([r[3] for r in rows], pa.float64()),
+            pa.array(cosine[at], pa.float64()),
+        ],
+        [f.split()[0] for f in SCHEMA.split(", ")],
+    )
+
+
+def _blocks(items: DataFrame, size: int):
+    """Items once each, ``size`` at a time, in order."""
+    question = F.col("question") if "question" in items.columns else F.lit(None).cast("string")
+    rows = items.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min(F.struct("text", question.alias("question"))).alias("i"))
+    rows = rows.select("item_id", "i.text", "i.question").orderBy("item_id").toLocalIterator()
+    while block := list(itertools.islice(rows, size)):
+        yield block
+
+
+def leaks(documents: DataFrame, items: DataFrame, least_cosine: float = LEAST_COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, kind, shared_chars, item_chars, common_share, answer_share, cosine), one row per document row and item that leaked into it.
+
+    ``documents`` has doc_id and text, ``items`` item_id, text and perhaps
+    question.  ``stretch``: the document holds at least half of the item in one
+    stretch; only letters and digits count, without case.  ``reworded``: it does
+    not, but ``LEAST_COMMON`` of the item's terms stand in the same order near a
+    passage of it that has ``LEAST_ANSWER`` of its answer.  Items are searched
+    ``block_items`` at a time, any number of them.  Null and empty texts match
+    nothing; repeated items count once; every document row is searched.
     """
-    rows = items.filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items; search them in blocks")
-    texts = [r.text for r in rows]
-    prepared = Items([r.item_id for r in rows], texts)
     spark = documents.sparkSession
-    if not prepared.n_features:
-        return spark.createDataFrame([], SCHEMA)
     documents = documents.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(prepared)
-    seen, n_passages = _frequencies(documents, shared)
-    own = prepared.own_passages(texts)
-    # Positive even for a gram of every passage, as in a very small corpus.
-    idf = np.log1p((n_passages + len(rows)) / np.maximum(1, seen + np.bincount(own[1], minlength=prepared.n_features)))
-    basis = _latent_basis(documents, shared, idf, own, len(rows))
-    known, dense, weight = _weighted(*own, idf)
-    latent = np.zeros((len(rows), basis.shape[1]), np.float32)
-    latent[known] = _project(dense, own[1], weight, len(known), basis)
-    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-    space = spark.sparkContext.broadcast((basis, latent, idf))
-
-    def search(batches):
-        prepared, (basis, latent, idf) = shared.value, space.value
-        n_items = len(latent)
-        for batch in batches:
-            for ids, texts in _slices(batch):
-                kept, starts = plain(texts)
-                place, gram = prepared.hits(kept)
-                row, feature, count, before = prepared.passages(starts, place, gram)
-                passages, dense, weight = _weighted(row, feature, count, idf)
-                vectors = _project(dense, feature, weight, len(passages), basis)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-                text = np.searchsorted(before, passages, side="right") - 1
-                nearest = np.full((len(texts), n_items), -1, np.float32)
-                if len(text):
-                    begin = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-                    nearest[text[begin]] = np.maximum.reduceat(vectors @ latent.T, begin, axis=0)
-                text_of = np.searchsorted(starts, place, side="right") - 1
-                found, item, best = longest_shared(prepared, text_of, place, gram, nearest >= least_cosine)
-                good = best >= prepared.need[item] if len(item) else np.zeros(0, bool)
-                found, item, best = found[good], item[good], best[good]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(found, pa.int64())),
-                        pa.array(prepared.ids[item], pa.int64()),
-                        pa.array(best, pa.int32()),
-                        pa.array(prepared.chars[item], pa.int32()),
-                        pa.array(nearest[found, item], pa.float64()),
-                    ],
-                    ["doc_id", "item_id", "shared_chars", "item_chars", "cosine"],
-                )
-
-    return documents.mapInArrow(search, SCHEMA)
+    found = spark.createDataFrame([], SCHEMA)
+    space = None
+    for block in _blocks(items, block_items):
+        if space is None:
+            seen, n = _frequencies(documents)
+            idf = np.log1p(n / np.maximum(1, seen))
+            space = idf, _latent_basis(documents, idf)
+        prepared = Items([r.item_id for r in block], [r.text for r in block], [r.question or "" for r in block], *space)
+        shared = spark.sparkContext.broadcast((prepared, *space))
+
+        def search(batches, shared=shared):
+            prepared, idf, basis = shared.value
+            for batch in batches:
+                for ids, part in _slices(batch):
+                    yield _found(prepared, idf, basis, ids, part, least_cosine)
+
+        found = found.unionByName(documents.mapInArrow(search, SCHEMA))
+    return found

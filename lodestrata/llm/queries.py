@@ -68,8 +68,13 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of an evaluation item in one stretch."""
-    items = table(spark, sf_dir, "eval_items").select("item_id", "text")
-    return leakage.leaks(table(spark, sf_dir, "documents"), items).select("doc_id", "item_id").distinct()
+    return p8_leaks(spark, sf_dir).filter("kind = 'stretch'").select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items in them, in one stretch or reworded, and how near they are."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "text", "question")
+    return leakage.leaks(table(spark, sf_dir, "documents"), items)
 
 
 def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +100,7 @@ QUERIES = {
     "p7_containers": p7_containers,
     "p7_usage": p7_usage,
     "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_figures": p9_figures,
 }

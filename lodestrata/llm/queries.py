@@ -81,7 +81,9 @@ def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality figures of every document."""
     # A fixed table of under 200 rows.
     words = [r.word for r in table(spark, sf_dir, "common_words").select("word").distinct().collect() if r.word]
-    return textstats.document_figures(table(spark, sf_dir, "documents"), words)
+    documents = table(spark, sf_dir, "documents")
+    model = textstats.fit_kinds(documents, table(spark, sf_dir, "doc_labels"), words)
+    return textstats.document_figures(documents, words, model)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Whole texts are measured in array operations over their code points, some
 million characters at a time.  Tables show in delimiters that stand under one
 another in neighbouring lines, lists in markers, in lines of like shape and in
 indentation or lengths that come in turn; junk in symbols, broken characters,
-repetition and missing words.
+repetition and missing words.  What the figures say together is learned:
+boosted trees over all of them are fitted on a bounded sample of labelled
+documents, beginning from a weak guess by rules.
 """
 
 from __future__ import annotations
@@ -16,12 +18,23 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.llm import boosting
 
 LETTER, HAN, DIGIT, SPACE, PUNCT, SYMBOL = 1, 2, 4, 8, 16, 32
 
 #: Characters measured at a time, which bounds a worker's memory; one text is never split.
 SLICE_CHARS = 1_000_000
 
+KINDS = ("prose", "list", "table", "junk")
+
+#: Labelled documents that the trees are fitted on at most, chosen by the hash of their id.
+MAX_LABELS = 10_000
+
+#: How much the guess by rules counts before anything is learned, in units of a score.
+GUESS = 1.0
+
 #: Characters by their part in a line.
 BULLETS = "-*+•·‣▪◦●○■□–—☐☑✓✔"
 CLOSERS = ".)）、．]】:：,"
@@ -36,10 +49,13 @@ PERIODS = (2, 3, 4, 5, 6)
 
 FIGURES = (
     "n_chars n_words n_lines mean_word_length symbol_ratio digit_ratio punct_ratio end_punct_share common_word_share "
-    "list_share table_share indent_share length_autocorrelation repeated_line_share compressed_ratio broken_ratio mojibake_ratio "
+    "list_share table_share indent_share indent_periodicity length_autocorrelation repeated_line_share compressed_ratio broken_ratio mojibake_ratio "
     "code_ratio machine_line_share long_word_share inner_punct_ratio rule_line_share marker_ratio"
 ).split()
 
+#: What the trees see.
+SIGNALS = [*FIGURES, "_shown", "_scattered", "_inside_share", "_going_on_share", "_line_width", "_line_spread", "_monotonous", "_wordy"]
+
 SCHEMA = "doc_id bigint, " + ", ".join(f"{n} {'bigint' if n.startswith('n_') else 'double'}" for n in FIGURES) + ", text_kind string"
 
 
@@ -324,7 +340,7 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
         "marker_ratio": marker / np.maximum(n_words, 1),
         "_shown": n_shown,
         "_scattered": scattered / np.maximum(n_letters + n_han, 1),
-        "_indent_periodicity": periodicity,
+        "indent_periodicity": periodicity,
         "_inside_share": share(stops_inside > 0),
         "_going_on_share": share(going_on),
         "_line_width": average,
@@ -334,11 +350,11 @@ def measure(texts: list[str], words: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def classify(f: dict[str, np.ndarray]) -> np.ndarray:
-    """prose, list, table or junk by the figures."""
+def first_guess(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Number of the kind (see ``KINDS``) by rules."""
     table = f["table_share"] > 0.5
     # Items without markers, wider than a short line or ended like sentences: the lines' shape over the whole text, where it isn't wrapped prose.
-    rhythm, turns = f["length_autocorrelation"], f["_indent_periodicity"] > 0.6
+    rhythm, turns = f["length_autocorrelation"], f["indent_periodicity"] > 0.6
     itemised = (f["n_lines"] >= 5) & (f["_inside_share"] < 0.1) & (f["_going_on_share"] <= 0.5) & (f["_line_width"] <= 160) & (f["symbol_ratio"] < 0.05) & (f["punct_ratio"] < 0.15)
     even = (f["_line_spread"] <= 0.6) | (rhythm <= -0.5)
     shaped = itemised & (((f["end_punct_share"] < 0.1) & (even | turns)) | (turns & (np.abs(rhythm) >= 0.3) & (f["_going_on_share"] < 0.1)))
@@ -366,30 +382,76 @@ def classify(f: dict[str, np.ndarray]) -> np.ndarray:
         | ((f["repeated_line_share"] > 0.5) & ~table & ~listed)
         | f["_monotonous"]
     )
-    return np.where(junk, "junk", np.where(table, "table", np.where(listed, "list", "prose")))
+    return np.where(junk, 3, np.where(table, 2, np.where(listed, 1, 0)))
+
+
+def signals(f: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([np.asarray(f[name], float) for name in SIGNALS], axis=1)
+
+
+def classify(f: dict[str, np.ndarray], model: boosting.Model | None = None) -> np.ndarray:
+    """prose, list, table or junk by the figures; without a model by rules."""
+    scores = np.eye(len(KINDS))[first_guess(f)] * GUESS
+    if model is not None:
+        scores = model.scores(signals(f), scores)
+    return np.array(KINDS)[scores.argmax(axis=1)]
+
+
+def _slices(batch):
+    ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+    start = 0
+    while start < len(texts):
+        stop, chars = start + 1, len(texts[start])
+        while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
+            chars += len(texts[stop])
+            stop += 1
+        yield ids.slice(start, stop - start), texts[start:stop]
+        start = stop
+
+
+def fit_kinds(documents: DataFrame, labels: DataFrame, common_words: list[str], max_labels: int = MAX_LABELS) -> boosting.Model:
+    """Trees fitted on the labelled documents (doc_id, text_kind), at most ``max_labels`` of them.
+
+    Of several labels of a document the commonest counts, of equally common ones
+    the first by name; labels of other names and of unknown documents are left
+    out.  Without labels the rules decide.
+    """
+    counted = labels.filter(F.col("doc_id").isNotNull() & F.col("text_kind").isin(*KINDS)).groupBy("doc_id", "text_kind").agg(F.count(F.lit(1)).alias("n"))
+    single = counted.groupBy("doc_id").agg(F.min_by("text_kind", F.struct(-F.col("n"), "text_kind")).alias("text_kind"))
+    sample = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    # The sample's size is bounded by max_labels, that of its figures with it.
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text_kind", "text")
+
+    def rows(batches):
+        words = Vocabulary(common_words)
+        for batch in batches:
+            for kinds, texts in _slices(batch):
+                f = measure(texts, words)
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(first_guess(f), pa.int32()), pa.array([r.tobytes() for r in signals(f)], pa.binary())], ["kind", "guess", "signals"])
+
+    found = texts.mapInArrow(rows, "kind string, guess int, signals binary").collect()
+    found.sort(key=lambda r: (r.signals, r.kind))
+    x = np.array([np.frombuffer(r.signals) for r in found]).reshape(len(found), len(SIGNALS))
+    wanted = np.array([KINDS.index(r.kind) for r in found], np.int64)
+    return boosting.fit(x, wanted, len(KINDS), np.eye(len(KINDS))[np.array([r.guess for r in found], np.int64)] * GUESS)
 
 
-def document_figures(documents: DataFrame, common_words: list[str]) -> DataFrame:
+def document_figures(documents: DataFrame, common_words: list[str], model: boosting.Model | None = None) -> DataFrame:
     """(doc_id, the figures, text_kind) for every row of ``documents`` (doc_id, text).
 
     A null text counts as empty; rows are neither lost nor doubled.
-    ``common_words`` is a list of bounded size (a fixed table).
+    ``common_words`` is a list of bounded size (a fixed table); ``model`` comes
+    from ``fit_kinds``, and without it rules name the kind.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         words = Vocabulary(common_words)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, chars = start + 1, len(texts[start])
-                while stop < len(texts) and chars + len(texts[stop]) <= SLICE_CHARS:
-                    chars += len(texts[stop])
-                    stop += 1
-                figures = measure(texts[start:stop], words)
+            for ids, texts in _slices(batch):
+                figures = measure(texts, words)
                 arrays = [pa.array(figures[name], pa.int64() if name.startswith("n_") else pa.float64()) for name in FIGURES]
-                kind = pa.array(classify(figures).tolist(), pa.string())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), *arrays, kind], ["doc_id", *FIGURES, "text_kind"])
-                start = stop
+                kind = pa.array(classify(figures, shared.value).tolist(), pa.string())
+                yield pa.RecordBatch.from_arrays([ids, *arrays, kind], ["doc_id", *FIGURES, "text_kind"])
 
     return documents.select("doc_id", "text").mapInArrow(rows, SCHEMA)

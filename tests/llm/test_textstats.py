@@ -55,7 +55,7 @@ def test_kinds_by_shape_and_ratios(kind, text):
 
 
 def test_indents_that_come_in_turn():
-    f = T.measure([NESTED, "a\n" * 9, "    a\n" * 9, ""], T.Vocabulary([]))["_indent_periodicity"]
+    f = T.measure([NESTED, "a\n" * 9, "    a\n" * 9, ""], T.Vocabulary([]))["indent_periodicity"]
     assert f[0] > 0.9 and list(f[1:]) == [0, 0, 0]
 
 
@@ -63,3 +63,60 @@ def test_gaps_far_along_a_line_are_columns_of_their_own():
     paragraph = lambda n: ("word " * n)[:-1] + ".  Here  it ends, after two gaps, and so the day was over."
     apart, below = T.measure([paragraph(900) + "\n" + paragraph(1000), paragraph(900) + "\n" + paragraph(900)], T.Vocabulary([]))["table_share"]
     assert apart == 0 and below == 1
+
+
+def labelled(n, seed):
+    """Texts of four kinds with their labels: prose, wide lists without markers, tables, and signs."""
+    import random
+
+    random.seed(seed)
+    words = "lamp lease river letter mint sleep archive kitchen noon budget walk draft".split()
+    phrase = lambda k: " ".join(random.choice(words) for _ in range(k))
+    out = []
+    for i in range(n):
+        kind = T.KINDS[i % 4]
+        if kind == "prose":
+            text = "\n".join(" ".join(f"I saw the {phrase(4)} and it was {phrase(2)}." for _ in range(4)) for _ in range(random.randint(1, 4)))
+        elif kind == "list":
+            text = "\n".join(f"the {phrase(9)} and it is to {phrase(3)}; then {phrase(3)}." for _ in range(random.randint(4, 9)))
+        elif kind == "table":
+            text = "\n".join(f"{phrase(1)} ~ {random.randint(1, 99)} ~ {phrase(2)}" for _ in range(random.randint(4, 9)))
+        else:
+            text = " ".join("".join(random.choice("q$7~k^+=zw") for _ in range(4)) for _ in range(40))
+        out.append((i, text, kind))
+    return out
+
+
+def test_learned_kinds_on_held_out_documents(spark):
+    rows = labelled(600, 1)
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
+    # A few labels are wrong, some repeated, some of unknown kinds or documents.
+    labels = [(i, "junk" if i % 41 == 0 else k) for i, _, k in rows if i < 400] + [(4, rows[4][2])] * 2 + [(7, None), (9999, "list"), (8, "poem"), (None, "list")]
+    model = T.fit_kinds(documents.drop("kind"), spark.createDataFrame(labels, "doc_id bigint, text_kind string"), ["the", "and", "it"])
+    f = T.measure([t for _, t, _ in rows], T.Vocabulary(["the", "and", "it"]))
+    held = np.array([i >= 400 for i, _, _ in rows])
+    right = lambda kinds: np.mean((kinds == np.array([k for _, _, k in rows]))[held])
+    assert right(T.classify(f, model)) >= 0.97 > right(T.classify(f))
+    again = T.fit_kinds(documents.drop("kind").repartition(7), spark.createDataFrame(labels[::-1], "doc_id bigint, text_kind string"), ["the", "and", "it"])
+    assert (again.values == model.values).all() and (again.figures == model.figures).all()
+
+
+def test_without_labels_the_rules_decide(spark):
+    documents = spark.createDataFrame([(1, PROSE)], "doc_id bigint, text string")
+    model = T.fit_kinds(documents, spark.createDataFrame([], "doc_id bigint, text_kind string"), [])
+    assert [r.text_kind for r in T.document_figures(documents, [], model).collect()] == ["prose"]
+
+
+@pytest.mark.parametrize("name", ["table_share", "indent_periodicity", "length_autocorrelation", "symbol_ratio", "end_punct_share", "mean_word_length", "common_word_share"])
+def test_each_named_signal_can_decide(name):
+    from lodestrata.llm import boosting
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, len(T.SIGNALS)))
+    at = T.SIGNALS.index(name)
+    wanted = np.where(x[:, at] > 0.6, 1, 0)
+    model = boosting.fit(x, wanted, 4, np.zeros((400, 4)))
+    flat = x.copy()
+    flat[:, at] = 0
+    assert (model.scores(x, np.zeros((400, 4))).argmax(1) == wanted).mean() > 0.98
+    assert (model.scores(flat, np.zeros((400, 4))).argmax(1) == 0).all()

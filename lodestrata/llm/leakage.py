@@ -86,38 +86,52 @@ def _digits() -> np.ndarray:
 
 
 class Slice:
-    """Letters and digits of some texts, where each text begins, and their terms with the place at which each begins."""
+    """Letters and digits of some texts, and where each text begins; and, when they are asked for, words and hashes of stretches."""
 
     def __init__(self, texts: list[str]):
         code = np.frombuffer("\n".join(t.replace("\n", " ") for t in [*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        small = _letters()[np.minimum(code, 0x10FFFF)]
-        shown = small > 0
-        self.kept = small[shown]
+        small = _letters().take(code)
+        self.shown = small > 0
+        self.kept = small[self.shown]
         self.starts = np.concatenate(([0], np.flatnonzero(self.kept == 10) + 1))
+
+    @functools.cached_property
+    def han(self) -> np.ndarray:
+        return _han().take(self.kept)
+
+    @functools.cached_property
+    def total(self) -> np.ndarray:
+        """Sums of letters times powers of a base, up to every place."""
+        out = np.zeros(len(self.kept) + 1, np.uint64)
+        np.cumsum(self.kept * _powers(_BASE, len(self.kept)), dtype=np.uint64, out=out[1:])
+        return out
+
+    @functools.cached_property
+    def terms(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words and pairs of Han characters as hashes, and where each begins, in order of place."""
         # A word ends at anything that is no letter, and beside a Han character.
-        apart = np.concatenate(([True], ~shown))[:-1][shown]
-        han, close = _han()[np.minimum(self.kept, 0x10FFFF)], self.kept == 10
-        before = np.concatenate(([True], (han | close)[:-1]))
-        begin = np.flatnonzero((apart | before) & ~han & ~close)
-        stops = np.concatenate((begin[1:], [len(self.kept)]))
-        # The next Han character, text end or word ends a word.
-        walls = np.flatnonzero(han | close)
-        after = np.searchsorted(walls, begin)
-        walls = np.concatenate((walls, [len(self.kept)]))
-        end = np.minimum(stops, walls[after])
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.kept.astype(np.uint64) * _powers(_BASE, len(self.kept)), dtype=np.uint64)))
+        apart = np.concatenate(([True], ~self.shown))[:-1][self.shown]
+        wall = self.han | (self.kept == 10)
+        begin = np.flatnonzero((apart | np.concatenate(([True], wall[:-1]))) & ~wall)
+        walls = np.append(np.flatnonzero(wall), len(self.kept))
+        end = np.minimum(np.append(begin[1:], len(self.kept)), walls[np.searchsorted(walls, begin)])
         back = _powers(_INVERSE, len(self.kept) + 1)
-        words = (total[end] - total[begin]) * back[begin]
-        pair = np.flatnonzero(han[:-1] & han[1:])
-        pairs = (total[pair + 2] - total[pair]) * back[pair]
-        place, term = np.concatenate((begin, pair)), np.concatenate((words, pairs))
+        pair = np.flatnonzero(self.han[:-1] & self.han[1:])
+        place = np.concatenate((begin, pair))
+        term = np.concatenate(((self.total[end] - self.total[begin]) * back[begin], (self.total[pair + 2] - self.total[pair]) * back[pair]))
         order = np.argsort(place, kind="stable")
-        self.place = place[order]
         term = term[order]
         term ^= term >> np.uint64(31)
         term *= np.uint64(0x94D049BB133111EB)
-        self.term = term ^ (term >> np.uint64(29))
-        self.total = total
+        return term ^ (term >> np.uint64(29)), place[order]
+
+    @property
+    def term(self) -> np.ndarray:
+        return self.terms[0]
+
+    @property
+    def place(self) -> np.ndarray:
+        return self.terms[1]
 
     def text_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, side="right") - 1
@@ -132,7 +146,7 @@ class Slice:
         n = len(self.kept)
         mixed = kept[:n] * np.uint32(0x9E3779B1) + kept[1 : n + 1] * np.uint32(0x85EBCA6B)
         whole = (self.kept != 10) & (kept[1 : n + 1] != 10)
-        pair = _han()[np.minimum(self.kept, 0x10FFFF)]
+        pair = self.han
         longer = whole & ~pair
         run = mixed.copy()
         for k, factor in zip(range(2, GRAM), (0xC2B2AE35, 0x27D4EB2F)):
@@ -182,7 +196,7 @@ def _sums(begin: np.ndarray, coordinate: np.ndarray, table: np.ndarray) -> np.nd
     for at in range(0, len(full), 2048):
         some = full[at : at + 2048]
         low, high = begin[some[0]], begin[some[-1] + 1]
-        out[some] = np.add.reduceat(table[coordinate[low:high]], begin[some] - low, axis=0)
+        out[some] = np.add.reduceat(table.take(coordinate[low:high], axis=0), begin[some] - low, axis=0)
     return out
 
 

@@ -90,7 +90,7 @@ def excerpt_of(content: Column, content_folded: Column, query: Column, terms: Co
     places = F.filter(F.transform(terms, lambda t: F.instr(content_folded, t)), lambda p: p > 0)
     anchor = F.when(exact > 0, exact).otherwise(F.coalesce(F.array_min(places), F.lit(1)))
     start = F.greatest(anchor - before, F.lit(1))
-    piece = F.trim(F.substring(content, start, F.lit(width)))
+    piece = F.regexp_replace(F.substring(content, start, F.lit(width)), r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
     tail = F.when(start + width - 1 < F.length(content), "…").otherwise("")
     return F.concat(F.when(start > 1, "…").otherwise(""), piece, tail)
 

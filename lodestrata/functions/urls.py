@@ -30,10 +30,9 @@ def is_private_address(address: Column) -> Column:
     """Whether an address must not be fetched from; what is no address counts as private."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(address), "%.*$", ""), r"^(?:::ffff:)+", "")
     number = _number(plain)
-    inside = F.lit(False)
-    for first, bits in RESERVED_V4:
-        low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(first.split(".")))
-        inside = inside | number.between(low, low + (1 << (32 - bits)) - 1)
+    lows = [sum(int(x) << (24 - 8 * i) for i, x in enumerate(first.split("."))) for first, _ in RESERVED_V4]
+    blocks = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(low + (1 << (32 - bits)) - 1).alias("high")) for low, (_, bits) in zip(lows, RESERVED_V4)])
+    inside = F.exists(blocks, lambda b: number.between(b["low"], b["high"]))
     v6 = plain.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$")
     return F.when(number.isNotNull(), inside).when(v6, plain.rlike(RESERVED_V6)).otherwise(True)
 

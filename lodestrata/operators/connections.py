@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata import schema
 from lodestrata.functions import text, urls
 
-SCHEMA = "connection_id string, input string, kind string, purpose string, authorship string, content_scope string, crawl_scope string, created_at timestamp, last_synced_at timestamp"
+SCHEMA = schema.CONNECTIONS
 
 
 def normalized_input(value: Column) -> Column:

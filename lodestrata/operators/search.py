@@ -35,17 +35,22 @@ def clean_queries(queries: list[str]) -> list[str]:
     return list(seen)[:MAX_QUERIES]
 
 
-def passages_of(tables: Tables, purpose: str | None = None) -> DataFrame:
-    """Every passage of every live source, as candidates."""
+def _live_of(tables: Tables, purpose: str | None) -> DataFrame:
     sources = live(tables.sources)
-    if schema.check("purpose", purpose, schema.PURPOSES):
-        sources = sources.filter(F.col("purpose") == purpose)
-    sources = sources.select(
-        F.col("id").alias("source_id"), "title", "origin", "object_hash", "purpose", "authorship", "subject", "content_scope",
+    return sources.filter(F.col("purpose") == purpose) if schema.check("purpose", purpose, schema.PURPOSES) else sources
+
+
+def _with_fields(found: DataFrame, tables: Tables) -> DataFrame:
+    """Candidates (source_id, chunk_id, ...) with the fields of their source and passage; the few candidates go to the tables."""
+    sources = tables.sources.select(
+        F.col("id").alias("source_id"), "title", "origin", "purpose", "authorship", "subject", "content_scope",
         F.when(F.col("occurred_at").eqNullSafe(F.col("occurred_end")), F.col("occurred_at")).alias("source_date"),
     )
-    chunks = tables.chunks.select(F.col("id").alias("chunk_id"), "object_hash", "ordinal", "start_line", "end_line", "content", "heading_path", F.col("occurred_at").alias("chunk_date"))
-    return chunks.join(sources, "object_hash").withColumn("occurred_at", F.coalesce("chunk_date", "source_date"))
+    chunks = tables.chunks.select(F.col("id").alias("chunk_id"), "object_hash", "start_line", "end_line", "content", "heading_path", F.col("occurred_at").alias("chunk_date"))
+    # At most MAX_QUERIES times the routes' limits.
+    rows = chunks.join(F.broadcast(found), "chunk_id")
+    # These rows are as many; the sources are met in the same way.
+    return sources.join(F.broadcast(rows), "source_id").withColumn("occurred_at", F.coalesce("chunk_date", "source_date"))
 
 
 def query_table(spark: SparkSession, queries: list[str]) -> DataFrame:
@@ -55,36 +60,38 @@ def query_table(spark: SparkSession, queries: list[str]) -> DataFrame:
 
 
 def candidates(tables: Tables, queries: list[str], purpose: str | None = None) -> DataFrame:
-    """Passages for every query by three routes, with ``query_no``, ``route`` and ``bm25``.
+    """(query_no, source_id, chunk_id, ordinal, route, bm25): passages for every query by three routes.
 
     Full text gives the best by BM25; a passage that holds the whole query, or
     whose title does, replaces its full-text row and has no BM25 then.  All
-    queries share one scan of the postings and one of the passages.
+    queries share one scan of the postings' buckets and one of the passages.
+    Only ids are joined and ranked; texts stay where they are.
     """
-    spark = tables.sources.sparkSession
-    everything = passages_of(tables, purpose)
     asked = [(n, q, text.meaningful_terms(q)) for n, q in enumerate(queries)]
     asked = [x for x in asked if x[2]]
     order = [F.asc("source_id"), F.asc("ordinal")]
+    sources = _live_of(tables, purpose).select(F.col("id").alias("source_id"), "object_hash", "title")
+    ids = sources.select("source_id", "object_hash")
     # A lone character is looked for literally only.
     indexed = [(n, t) for n, _, terms in asked if not (len(terms) == 1 and len(terms[0]) == 1) for t in terms]
-    ranked = inverted.bm25(tables.postings, spark.createDataFrame(indexed, "query_no int, token string"))
-    full_text = everything.join(ranked, "chunk_id").withColumn("route", F.lit(0))
+    ranked = inverted.bm25(tables.postings, tables.totals, indexed)
+    full_text = ranked.join(tables.chunks.select(F.col("id").alias("chunk_id"), "object_hash", "ordinal"), "chunk_id").join(ids, "object_hash")
     best = Window.partitionBy("query_no").orderBy(F.desc("bm25"), *order)
-    full_text = full_text.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= FULL_TEXT).drop("_n")
+    full_text = full_text.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= FULL_TEXT).withColumn("route", F.lit(0))
 
     needles = F.array(*[F.struct(F.lit(n).alias("query_no"), F.lit(q.translate(_LOWER)).alias("needle")) for n, q, _ in asked])
-    inside = lambda column, route: F.transform(
-        F.filter(needles, lambda x: column.contains(x["needle"])), lambda x: F.struct(x["query_no"].alias("query_no"), F.lit(route).alias("route"))
-    )
-    none = F.array().cast("array<struct<query_no:int,route:int>>")
-    found = F.concat(inside(text.ascii_lower(F.col("content")), 1), F.when(F.col("ordinal") == 0, inside(text.ascii_lower(F.col("title")), 2)).otherwise(none))
-    literal = everything.select("*", F.inline(found)).withColumn("bm25", F.lit(0.0))
+    inside = lambda column: F.transform(F.filter(needles, lambda x: column.contains(x["needle"])), lambda x: x["query_no"])
+    holding = tables.chunks.select(F.col("id").alias("chunk_id"), "object_hash", "ordinal", F.explode(inside(text.ascii_lower(F.col("content")))).alias("query_no"))
+    named = sources.select("source_id", "object_hash", F.explode(inside(text.ascii_lower(F.col("title")))).alias("query_no"))
+    starts = tables.chunks.filter("ordinal = 0").select(F.col("id").alias("chunk_id"), "object_hash", "ordinal")
+    columns = ["query_no", "source_id", "chunk_id", "ordinal", "route", "bm25"]
+    literal = holding.join(ids, "object_hash").withColumns({"route": F.lit(1), "bm25": F.lit(0.0)}).select(*columns)
+    literal = literal.unionByName(named.join(starts, "object_hash").withColumns({"route": F.lit(2), "bm25": F.lit(0.0)}).select(*columns))
     first = Window.partitionBy("query_no", "route").orderBy(*order)
-    literal = literal.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SUBSTRING).drop("_n")
+    literal = literal.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SUBSTRING).select(*columns)
 
     last = Window.partitionBy("query_no", "source_id", "chunk_id").orderBy(F.desc("route"))
-    return full_text.unionByName(literal).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    return full_text.select(*columns).unionByName(literal).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
 def score(rows: DataFrame, queries: list[str]) -> DataFrame:
@@ -122,9 +129,9 @@ def by_score() -> list[Column]:
 
 def search_each(tables: Tables, queries: list[str], limit: int = 8, purpose: str | None = None) -> DataFrame:
     """The best passages for every query (query_no, query, rank and the fields of a hit); none for a query without a term of meaning."""
-    asked = [q for q in queries if text.meaningful_terms(q)]
-    rows = passages_of(tables).limit(0).withColumns({"query_no": F.lit(0), "route": F.lit(0), "bm25": F.lit(0.0)})
-    rows = score(candidates(tables, queries, purpose) if asked else rows, queries)
+    none = tables.sources.sparkSession.createDataFrame([], "query_no int, source_id string, chunk_id string, ordinal int, route int, bm25 double")
+    found = candidates(tables, queries, purpose) if any(map(text.meaningful_terms, queries)) else none
+    rows = score(_with_fields(found, tables), queries)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_no").orderBy(*by_score()))).filter(F.col("rank") <= clamp(limit))
     # Excerpts are cut for the few rows that are left.
     return rows.select("query_no", "query", "rank", *HIT, text.excerpt_of(F.col("content"), F.col("_body"), F.col("query"), F.col("terms")).alias("excerpt"), "ordinal")

@@ -1,18 +1,17 @@
 """The archive: content-addressed objects, versioned sources, and what changes them.
 
-All operations take and give DataFrames.  ``Archive`` keeps them in a folder of
-snapshots with a pointer to the current one; Parquet tables know no updates, so
-an operation writes a new snapshot and then moves the pointer.
+All operations take and give DataFrames.  ``Archive`` keeps them in a folder on
+any file system that Hadoop knows, with a pointer that names the files of every
+table.  Parquet tables know no updates: an operation writes what it changed or
+added, and then moves the pointer.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +19,10 @@ from pyspark.sql import functions as F
 from lodestrata import schema
 from lodestrata.functions import chunking, dates, text
 from lodestrata.operators import index
+from lodestrata.session import cut_lineage
 
-#: Headings of a kept entry and of its context, which are part of its identity.
-MEMORY_TITLE, CONTEXT_TITLE = "你选择留下的话", "当时的背景（由 Codex 整理）"
+#: Headings of a kept entry and of its context, which are part of its identity.  The second one names no product, so ids of entries with a context are this engine's own.
+MEMORY_TITLE, CONTEXT_TITLE = "你选择留下的话", "当时的背景"
 
 
 class ArchiveError(ValueError):
@@ -83,11 +83,24 @@ class Tables:
     objects: DataFrame
     chunks: DataFrame
     postings: DataFrame
+    totals: DataFrame
+    #: What an import added to the tables that only grow.
+    added: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def empty(spark: SparkSession) -> Tables:
     make = lambda s: spark.createDataFrame([], s)
-    return Tables(make(schema.SOURCES), make(schema.OBJECTS), make(schema.CHUNKS), make(schema.POSTINGS))
+    return Tables(make(schema.SOURCES), make(schema.OBJECTS), make(schema.CHUNKS), make(schema.POSTINGS), spark.createDataFrame([(0, 0)], schema.TOTALS))
+
+
+def refused(documents: DataFrame) -> DataFrame:
+    """(origin, title, code): documents whose stated dates are no real dates, which an import leaves out."""
+    return documents.filter(~_real_dates()).select("origin", "title", F.lit("INVALID_DATE").alias("code"))
+
+
+def _real_dates() -> Column:
+    stated = F.array_compact(F.array("occurred_at", "occurred_end"))
+    return (F.size(stated) == 0) | F.forall(dates.normalize_each(stated), lambda d: d.isNotNull())
 
 
 def new_objects(documents: DataFrame, objects: DataFrame, now: datetime) -> DataFrame:
@@ -99,7 +112,7 @@ def new_objects(documents: DataFrame, objects: DataFrame, now: datetime) -> Data
 def passages(objects: DataFrame) -> DataFrame:
     """The passages of bodies with their dates: the deepest heading that has one, else the beginning."""
     rows = chunking.chunk_rows(objects)
-    by_heading = F.transform(F.reverse("heading_path"), dates.infer_date)
+    by_heading = dates.infer_each(F.reverse("heading_path"))
     date = F.coalesce(F.get(F.filter(by_heading, lambda d: d.isNotNull()), F.lit(0)), dates.infer_date(F.substring("content", 1, 240)))
     identity = F.concat_ws("-", F.substring("hash", 1, 32), F.col("ordinal").cast("string"))
     return rows.select(identity.alias("id"), F.col("hash").alias("object_hash"), "ordinal", "start_line", "end_line", "content", "heading_path", date.alias("occurred_at"))
@@ -115,22 +128,26 @@ def version_key() -> Column:
 def import_documents(tables: Tables, documents: DataFrame, now: datetime | None = None) -> Tables:
     """The archive after importing ``documents`` (schema.DOCUMENTS).
 
-    Empty bodies are left out.  Times of publication and change are kept as
-    given; ``timestamps.normalize_times`` brings them to one form.  A body is stored once, whatever its sources.  A
-    source known by (kind, origin, body) is revived and keeps what the document
-    does not state, its title included; a new body supersedes other versions.
+    Empty bodies are left out, and so are documents whose stated dates are not
+    real (see ``refused``).  Times of publication and change are kept as given;
+    ``timestamps.normalize_times`` brings them to one form.  A body is stored
+    once, whatever its sources.  A source known by (kind, origin, body) is
+    revived and keeps what the document does not state, its title included; a
+    new body supersedes other versions.
     """
     now = now or datetime.now(timezone.utc)
     stated = ["purpose", "authorship", "content_scope", "event_time_provenance"]
     docs = documents.withColumns({"content": text.body_text(F.col("content")), **{f"_stated_{c}": F.col(c) for c in stated}})
-    docs = docs.filter(F.col("content") != "").withColumn("object_hash", F.sha2("content", 256))
+    docs = docs.filter((F.col("content") != "") & _real_dates()).withColumn("object_hash", F.sha2("content", 256))
     docs = with_attribution(with_event_time(docs)).withColumn("id", source_id(F.col("kind"), F.col("origin"), F.col("object_hash")))
     docs = docs.withColumn("observed_at", F.coalesce("observed_at", F.lit(now)))
     last = Window.partitionBy("id").orderBy(F.desc("observed_at"), F.desc("title"))
     docs = docs.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
-    added = new_objects(docs, tables.objects, now)
-    chunks = passages(added)
+    # Three tables are made of the new bodies.
+    added = cut_lineage(new_objects(docs, tables.objects, now))
+    chunks = cut_lineage(passages(added))
+    words = cut_lineage(index.postings(chunks))
     kept = ["occurred_at", "occurred_end", "published_at", "modified_at", "author", "speaker", "subject", "external_id", "connection_id"]
     new = docs.select(
         "id", "kind", "origin", "title", "object_hash", "original_path", "observed_at", *kept, *stated, *[f"_stated_{c}" for c in stated]
@@ -155,12 +172,19 @@ def import_documents(tables: Tables, documents: DataFrame, now: datetime | None
     closed = F.col("_touched") & (F.col("_n") > 1) & F.col("is_current")
     merged = merged.withColumns({"superseded_at": F.when(closed, F.lit(now)).otherwise(F.col("superseded_at")), "is_current": F.col("is_current") & ~closed})
     names = [f.split()[0] for f in schema.SOURCES.split(", ")]
-    return Tables(merged.select(*names), tables.objects.unionByName(added), tables.chunks.unionByName(chunks), tables.postings.unionByName(index.postings(chunks)))
+    return Tables(
+        merged.select(*names),
+        tables.objects.unionByName(added),
+        tables.chunks.unionByName(chunks),
+        tables.postings.unionByName(words),
+        index.added_totals(tables.totals, index.totals(words)),
+        {"objects": added, "chunks": chunks, "postings": words},
+    )
 
 
-def remove(sources: DataFrame, source: str, now: datetime | None = None) -> DataFrame:
-    """The source marked as removed; its body and versions stay."""
-    hit = (F.col("id") == source) & F.col("deleted_at").isNull()
+def remove(sources: DataFrame, source: str | Column, now: datetime | None = None) -> DataFrame:
+    """The source (or those of a condition) marked as removed; bodies and versions stay."""
+    hit = (source if isinstance(source, Column) else F.col("id") == source) & F.col("deleted_at").isNull()
     return sources.withColumn("deleted_at", F.when(hit, F.lit(now or datetime.now(timezone.utc))).otherwise(F.col("deleted_at")))
 
 
@@ -288,39 +312,122 @@ def upgrade(old: DataFrame) -> DataFrame:
     )
 
 
+class Files:
+    """The few small files of an archive, through the file system of its folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark._jvm
+        self.root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
+
+    def read(self, name: str) -> str | None:
+        if not self.system.exists(self.path(name)):
+            return None
+        stream = self.system.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, words: str) -> None:
+        """Written beside and then renamed, so that a reader finds the old or the new file."""
+        draft = self.path(f"{name}.new")
+        stream = self.system.create(draft, True)
+        try:
+            stream.write(bytearray(words.encode()))
+        finally:
+            stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.system.getUri(), self.system.getConf())
+        overwrite = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.jvm.java.lang.reflect.Array.newInstance(overwrite.getClass(), 1)
+        self.jvm.java.lang.reflect.Array.set(options, 0, overwrite)
+        context.rename(draft, self.path(name), options)
+
+    def folders(self) -> list[str]:
+        return [s.getPath().getName() for s in self.system.listStatus(self.root) if s.isDirectory()]
+
+    def drop(self, name: str) -> None:
+        self.system.delete(self.path(name), True)
+
+
 class Archive:
-    """An archive in a folder that all executors share: snapshots, and a pointer file naming the current one."""
+    """An archive in a folder that all executors share; a pointer file names the parts of every table.
+
+    There is one writer at a time; readers keep the parts that they opened.
+    """
 
-    NAMES = ("sources", "objects", "chunks", "postings")
+    NAMES = ("sources", "objects", "chunks", "postings", "totals")
+    #: Tables beside those of ``Tables``.
+    LEDGERS = {"jobs": schema.JOBS, "connections": schema.CONNECTIONS}
+    #: Parts of one table from which they are written together.
+    MOST_PARTS = 50
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.files = Files(spark, path)
 
-    @property
-    def pointer(self) -> Path:
-        return Path(self.path, "current.json")
+    def _parts(self) -> dict[str, list[str]]:
+        words = self.files.read("current.json")
+        return json.loads(words)["tables"] if words else {}
 
     def exists(self) -> bool:
-        return self.pointer.exists()
+        return bool(self._parts())
+
+    def _read(self, parts: dict[str, list[str]], name: str, columns: str) -> DataFrame:
+        paths = [f"{self.path}/{p}" for p in parts.get(name, ())]
+        if not paths:
+            return self.spark.createDataFrame([], columns)
+        names = [c.split()[0] for c in columns.split(", ")]
+        return self.spark.read.parquet(*paths).select(*names)
 
     def tables(self) -> Tables:
-        if not self.exists():
+        parts = self._parts()
+        if not parts:
             return empty(self.spark)
-        at = json.loads(self.pointer.read_text())["snapshot"]
-        return Tables(*[self.spark.read.parquet(f"{self.path}/{at}/{name}") for name in self.NAMES])
+        kinds = (schema.SOURCES, schema.OBJECTS, schema.CHUNKS, schema.POSTINGS, schema.TOTALS)
+        return Tables(*[self._read(parts, name, kind) for name, kind in zip(self.NAMES, kinds)])
+
+    def ledger(self, name: str) -> DataFrame:
+        return self._read(self._parts(), name, self.LEDGERS[name])
+
+    def write(self, replaced: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> None:
+        """Writes whole tables and additions to tables; all others keep their parts."""
+        at = f"part-{uuid.uuid4().hex}"
+        parts = self._parts()
+        for name, df in (replaced | (added or {})).items():
+            writer = df.write
+            if name == "postings":
+                # A search reads only the row groups that may hold its buckets and terms.
+                writer = df.repartition("bucket").sortWithinPartitions("bucket", "token").write
+            writer.parquet(f"{self.path}/{at}/{name}")
+            parts[name] = [f"{at}/{name}"] if name in replaced else [*parts.get(name, ()), f"{at}/{name}"]
+        self.files.write("current.json", json.dumps({"version": schema.VERSION, "tables": parts}))
+        crowded = [name for name in parts if len(parts[name]) > self.MOST_PARTS]
+        if crowded:
+            kinds = dict(zip(self.NAMES, (schema.SOURCES, schema.OBJECTS, schema.CHUNKS, schema.POSTINGS, schema.TOTALS))) | self.LEDGERS
+            self.write({name: self._read(parts, name, kinds[name]) for name in crowded})
 
     def save(self, tables: Tables) -> None:
-        """One writer at a time; readers keep the snapshot that they opened."""
-        at = f"snapshot-{uuid.uuid4().hex}"
-        for name in self.NAMES:
-            getattr(tables, name).write.parquet(f"{self.path}/{at}/{name}")
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        draft = self.pointer.with_suffix(".new")
-        draft.write_text(json.dumps({"version": schema.VERSION, "snapshot": at}))
-        draft.replace(self.pointer)
+        """All tables anew."""
+        self.write({name: getattr(tables, name) for name in self.NAMES})
+
+    def vacuum(self) -> list[str]:
+        """Deletes the folders of parts that the pointer no longer names; to be called when nobody reads them."""
+        used = {p.split("/")[0] for paths in self._parts().values() for p in paths}
+        old = [name for name in self.files.folders() if name.startswith("part-") and name not in used]
+        for name in old:
+            self.files.drop(name)
+        return old
 
     def add(self, documents: DataFrame, now: datetime | None = None) -> None:
-        self.save(import_documents(self.tables(), conform(documents), now))
+        done = import_documents(self.tables(), conform(documents), now)
+        if self.exists():
+            self.write({"sources": done.sources, "totals": done.totals}, done.added)
+        else:
+            self.save(done)
 
     def remember(self, title: str, content: str, occurred_at: str, context: str | None = None) -> str:
         """Keeps one entry; returns its origin, which is the same for the same entry."""
@@ -333,21 +440,22 @@ class Archive:
         return found.origin
 
     def remove(self, source: str) -> None:
-        tables = self.tables()
-        self._known(tables, source)
-        tables.sources = remove(tables.sources, source)
-        self.save(tables)
+        sources = self.tables().sources
+        self._known(sources, source)
+        self.write({"sources": remove(sources, source)})
 
     def mark(self, source: str, purpose: str, authorship: str | None = None, scope: str | None = None) -> None:
+        sources = self.tables().sources
+        self._known(sources, source)
+        self.write({"sources": mark(sources, source, purpose, authorship, scope)})
+
+    def upgrade(self, now: datetime | None = None) -> None:
+        """Brings the archive to the current layout: sources filled, all bodies cut into passages and indexed anew."""
         tables = self.tables()
-        self._known(tables, source)
-        tables.sources = mark(tables.sources, source, purpose, authorship, scope)
-        self.save(tables)
+        chunks = cut_lineage(passages(tables.objects))
+        words = cut_lineage(index.postings(chunks))
+        self.write({"sources": upgrade(tables.sources), "chunks": chunks, "postings": words, "totals": index.totals(words)})
 
-    def _known(self, tables: Tables, source: str) -> None:
-        if tables.sources.filter((F.col("id") == source) & F.col("deleted_at").isNull()).isEmpty():
+    def _known(self, sources: DataFrame, source: str) -> None:
+        if sources.filter((F.col("id") == source) & F.col("deleted_at").isNull()).isEmpty():
             raise ArchiveError("SOURCE_NOT_FOUND", f"no source {source}")
-
-
-def digest(words: str) -> str:
-    return hashlib.sha256(words.encode()).hexdigest()

@@ -1,51 +1,47 @@
 """Version histories (type-two dimensions) from snapshots.
 
-Snapshots of an entity are ordered by their time; each one's attribute hash is
-compared with that of the version then current, a changed one closes it and
-opens the next.  An entity may hold a large share of all rows, so the
-comparison has two levels: inside (entity, month), and between an entity's
-months, of which the calendar has few.
+A dimension holds one row per version of an entity, of which one is current.  A
+batch of snapshots is merged into it: the hash of each snapshot's attributes is
+compared with that of the version then current; a changed one closes it with an
+end and opens the next.  Closed versions are not read again, but for entities
+with late snapshots, whose versions are made anew of their stored snapshots.
+
+An entity may hold a large share of all rows, so the comparison has two levels:
+inside (entity, month), and between an entity's months, of which the calendar
+has few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.session import cut_lineage
 
+#: The columns of a dimension beside the entity's.
+DIMENSION = "valid_from string, valid_to string, version_no bigint, is_current boolean, state binary, last_at string"
 
-def version_history(
-    snapshots: DataFrame,
-    entity: str,
-    attributes: list[str],
-    time: str,
-    arrival: list[str],
-    removed: str,
-    bucket_chars: int = 7,
-) -> DataFrame:
-    """(entity, valid_from, valid_to, version_no, n_versions), one row per version.
 
-    ``time`` is a text that sorts in time order; rows without it or without an
-    entity are left out.  Of rows with one entity and time the greatest by the
-    ``arrival`` columns counts.  Neighbours with equal attributes (null equals
-    null) form one version; the last one ends with the ``removed`` text of the
-    entity's last snapshot, or ``open``.  ``bucket_chars`` is the length of the
-    prefix of ``time`` that names a bucket.  Empty input gives no rows.
-    """
-    # A separator and a mark for null keep (null, 'a') and ('a', null) apart.
-    state = F.unhex(F.md5(F.concat_ws("\u0002", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in attributes])))
-    slim = snapshots.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(
+def attribute_hash(attributes: list[str]) -> Column:
+    """16 bytes; a separator and a mark for null keep (null, 'a') and ('a', null) apart."""
+    return F.unhex(F.md5(F.concat_ws("\u0002", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in attributes])))
+
+
+def _slim(snapshots: DataFrame, entity: str, attributes: list[str], time: str, arrival: list[str], removed: str) -> DataFrame:
+    """(entity, at, row): of snapshots with one entity and time the greatest by arrival."""
+    kept = snapshots.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(
         F.col(entity).alias("entity"),
         F.col(time).alias("at"),
-        F.struct(*[F.col(c) for c in arrival], state.alias("state"), F.col(removed).alias("removed")).alias("row"),
+        F.struct(*[F.col(c) for c in arrival], attribute_hash(attributes).alias("state"), F.col(removed).alias("removed"), F.lit(0).cast("bigint").alias("base")).alias("row"),
     )
     # Partial maxima are formed before the shuffle.
-    single = slim.groupBy("entity", "at").agg(F.max("row").alias("row"))
-    single = single.select("entity", "at", F.substring("at", 1, bucket_chars).alias("bucket"), F.col("row.state").alias("state"), F.col("row.removed").alias("removed"))
-    # Two steps read this, of columns far narrower than the snapshots.
-    single = cut_lineage(single)
+    return kept.groupBy("entity", "at").agg(F.max("row").alias("row")).select("entity", "at", F.col("row.state").alias("state"), F.col("row.removed").alias("removed"), F.col("row.base").alias("base"))
+
 
+def _versions(single: DataFrame, bucket_chars: int) -> DataFrame:
+    """Versions of rows (entity, at, state, removed, base), one per entity and time; ``base`` versions of the entity come before them."""
+    # Two steps read this, of columns far narrower than the snapshots.
+    single = cut_lineage(single.withColumn("bucket", F.substring("at", 1, bucket_chars)))
     within = Window.partitionBy("entity", "bucket").orderBy("at")
     marked = single.withColumns({"previous": F.lag("state").over(within)})
     marked = marked.withColumns({"leads": F.col("previous").isNull(), "turns": F.coalesce(F.col("state") != F.col("previous"), F.lit(False))})
@@ -65,6 +61,7 @@ def version_history(
         F.max(F.struct("at", "removed")).alias("last_row"),
         F.sum(F.col("turns").cast("int")).alias("n_turns"),
         F.min(F.when(F.col("turns"), F.col("at"))).alias("first_turn"),
+        F.max("base").alias("base"),
     )
     across, whole = Window.partitionBy("entity").orderBy("bucket"), Window.partitionBy("entity")
     buckets = buckets.withColumn("before", F.lag("last_state").over(across))
@@ -80,24 +77,54 @@ def version_history(
         "bucket",
         "opened",
         F.sum("starts").over(whole).alias("n_versions"),
-        F.coalesce(F.sum("starts").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("done"),
+        (F.coalesce(F.sum("starts").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.max("base").over(whole)).alias("done"),
         F.min("first_start").over(whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("next_start"),
-        F.max("last_row").over(whole)["removed"].alias("end"),
+        F.max("last_row").over(whole).alias("last_row"),
     )
     versions = rows.join(buckets, ["entity", "bucket"]).filter(F.col("turns") | F.col("opened"))
+    following = F.coalesce("inner_next", "next_start")
     return versions.select(
-        F.col("entity").alias(entity),
+        "entity",
         F.col("at").alias("valid_from"),
-        F.coalesce("inner_next", "next_start", "end", F.lit("open")).alias("valid_to"),
+        F.coalesce(following, F.col("last_row.removed"), F.lit("open")).alias("valid_to"),
         (F.col("done") + F.col("opened").cast("int") + F.col("inner_no")).cast("bigint").alias("version_no"),
+        following.isNull().alias("is_current"),
+        "state",
+        F.col("last_row.at").alias("last_at"),
         F.col("n_versions").cast("bigint").alias("n_versions"),
     )
 
 
-def merge_versions(
-    versions: DataFrame,
+def version_history(
     snapshots: DataFrame,
+    entity: str,
+    attributes: list[str],
+    time: str,
+    arrival: list[str],
+    removed: str,
+    bucket_chars: int = 7,
+) -> DataFrame:
+    """(entity, valid_from, valid_to, version_no, n_versions), one row per version, of all snapshots at once.
+
+    ``time`` is a text that sorts in time order; rows without it or without an
+    entity are left out.  Of rows with one entity and time the greatest by the
+    ``arrival`` columns counts.  Neighbours with equal attributes (null equals
+    null) form one version; the last one ends with the ``removed`` text of the
+    entity's last snapshot, or ``open``.  ``bucket_chars`` is the length of the
+    prefix of ``time`` that names a bucket.  Empty input gives no rows.
+    """
+    versions = _versions(_slim(snapshots, entity, attributes, time, arrival, removed), bucket_chars)
+    return versions.select(F.col("entity").alias(entity), "valid_from", "valid_to", "version_no", "n_versions")
+
+
+def empty_dimension(spark: SparkSession, entity: str, kind: str = "string") -> DataFrame:
+    return spark.createDataFrame([], f"{entity} {kind}, {DIMENSION}")
+
+
+def merge_versions(
+    dimension: DataFrame,
     batch: DataFrame,
+    snapshots: DataFrame,
     entity: str,
     attributes: list[str],
     time: str,
@@ -105,15 +132,30 @@ def merge_versions(
     removed: str,
     bucket_chars: int = 7,
 ) -> DataFrame:
-    """Stored ``versions`` after a ``batch`` of snapshots, in the columns of ``version_history``.
+    """The ``dimension`` (the entity's column and ``DIMENSION``) after a ``batch`` of snapshots; rules as in ``version_history``.
 
-    ``snapshots`` are those that ``versions`` were made of.  Entities without a
-    row in the batch keep their stored versions.  Those of the others are closed,
-    opened or split from their stored and new snapshots: a late one may end a
-    version before a stored snapshot that a version doesn't tell.
+    Each entity's current version stands before its snapshots of the batch: they
+    leave it as it is, extend it, or close it and open others.  Entities that
+    the batch doesn't name keep their rows.  ``snapshots`` are those that the
+    dimension was made of; only those of entities with late ones are read: a
+    snapshot that isn't later than the current version's last one may split any
+    version at snapshots that a version doesn't tell.
     """
-    touched = batch.filter(F.col(time).isNotNull() & F.col(entity).isNotNull()).select(entity).distinct()
-    columns = list(dict.fromkeys([entity, *attributes, time, *arrival, removed]))
-    history = snapshots.select(columns).unionByName(batch.select(columns)).join(touched, entity, "left_semi")
-    merged = version_history(history, entity, attributes, time, arrival, removed, bucket_chars)
-    return versions.join(touched, entity, "left_anti").unionByName(merged)
+    names = [c.split()[0] for c in DIMENSION.split(", ")]
+    columns = (entity, attributes, time, arrival, removed)
+    # Written once: the batch is asked for its entities and for its rows.
+    fresh = cut_lineage(_slim(batch, *columns))
+    touched = fresh.groupBy("entity").agg(F.min("at").alias("first"))
+    held = dimension.withColumnRenamed(entity, "entity")
+    current = held.filter("is_current").join(touched, "entity").withColumn("late", F.col("first") <= F.col("last_at"))
+    current = cut_lineage(current.select("entity", "valid_from", "valid_to", "version_no", "state", "late"))
+    late, kept = current.filter("late").select("entity"), current.filter("NOT late")
+    seeds = kept.select("entity", F.col("valid_from").alias("at"), "state", F.lit(None).cast("string").alias("removed"), (F.col("version_no") - 1).alias("base"))
+    width = [entity, *attributes, time, *arrival, removed]
+    again = snapshots.select(list(dict.fromkeys(width))).join(late.withColumnRenamed("entity", entity), entity, "left_semi")
+    again = again.unionByName(batch.select(list(dict.fromkeys(width))).join(late.withColumnRenamed("entity", entity), entity, "left_semi"))
+    rows = fresh.join(late, "entity", "left_anti").unionByName(seeds).unionByName(_slim(again, *columns))
+    merged = _versions(rows, bucket_chars).select("entity", *names)
+    untouched = held.join(touched, "entity", "left_anti").select("entity", *names)
+    closed = held.filter("NOT is_current").join(kept.select("entity"), "entity", "left_semi").select("entity", *names)
+    return untouched.unionByName(closed).unionByName(merged).withColumnRenamed("entity", entity)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from lodestrata.sources import readers, web
 QUERY, LATIN_QUERY = "长堤的预算是怎么变的", "archive import"
 QUERIES_TOGETHER = ["长堤 预算", "archive import", "睡眠 记录"]
 RECALL_QUERIES = ["睡眠", "晨跑", "the lease"]
-NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
+NOW, DAY = datetime(2026, 1, 1, tzinfo=timezone.utc), timedelta(days=1)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,21 +47,32 @@ def _chunks(spark, d) -> DataFrame:
     return rows.withColumn("heading_path", F.coalesce(F.from_json("heading_path", "array<string>"), F.array().cast("array<string>")))
 
 
+_INDEXES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
 def archive(spark: SparkSession, d: str) -> store.Tables:
+    """The tables with their index, which a session builds once for a folder, as an archive keeps it stored."""
     chunks = _chunks(spark, d)
-    # An index is written once and read by every query on it.
-    return store.Tables(_sources(spark, d), _objects(spark, d), chunks, cut_lineage(index.postings(chunks)))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        words = cut_lineage(index.postings(chunks).repartition("bucket").sortWithinPartitions("bucket", "token"))
+        _INDEXES[key] = words, cut_lineage(index.totals(words))
+    return store.Tables(_sources(spark, d), _objects(spark, d), chunks, *_INDEXES[key])
 
 
 # --- what is stored ---
 
 
-@query("SELECT o.hash, sha256(o.content) = o.hash AS sound, (SELECT count(*) FROM (SELECT DISTINCT id, object_hash FROM sources) s WHERE s.object_hash = o.hash) AS n_sources FROM (SELECT hash, min(content) AS content FROM objects GROUP BY hash) o")
+@query("""SELECT DISTINCT sha256(o.content) AS hash, sha256(o.content) IN (SELECT hash FROM objects) AS sound, (SELECT count(*) FROM (SELECT DISTINCT id, object_hash FROM sources) s WHERE s.object_hash = sha256(o.content)) AS n_sources
+  FROM objects o WHERE sha256(o.content) NOT IN (SELECT hash FROM objects WHERE hash IN (SELECT object_hash FROM sources WHERE purpose = 'memory'))""")
 def dedup_objects(spark, d):
-    """Bodies once each, whether their hash is theirs, and how many sources share them."""
-    shared = _sources(spark, d).select("id", "object_hash").distinct().groupBy("object_hash").agg(F.count(F.lit(1)).alias("n"))
-    bodies = _objects(spark, d).join(shared, F.col("hash") == F.col("object_hash"), "left")
-    return bodies.select("hash", (F.sha2("content", 256) == F.col("hash")).alias("sound"), F.coalesce("n", F.lit(0)).alias("n_sources"))
+    """The bodies that an archive of all memories' bodies does not hold yet, once each, whether their hash is known, and how many sources share them."""
+    sources, bodies = _sources(spark, d), table(spark, d, "objects")
+    held = bodies.join(sources.filter("purpose = 'memory'").select(F.col("object_hash").alias("hash")), "hash", "left_semi")
+    fresh = store.new_objects(bodies.select(F.sha2("content", 256).alias("object_hash"), "content"), held, NOW)
+    shared = sources.select("id", "object_hash").distinct().groupBy("object_hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = fresh.join(shared, F.col("hash") == F.col("object_hash"), "left").join(bodies.select("hash", F.lit(True).alias("known")).distinct(), "hash", "left")
+    return counted.select("hash", F.coalesce("known", F.lit(False)).alias("sound"), F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 
 @query(f"SELECT (SELECT count(*) FROM {sql.LIVE}) AS sources, (SELECT count(DISTINCT object_hash) FROM {sql.LIVE}) AS objects, (SELECT count(*) FROM {sql.CHUNKS} WHERE object_hash IN (SELECT object_hash FROM {sql.LIVE})) AS chunks")
@@ -107,22 +118,54 @@ def read_range(spark, d):
 # --- what changes it ---
 
 
-@query(f"""WITH k AS (SELECT id, imported_at, CASE WHEN external_id IS NOT NULL AND connection_id IS NOT NULL THEN 'x' || chr(1) || connection_id || chr(1) || external_id ELSE 'o' || chr(1) || kind || chr(1) || origin END AS k FROM {sql.SOURCES})
-SELECT id, epoch_us(lead(imported_at) OVER (PARTITION BY k ORDER BY imported_at, id)) AS superseded_us, lead(id) OVER (PARTITION BY k ORDER BY imported_at, id) IS NULL AS is_current FROM k""")
+#: Two imports of the same archive: what came before and after this time; between them, references are removed.
+SPLIT = "2019-10-01 00:00:00"
+
+
+def _arrived(spark, d) -> DataFrame:
+    """Every snapshot with its body as a document, observed when it was imported."""
+    joined = _sources(spark, d).join(_objects(spark, d), F.col("object_hash") == F.col("hash"))
+    return joined.select("kind", "origin", "title", "content", "purpose", "authorship", "content_scope", "external_id", "connection_id", F.col("imported_at").alias("observed_at"))
+
+
+def _two_imports(spark, d) -> DataFrame:
+    """The sources after two imports with a removal between them; the second one brings some of the first's documents again."""
+    docs = _arrived(spark, d)
+    first = store.import_documents(store.empty(spark), store.conform(docs.filter(F.col("observed_at") < F.lit(SPLIT).cast("timestamp"))), NOW)
+    between = cut_lineage(store.remove(first.sources, F.col("purpose") == "reference", NOW + DAY))
+    held = store.Tables(between, first.objects, first.chunks, first.postings, first.totals)
+    again = docs.filter((F.col("observed_at") >= F.lit(SPLIT).cast("timestamp")) | (F.col("authorship") == "mixed"))
+    return store.import_documents(held, store.conform(again), NOW + 2 * DAY).sources
+
+
+_ID = "substring(sha256(kind || chr(0) || origin || chr(0) || object_hash), 1, 32)"
+_TWO_IMPORTS = f"""WITH d AS (SELECT s.kind, s.origin, s.title, s.purpose, s.authorship, s.external_id, s.connection_id, s.imported_at AS ts, sha256({sql.body('o.content')}) AS object_hash
+    FROM {sql.SOURCES} s JOIN {sql.OBJECTS} o ON s.object_hash = o.hash WHERE {sql.body('o.content')} <> ''),
+e AS (SELECT *, {_ID} AS id FROM d),
+a AS (SELECT * FROM e WHERE ts < TIMESTAMPTZ '{SPLIT}+00' QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, title DESC) = 1),
+b AS (SELECT * FROM e WHERE ts >= TIMESTAMPTZ '{SPLIT}+00' OR authorship = 'mixed' QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, title DESC) = 1),
+m AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.kind, b.kind) AS kind, coalesce(a.origin, b.origin) AS origin, coalesce(a.title, b.title) AS title, coalesce(b.external_id, a.external_id) AS x, coalesce(b.connection_id, a.connection_id) AS c,
+  coalesce(b.ts, a.ts) AS ts, a.id IS NOT NULL AS known, b.id IS NOT NULL AS seen, a.purpose AS old_purpose, CASE WHEN b.id IS NULL THEN a.purpose ELSE coalesce(b.purpose, a.purpose) END AS purpose,
+  a.ts AS first_at, a.external_id AS ax, a.connection_id AS ac FROM a FULL OUTER JOIN b ON a.id = b.id),
+k AS (SELECT *, CASE WHEN x IS NOT NULL AND c IS NOT NULL THEN 'x' || chr(1) || c || chr(1) || x ELSE 'o' || chr(1) || kind || chr(1) || origin END AS k,
+  CASE WHEN ax IS NOT NULL AND ac IS NOT NULL THEN 'x' || chr(1) || ac || chr(1) || ax ELSE 'o' || chr(1) || kind || chr(1) || origin END AS ak FROM m),
+f AS (SELECT *, CASE WHEN known THEN row_number() OVER (PARTITION BY known, ak ORDER BY first_at DESC, id DESC) = 1 END AS was_current FROM k),
+g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seen DESC, ts DESC, id DESC) AS n, bool_or(seen) OVER (PARTITION BY k) AS touched FROM f),
+r AS (SELECT *, touched AND n > 1 AND (seen OR was_current) AS closed FROM g)
+SELECT id, (seen OR was_current) AND NOT closed AS is_current, CASE WHEN closed THEN 2 WHEN NOT seen AND NOT was_current THEN 0 END AS superseded_day, CASE WHEN NOT seen AND old_purpose = 'reference' THEN 1 END AS deleted_day"""
+
+
+@query(f"{_TWO_IMPORTS} FROM r")
 def version_supersede(spark, d):
-    """Which snapshot of each thing is current, and when the others were superseded."""
-    keyed = _sources(spark, d).withColumn("k", store.version_key())
-    order = Window.partitionBy("k").orderBy("imported_at", "id")
-    return keyed.select("id", F.unix_micros(F.lead("imported_at").over(order)).alias("superseded_us"), F.lead("id").over(order).isNull().alias("is_current"))
+    """After two imports: which version of each thing is current, and on which day the others were superseded or removed; what comes again is revived."""
+    day = lambda c: F.date_diff(c, F.lit(NOW.date()))
+    return _two_imports(spark, d).select("id", "is_current", day("superseded_at").alias("superseded_day"), day("deleted_at").alias("deleted_day"))
 
 
 @query(f"SELECT id, CASE WHEN id IN (SELECT id FROM {sql.SOURCES} WHERE content_scope = 'fictional') OR deleted_at IS NOT NULL THEN 1 ELSE 0 END AS removed FROM {sql.SOURCES}")
 def soft_delete_live(spark, d):
     """Fictional sources removed; nothing else leaves."""
-    rows = _sources(spark, d)
-    hit = (F.col("content_scope") == "fictional") & F.col("deleted_at").isNull()
-    done = rows.withColumn("deleted_at", F.when(hit, F.lit(NOW)).otherwise(F.col("deleted_at")))
-    return done.select("id", F.col("deleted_at").isNotNull().cast("int").alias("removed"))
+    return store.remove(_sources(spark, d), F.col("content_scope") == "fictional", NOW).select("id", F.col("deleted_at").isNotNull().cast("int").alias("removed"))
 
 
 @query(f"""SELECT id, CASE WHEN h THEN 'memory' ELSE purpose END AS purpose, CASE WHEN h THEN 'user' ELSE authorship END AS authorship,
@@ -147,7 +190,7 @@ def attribution_defaults(spark, d):
     return store.with_attribution(rows).select("id", "purpose", "authorship", "content_scope", "author", "subject")
 
 
-@query(f"""WITH r AS (SELECT s.id, s.occurred_at, list_filter(list_transform(string_split(s.title || chr(10) || s.origin || chr(10) || o.content, chr(10)), lambda x: {sql.infer_date('x')}), lambda x: x IS NOT NULL) AS f FROM {sql.SOURCES} s JOIN {sql.OBJECTS} o ON s.object_hash = o.hash)
+@query(f"""WITH r AS (SELECT s.id, s.occurred_at, list_filter(list_transform(string_split({sql.nfkc('s.title || chr(10) || s.origin || chr(10) || o.content')}, chr(10)), lambda x: {sql.infer_date('x', True)}), lambda x: x IS NOT NULL) AS f FROM {sql.SOURCES} s JOIN {sql.OBJECTS} o ON s.object_hash = o.hash)
 SELECT id, list_min(f) AS occurred_at, list_max(f) AS occurred_end, CASE WHEN len(f) > 0 THEN 'inferred' ELSE 'unknown' END AS event_time_provenance FROM r""")
 def event_time_inferred(spark, d):
     """The period of every source as title, origin and body tell it."""
@@ -179,12 +222,14 @@ def migration_backfill(spark, d):
     return store.upgrade(old).select("id", "purpose", "authorship", "occurred_end", "event_time_provenance", "content_scope", "is_current")
 
 
-@query()
+@query(f"{_TWO_IMPORTS}, kind, origin, title, purpose, epoch_us(ts) AS observed_us, x AS external_id, c AS connection_id, known FROM r")
 def import_archive(spark, d):
-    """Documents of a wiki imported into an empty archive: bodies, versions, passages, postings."""
-    docs = web.wiki_documents(table(spark, d, "yuque_docs")).filter("skip_code is null")
-    tables = store.import_documents(store.empty(spark), store.conform(docs), NOW)
-    return tables.sources.select("id", "origin", "object_hash", "is_current", "external_id", "occurred_at")
+    """The whole archive imported in two parts: ids, what stays of the first import, what the second one changes."""
+    day = lambda c: F.date_diff(c, F.lit(NOW.date()))
+    return _two_imports(spark, d).select(
+        "id", "is_current", day("superseded_at").alias("superseded_day"), day("deleted_at").alias("deleted_day"), "kind", "origin", "title", "purpose",
+        F.unix_micros("observed_at").alias("observed_us"), "external_id", "connection_id", (day("imported_at") == 0).alias("known"),
+    )
 
 
 # --- tokens, index, search ---
@@ -201,7 +246,7 @@ _DL = f"len({sql.tokens('content')}) + len({sql.tokens(chr(97) + 'rray_to_string
 
 @query(f"SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM (SELECT {_DL} AS dl FROM {sql.CHUNKS}) WHERE dl > 0")
 def corpus_stats(spark, d):
-    return index.corpus_statistics(index.postings(_chunks(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index.corpus_statistics(archive(spark, d).totals).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _list(items) -> str:
@@ -224,8 +269,8 @@ _BM_TERMS = ["长堤", "预算", "archive"]
 @query(f"WITH {_bm25_sql(_BM_TERMS)} SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, d):
     """BM25 of every passage that holds one of three terms."""
-    terms = spark.createDataFrame([(0, t) for t in _BM_TERMS], "query_no int, token string")
-    return index.bm25(index.postings(_chunks(spark, d)), terms).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    tables = archive(spark, d)
+    return index.bm25(tables.postings, tables.totals, [(0, t) for t in _BM_TERMS]).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _passages_sql(purpose: str | None) -> str:
@@ -342,7 +387,7 @@ def recall_sufficiency(spark, d):
 @query(f"""WITH b AS (SELECT id, content, {sql.fold('content')} AS f FROM {sql.CHUNKS}),
 a AS (SELECT *, CASE WHEN strpos(f, 'archive import') > 0 THEN strpos(f, 'archive import') ELSE coalesce(least(nullif(strpos(f, 'archive'), 0), nullif(strpos(f, 'import'), 0)), 1) END AS spot FROM b),
 p AS (SELECT *, greatest(spot - 90, 1) AS start FROM a)
-SELECT id, CASE WHEN start > 1 THEN '…' ELSE '' END || trim(substring(content, start, 320), ' ') || CASE WHEN start + 319 < length(content) THEN '…' ELSE '' END AS excerpt FROM p""")
+SELECT id, CASE WHEN start > 1 THEN '…' ELSE '' END || regexp_replace(substring(content, start, 320), '^[\\s\\p{{Z}}\\x{{FEFF}}]+|[\\s\\p{{Z}}\\x{{FEFF}}]+$', '', 'g') || CASE WHEN start + 319 < length(content) THEN '…' ELSE '' END AS excerpt FROM p""")
 def excerpt(spark, d):
     """The stretch of every passage that speaks for a query."""
     terms = F.array(*[F.lit(t) for t in text.meaningful_terms(LATIN_QUERY)])
@@ -353,11 +398,12 @@ def excerpt(spark, d):
 # --- dates ---
 
 
-@query(r"""SELECT DISTINCT occurred_at AS value, CASE
-  WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}([T ](?s:.*))?$') AND try_cast(substring(v, 1, 10) AS DATE) IS NOT NULL THEN substring(v, 1, 10)
-  WHEN regexp_matches(v, '^\d{4}-\d{2}$') AND try_cast(v || '-01' AS DATE) IS NOT NULL THEN v
-  WHEN regexp_matches(v, '^\d{4}$') AND try_cast(v || '-01-01' AS DATE) IS NOT NULL THEN v END AS date
-  FROM (SELECT occurred_at, trim(occurred_at, ' ') AS v FROM sources WHERE occurred_at IS NOT NULL AND occurred_at NOT LIKE '0000%')""")
+@query(rf"""SELECT value, CASE
+  WHEN v LIKE '0000%' THEN NULL
+  WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}([T ](?s:.*))?$') AND try_cast(substring(v, 1, 10) AS DATE) IS NOT NULL THEN substring(v, 1, 10)
+  WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}$') AND try_cast(v || '-01' AS DATE) IS NOT NULL THEN v
+  WHEN regexp_matches(v, '^\d{{4}}$') AND try_cast(v || '-01-01' AS DATE) IS NOT NULL THEN v END AS date
+  FROM (SELECT DISTINCT occurred_at AS value, regexp_replace({sql.nfkc('occurred_at')}, '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g') AS v FROM sources WHERE occurred_at IS NOT NULL)""")
 def date_normalize(spark, d):
     """Stated dates as they are if the calendar has them."""
     values = table(spark, d, "sources").select(F.col("occurred_at").alias("value")).filter("value is not null").distinct()
@@ -370,7 +416,7 @@ def date_infer(spark, d):
     return _chunks(spark, d).select("id", dates.infer_date(F.col("content")).alias("date"))
 
 
-@query(f"""WITH r AS (SELECT hash, list_filter(list_transform(string_split(content, chr(10)), lambda x: {sql.infer_date('x')}), lambda x: x IS NOT NULL) AS f FROM {sql.OBJECTS})
+@query(f"""WITH r AS (SELECT hash, list_filter(list_transform(string_split({sql.nfkc('content')}, chr(10)), lambda x: {sql.infer_date('x', True)}), lambda x: x IS NOT NULL) AS f FROM {sql.OBJECTS})
 SELECT hash, list_min(f) AS first_date, list_max(f) AS last_date FROM r""")
 def date_range_lines(spark, d):
     """First and last date of every body, one date a line."""
@@ -382,10 +428,11 @@ def date_range_lines(spark, d):
 
 
 @query("""WITH l AS (SELECT DISTINCT conv_id, node_id, role, text, created_at FROM chat_lines), c AS (SELECT conv_id, min(title) AS title FROM chat_conversations GROUP BY conv_id),
-j AS (SELECT l.*, c.title FROM l JOIN c USING (conv_id) WHERE trim(text, ' ') <> '')
-SELECT conv_id, sha256('# ' || coalesce(any_value(title), 'untitled') || chr(10) || chr(10) || string_agg('## ' || CASE WHEN created_at > 0 THEN strftime(DATE '1970-01-01' + CAST(floor(created_at / 86400) AS INT), '%Y-%m-%d') ELSE 'undated' END || ' · ' || coalesce(role, 'unknown') || chr(10) || text, chr(10) || chr(10) ORDER BY coalesce(created_at, 0), node_id)) AS digest,
-  strftime(DATE '1970-01-01' + CAST(floor(min(created_at) FILTER (created_at > 0) / 86400) AS INT), '%Y-%m-%d') AS occurred_at, strftime(DATE '1970-01-01' + CAST(floor(max(created_at) FILTER (created_at > 0) / 86400) AS INT), '%Y-%m-%d') AS occurred_end
-FROM j WHERE created_at IS NULL OR created_at < 1e11 GROUP BY conv_id""")
+j AS (SELECT l.* EXCLUDE (created_at), CASE WHEN created_at < 1e11 THEN created_at WHEN created_at < 1e14 THEN created_at / 1000 END AS ts, c.title FROM l JOIN c USING (conv_id) WHERE trim(text, ' ') <> ''),
+k AS (SELECT *, '## ' || CASE WHEN ts > 0 THEN strftime(DATE '1970-01-01' + CAST(floor(ts / 86400) AS INT), '%Y-%m-%d') ELSE 'undated' END || ' · ' || coalesce(role, 'unknown') || chr(10) || text AS words FROM j)
+SELECT conv_id, sha256('# ' || coalesce(any_value(title), 'untitled') || chr(10) || chr(10) || string_agg(words, chr(10) || chr(10) ORDER BY coalesce(ts, 0), node_id, words)) AS digest,
+  strftime(DATE '1970-01-01' + CAST(floor(min(ts) FILTER (ts > 0) / 86400) AS INT), '%Y-%m-%d') AS occurred_at, strftime(DATE '1970-01-01' + CAST(floor(max(ts) FILTER (ts > 0) / 86400) AS INT), '%Y-%m-%d') AS occurred_end
+FROM k GROUP BY conv_id""")
 def chat_render(spark, d):
     """Chats as one document each, with their period."""
     lines = table(spark, d, "chat_lines").select("conv_id", "node_id", "role", "text", "created_at").distinct()
@@ -393,12 +440,20 @@ def chat_render(spark, d):
     return readers.chat_table(lines.join(titles, "conv_id")).select("conv_id", F.sha2("content", 256).alias("digest"), "occurred_at", "occurred_end")
 
 
-@query("""SELECT page_id, url, lower(regexp_extract(url, '^(https?)', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) AS canonical,
-  CAST(NULL AS VARCHAR) AS problem FROM (SELECT DISTINCT page_id, url FROM web_pages)""")
+#: What is put before a page's host and path, and what is then wrong with the URL.
+_VARIANTS = [("https://", None), ("HTTP://", None), ("ftp://", "BAD_SCHEME"), ("https://user:word@", "CREDENTIALS"), ("http://localhost/", "LOCAL_HOST"), ("https://10.1.2.3/", "PRIVATE_ADDRESS"), ("https://[fd00::1]/", "PRIVATE_ADDRESS"), ("https://8.8.8.8/", None), ("no url ", "BAD_URL")]
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"({n}, {sql.quoted(a)}, {sql.quoted(b) if b else 'NULL'})" for n, (a, b) in enumerate(_VARIANTS))}) t(variant, start, problem)),
+u AS (SELECT page_id, variant, problem, start || regexp_replace(url, '^https?://', '') AS url FROM (SELECT DISTINCT page_id, url FROM web_pages) CROSS JOIN v)
+SELECT page_id, variant, CASE WHEN problem IS NULL OR problem <> 'BAD_URL' THEN lower(regexp_extract(url, '^([A-Za-z]+)', 1)) || '://' || CASE WHEN url LIKE '%@%' THEN 'user:word@' ELSE '' END || lower(regexp_extract(url, '^[A-Za-z]+://(?:user:word@)?([^/?#]*)', 1))
+    || CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) END AS canonical, problem FROM u""")
 def url_canonical(spark, d):
-    """Canonical URLs of pages, and whether they may be fetched."""
-    pages = table(spark, d, "web_pages").select("page_id", "url").distinct()
-    return pages.select("page_id", "url", urls.canonical_url(F.col("url")).alias("canonical"), urls.url_problem(F.col("url")).alias("problem"))
+    """Canonical URLs of pages, and whether they may be fetched; each page's URL in several variants."""
+    pages = table(spark, d, "web_pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("rest")).distinct()
+    variants = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(start).alias("start")) for n, (start, _) in enumerate(_VARIANTS)])
+    rows = pages.select("page_id", "rest", F.inline(variants)).withColumn("url", F.concat("start", "rest"))
+    return rows.select("page_id", "variant", urls.canonical_url(F.col("url")).alias("canonical"), urls.url_problem(F.col("url")).alias("problem"))
 
 
 _ADDRESSES = [("8.8.8.8", False), ("10.1.2.3", True), ("100.64.0.1", True), ("100.128.0.1", False), ("172.31.255.1", True), ("172.32.0.1", False), ("192.0.2.9", True), ("192.0.1.9", False),
@@ -445,13 +500,15 @@ def zip_running_total(spark, d):
 
 
 _ROBOTS = "User-agent: other\nDisallow: /\nUser-agent: *\nDisallow: /essays/1 # old\nDisallow:\nSitemap: https://s.example/sitemap.xml\n"
+_OTHER_ROBOTS = "USER-AGENT: *\r\ndisallow: /p/\r\nDisallow: /notes\r\nUser-agent: other\r\nDisallow: /\r\n"
 
 
-@query("SELECT DISTINCT site, url FROM web_pages WHERE NOT regexp_matches(url, '^https?://[^/]+/essays/1') AND site IS NOT NULL")
+@query("""SELECT DISTINCT site, url FROM web_pages WHERE site IS NULL OR url IS NULL OR NOT CASE WHEN site LIKE '%1.%' THEN regexp_matches(url, '^https?://[^/]+/(p/|notes)') ELSE regexp_matches(url, '^https?://[^/]+/essays/1') END""")
 def robots_filter(spark, d):
-    """The pages that their site's robots rules leave open."""
-    pages = table(spark, d, "web_pages").filter("site is not null").select("site", "url").distinct()
-    robots = pages.select("site").distinct().withColumn("body", F.lit(_ROBOTS))
+    """The pages that their site's robots rules leave open; a page without site has no rules."""
+    pages = table(spark, d, "web_pages").select("site", "url").distinct()
+    body = F.when(F.col("site").like("%1.%"), _OTHER_ROBOTS).otherwise(_ROBOTS)
+    robots = pages.select("site").filter("site is not null").distinct().withColumn("body", body)
     return web.allowed(pages, web.robots_rules(robots))
 
 
@@ -468,10 +525,10 @@ def crawl_reach(spark, d):
     return web.reachable(linked.filter("n = 1").select(F.col("src").alias("url")), linked.filter("dst is not null").select("src", "dst"))
 
 
-@query("SELECT DISTINCT site, 'page' AS kind, url, strftime(fetched_at::TIMESTAMP, '%Y-%m-%d') AS modified_at FROM web_pages WHERE site IS NOT NULL")
+@query("SELECT DISTINCT site, 'page' AS kind, url, strftime(fetched_at::TIMESTAMP, '%Y-%m-%d') AS modified_at FROM web_pages WHERE url IS NOT NULL")
 def sitemap_parse(spark, d):
     """Sitemaps written for the pages of every site, and read again."""
-    pages = table(spark, d, "web_pages").filter("site is not null")
+    pages = table(spark, d, "web_pages")
     entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), F.date_format("fetched_at", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
     # A sitemap holds at most a few thousand pages, so a site has several.
     maps = pages.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(8))).groupBy("site", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(entry), ""), F.lit("</urlset>")).alias("body"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import timestamps, versions
-from lodestrata.session import table
+from lodestrata.session import cut_lineage, table
 
 SOURCE_TIMES = ("occurred_at", "published_at", "modified_at")
 
@@ -28,19 +28,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.changed_forms(timestamps.with_zone(values, connections))
 
 
+#: Snapshots imported in this time before the last one are the batch that is merged into the versions of all earlier ones.
+LAST_BATCH = F.expr("INTERVAL 365 DAYS")
+
+
 def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version of every origin with its number and period."""
+    """Every version of every origin with its number and period: a year's snapshots merged into the versions of those before."""
     connections = table(spark, sf_dir, "connections").select("connection_id", "time_zone")
     columns = ["origin", "connection_id", "modified_at", "imported_at", "id", "deleted_at", *VERSIONED]
     sources = timestamps.with_zone(table(spark, sf_dir, "sources").select(*columns), connections)
     dated = timestamps.normalize_times(sources, "modified_at", "_zone", "at")
-    dated = dated.withColumn("removed", timestamps.instant_text("deleted_at"))
-    return versions.version_history(dated, "origin", VERSIONED, "at", ["imported_at", "id"], "removed")
+    dated = dated.filter("at is not null").withColumn("removed", timestamps.instant_text("deleted_at"))
+    # Read by the first load and by the batch; hashes stand for the attributes.
+    dated = cut_lineage(dated.select("origin", "at", "imported_at", "id", "removed", versions.attribute_hash(VERSIONED).alias("attributes")))
+    (last,) = dated.agg(F.max("imported_at") - LAST_BATCH).first()
+    before = F.coalesce(F.col("imported_at") < F.lit(last), F.lit(True))
+    rules = ("origin", ["attributes"], "at", ["imported_at", "id"], "removed")
+    earlier, batch = dated.filter(before), dated.filter(~before)
+    nothing = versions.empty_dimension(spark, "origin")
+    first = cut_lineage(versions.merge_versions(nothing, earlier, dated.limit(0), *rules))
+    merged = versions.merge_versions(first, batch, earlier, *rules)
+    return merged.select("origin", "valid_from", "valid_to", "version_no", "is_current")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of the origins that have two or more."""
-    return p6_history(spark, sf_dir).filter("n_versions >= 2").select("origin", "valid_from", "valid_to")
+    """Versions of the origins that have two or more: all but the first ones that are still current."""
+    return p6_history(spark, sf_dir).filter("NOT (version_no = 1 AND is_current)").select("origin", "valid_from", "valid_to")
 
 
 QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_history": p6_history}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+from lodestrata.functions import dates
+
 # Characters of these ranges have one plain equal each; DuckDB has no NFKC.
 _RANGES = [(0xFF01, 0xFF5F), (0x2070, 0x207A), (0x2460, 0x2469), (0x2F00, 0x2FD6), (0x2000, 0x200B)]
 _SINGLES = [0x00A0, 0x202F, 0x205F, 0x3000, 0x00B2, 0x00B3, 0x00B9, 0x2011]
@@ -42,25 +45,17 @@ def body(expression: str) -> str:
     return rf"regexp_replace(regexp_replace({expression}, '\r\n?', chr(10), 'g'), '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 
 
-_YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})"
-_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12][0-9]|3[01])"
-_NOTATIONS = [
-    (rf"{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}(?:[^0-9]|$)", 3),
-    (rf"{_YEAR}\s*年\s*{_MONTH}\s*月\s*{_DAY}\s*日?", 3),
-    (rf"{_YEAR}[-/.]{_MONTH}(?:[^0-9]|$)", 2),
-    (rf"{_YEAR}\s*年\s*{_MONTH}\s*月", 2),
-    (rf"{_YEAR}\s*年(?:[^0-9]|$)", 1),
-]
-
-
-def infer_date(expression: str) -> str:
+def infer_date(expression: str, folded: bool = False) -> str:
+    """The first real date; ``folded`` says that the expression is plain already."""
+    value = expression if folded else nfkc(expression)
     found = []
-    for pattern, parts in _NOTATIONS:
-        group = [f"regexp_extract({expression}, {quoted(pattern)}, {n + 1})" for n in range(parts)]
+    for pattern in dates.NOTATIONS:
+        parts = re.compile(pattern).groups
+        group = [f"regexp_extract(x, {quoted(pattern)}, {n + 1})" for n in range(parts)]
         text = " || '-' || ".join([group[0], *[f"lpad({g}, 2, '0')" for g in group[1:]]])
-        whole = text + "" if parts == 3 else f"{text} || '{'-01' * (3 - parts)}'"
-        found.append(f"CASE WHEN {group[0]} <> '' AND try_cast({whole} AS DATE) IS NOT NULL THEN {text} END")
-    return f"coalesce({', '.join(found)})"
+        found.append(f"CASE WHEN {group[0]} <> '' AND try_cast({text} || '{'-01' * (3 - parts)}' AS DATE) IS NOT NULL THEN {text} END")
+    # Written once, whatever the expression's length.
+    return f"list_transform([{value}], lambda x: coalesce({', '.join(found)}))[1]"
 
 
 SOURCES = "(SELECT DISTINCT * FROM sources)"

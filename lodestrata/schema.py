@@ -17,8 +17,10 @@ SOURCES = (
 )
 OBJECTS = "hash string, content string, created_at timestamp"
 CHUNKS = "id string, object_hash string, ordinal int, start_line int, end_line int, content string, heading_path array<string>, occurred_at string"
-POSTINGS = "chunk_id string, token string, in_heading boolean, in_body boolean"
+POSTINGS = "chunk_id string, token string, in_heading boolean, in_body boolean, dl int, bucket int"
+TOTALS = "n bigint, tokens bigint"
 JOBS = "job_id string, connection_id string, state string, error string, completed int, total int, imported int, unchanged int, skipped int, created_at timestamp, updated_at timestamp"
+CONNECTIONS = "connection_id string, input string, kind string, purpose string, authorship string, content_scope string, crawl_scope string, created_at timestamp, last_synced_at timestamp"
 
 #: What an import takes; everything but kind, origin, title and content may be NULL.
 DOCUMENTS = (

@@ -16,6 +16,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -29,12 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and go on from there.
 
-    The folder is the cluster's own (``spark.checkpoint.dir``); one is set only
-    where the session has none, which is the case in tests.
+    The folder is the cluster's own (``spark.checkpoint.dir``).  Where it is
+    unset, a session in one process (tests, the bench) takes a folder of this
+    machine; on a cluster that would lose data, so it is an error there.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestrata-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodestrata-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -58,19 +58,29 @@ def test_empty(spark):
 
 
 def test_merge_of_batches_with_late_snapshots(spark):
-    from lodestrata.operators.versions import merge_versions
+    from lodestrata.operators.versions import empty_dimension, merge_versions
+    from lodestrata.session import cut_lineage
 
     random.seed(5)
-    options = ("origin", ["title", "author"], "at", ["imported", "id"], "removed")
+    rules = ("origin", ["title", "author"], "at", ["imported", "id"], "removed")
     rows = [row(random.choice("abcd"), f"2020-{random.randint(1, 12):02}-{random.randint(1, 28):02}", n, random.choice(["x", "y", None]), random.choice(["u", None]), random.choice([None, "2030"]), str(n)) for n in range(60)]
     frame = lambda part: spark.createDataFrame(part, SCHEMA)
-    # Changed, late inside a version, of a new entity, of no entity or time.
-    batch = [row("a", "2020-06-15", 90, "z"), row("b", "2021-01-01", 91, "x"), row("e", "2020-01-01", 92, "x"), row(None, "2020-01-01", 93, "x"), row("c", None, 94, "x")]
-    stored = version_history(frame(rows), *options).localCheckpoint()
-    columns = ["origin", "version_no", "valid_from", "valid_to", "n_versions"]
-    merged = merge_versions(stored, frame(rows), frame(batch), *options)
-    assert sorted(tuple(r) for r in merged.select(columns).collect()) == brute(rows + batch)
-    assert sorted(tuple(r) for r in merge_versions(stored, frame(rows), frame([]), *options).select(columns).collect()) == brute(rows)
-    # A version says nothing of stored snapshots inside it; the untouched entities are taken as they are stored.
-    kept = merge_versions(stored.withColumn("valid_to", F.lit("stored")), frame(rows), frame(batch), *options)
-    assert {r.origin for r in kept.filter("valid_to = 'stored'").collect()} == {"c", "d"}
+    shown = lambda d: sorted((r.origin, r.version_no, r.valid_from, r.valid_to, r.is_current) for r in d.collect())
+    wanted = lambda part: [(*r[:4], r[1] == r[4]) for r in brute(part)]
+    # Later ones that change, extend and close; late inside a version and at a stored time; of a new entity, of no entity or time.
+    batches = [
+        [row("a", "2021-01-01", 80, "z"), row("a", "2021-01-02", 81, "z", removed="2031"), row("b", "2021-03-01", 82, "x"), row("b", "2021-02-01", 83, "y")],
+        [row("a", "2020-06-15", 90, "z"), row("a", "2022-01-01", 95, "q"), row("b", "2022-01-01", 91, "x"), row("e", "2020-01-01", 92, "x"), row(None, "2020-01-01", 93, "x"), row("c", None, 94, "x")],
+        [],
+        [row("b", "2022-01-01", 96, "other"), row("d", "2025-01-01", 97, None)],
+    ]
+    dimension = cut_lineage(merge_versions(empty_dimension(spark, "origin"), frame(rows), frame([]), *rules))
+    assert shown(dimension) == wanted(rows)
+    for batch in batches:
+        dimension = cut_lineage(merge_versions(dimension, frame(batch), frame(rows), *rules))
+        rows = rows + batch
+        assert shown(dimension) == wanted(rows)
+    # What the batch doesn't name is taken as it is stored, and so are closed versions.
+    marked = dimension.withColumn("valid_to", F.when(~F.col("is_current") | (F.col("origin") == "c"), "stored").otherwise(F.col("valid_to")))
+    kept = merge_versions(marked, frame([row("d", "2026-01-01", 99, "new")]), frame(rows), *rules).collect()
+    assert {r.valid_to for r in kept if r.origin == "c"} == {"stored"} and [r.valid_to for r in kept if r.origin == "d"].count("stored") == len([r for r in brute(rows) if r[0] == "d"]) - 1

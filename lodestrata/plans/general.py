@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Snapshots imported in this time before the last one are the batch that is merged into the versions of all earlier ones.
-LAST_BATCH = F.expr("INTERVAL 365 DAYS")
+LAST_BATCH = timedelta(days=365)
 
 
 def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = dated.filter("at is not null").withColumn("removed", timestamps.instant_text("deleted_at"))
     # Read by the first load and by the batch; hashes stand for the attributes.
     dated = cut_lineage(dated.select("origin", "at", "imported_at", "id", "removed", versions.attribute_hash(VERSIONED).alias("attributes")))
-    (last,) = dated.agg(F.max("imported_at") - LAST_BATCH).first()
-    before = F.coalesce(F.col("imported_at") < F.lit(last), F.lit(True))
+    (latest,) = dated.agg(F.max("imported_at")).first()
+    before = F.coalesce(F.col("imported_at") < F.lit(latest).cast("timestamp") - F.lit(LAST_BATCH), F.lit(True))
     rules = ("origin", ["attributes"], "at", ["imported_at", "id"], "removed")
     earlier, batch = dated.filter(before), dated.filter(~before)
     nothing = versions.empty_dimension(spark, "origin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import boilerplate, conversations, formatdups, leakage, lookalikes, packing, textstats
+from lodestrata.llm import boilerplate, conversations, formatdups, leakage, lookalikes, packing, sql, textstats
 from lodestrata.session import table
 
 
@@ -107,4 +107,4 @@ QUERIES = {
     "p9_figures": p9_figures,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = sql.ORACLE_SQL

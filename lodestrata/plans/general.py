@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import timestamps, versions
+from lodestrata.plans import sql
 from lodestrata.session import cut_lineage, table
 
 SOURCE_TIMES = ("occurred_at", "published_at", "modified_at")
@@ -58,4 +59,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_history(spark, sf_dir).filter("NOT (version_no = 1 AND is_current)").select("origin", "valid_from", "valid_to")
 
 
+_ZONED = "(SELECT connection_id, min(time_zone) AS zone FROM connections GROUP BY connection_id)"
+
+_P5_FOUND = f"""WITH given AS (
+  SELECT id AS record_key, connection_id, unnest(['occurred_at', 'published_at', 'modified_at']) AS field_name, unnest([occurred_at, published_at, modified_at]) AS value FROM sources
+  UNION ALL SELECT CAST(id AS VARCHAR), connection_id, 'updated_at', updated_at FROM yuque_docs),
+given_zones AS (SELECT g.*, z.zone FROM (SELECT DISTINCT * FROM given WHERE value IS NOT NULL) g LEFT JOIN {_ZONED} z USING (connection_id)), {sql.normal_times('given_zones')}
+SELECT DISTINCT record_key, field_name, normal_form FROM timed WHERE normal_form IS NOT NULL AND normal_form <> value"""
+
+_P6 = f"""WITH given AS (SELECT s.*, z.zone FROM (SELECT DISTINCT * FROM sources) s LEFT JOIN {_ZONED} z USING (connection_id)), {sql.normal_times('given', 'modified_at', 'zone', 'ts')},
+single AS (SELECT *, 1 AS one FROM timed WHERE ts IS NOT NULL AND origin IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY origin, ts ORDER BY imported_at DESC NULLS LAST, id DESC) = 1),
+told AS (SELECT *, row_number() OVER w = 1 OR title IS DISTINCT FROM lag(title) OVER w OR object_hash IS DISTINCT FROM lag(object_hash) OVER w OR purpose IS DISTINCT FROM lag(purpose) OVER w OR authorship IS DISTINCT FROM lag(authorship) OVER w
+    OR author IS DISTINCT FROM lag(author) OVER w OR subject IS DISTINCT FROM lag(subject) OVER w OR content_scope IS DISTINCT FROM lag(content_scope) OVER w AS opens,
+  last_value(strftime(timezone('UTC', deleted_at), '%Y-%m-%dT%H:%M:%S.%gZ')) OVER (PARTITION BY origin ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS removed FROM single WINDOW w AS (PARTITION BY origin ORDER BY ts)),
+versions AS (SELECT origin, ts AS valid_from, coalesce(lead(ts) OVER w, removed, 'open') AS valid_to, row_number() OVER w AS version_no, lead(ts) OVER w IS NULL AS is_current FROM told WHERE opens WINDOW w AS (PARTITION BY origin ORDER BY ts))"""
+
+ORACLE_SQL = {
+    "p5_found": _P5_FOUND,
+    "p6_history": f"{_P6} SELECT origin, valid_from, valid_to, version_no, is_current FROM versions",
+    "p6_found": f"{_P6} SELECT origin, valid_from, valid_to FROM versions WHERE origin IN (SELECT origin FROM versions GROUP BY origin HAVING count(*) >= 2)",
+}
+
 QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_history": p6_history}

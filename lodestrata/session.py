@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -44,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestrata-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Rows that are sent to every task at most; narrow ones, so some tens of megabytes.
+MOST_SENT = 1_000_000
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df`` (narrow, and cheap to count) marked for a broadcast if it has at most ``most`` rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import cut_lineage, sent_if_small
 
 _FORMATTING = r"[^\p{L}\p{N}\p{M}]+"
 _FORMATTING_PY = regex.compile(_FORMATTING)
@@ -92,7 +92,8 @@ def collapse(objects: DataFrame, identifier: str, body: str, hot_rows: int = 100
     keyed = objects.filter(F.col(identifier).isNotNull() & F.col(body).isNotNull()).select(F.col(identifier).alias("hash"), canonical_key(F.col(body)).alias("key"))
     # Keys are much smaller than bodies, and the bodies are read once.
     members = cut_lineage(keyed.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n_rows")))
-    hot = members.groupBy("key").agg(F.sum("n_rows").alias("n")).filter(F.col("n") >= hot_rows).select("key")
+    # At most one hot key for every hot_rows rows; few enough to be sent, no row moves to learn that its key is not hot.
+    hot = sent_if_small(cut_lineage(members.groupBy("key").agg(F.sum("n_rows").alias("n")).filter(F.col("n") >= hot_rows).select("key")))
     some = members.join(hot, "key", "left_anti").withColumn("rep_hash", F.min("hash").over(Window.partitionBy("key")))
     salted = members.join(hot, "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(salts)))
     representatives = salted.groupBy("key", "salt").agg(F.min("hash").alias("low")).groupBy("key").agg(F.min("low").alias("rep_hash"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import cut_lineage, sent_if_small
 
 #: Look-alike letters; the string under a script lists its letters in the order of ``LATIN``.
 LATIN = "aeopcyxijshqwdl" + "ABEKMHOPCTXIJSYGQW" + "vpojc" + "ABEZHIKMNOPTYXC" + "o"
@@ -165,15 +165,31 @@ def alike_pairs(forms: DataFrame) -> DataFrame:
     ``raw_id`` identifies the string as it is stored (see ``string_id``).  Pairs arise only between different strings of one form, never among the
     records that share a string.
     """
-    marked = forms.filter(F.col("form").isNotNull() & F.col("record_key").isNotNull()).select(
-        "field_name", "record_key", F.unhex(F.md5("form")).alias("form_id"), "raw_id"
+    # Written once: ids and hashes, of which five steps read.
+    marked = cut_lineage(
+        forms.filter(F.col("form").isNotNull() & F.col("record_key").isNotNull()).select("field_name", "record_key", F.unhex(F.md5("form")).alias("form_id"), "raw_id")
     )
     groups = marked.groupBy("field_name", "form_id").agg(F.min("raw_id").alias("low"), F.max("raw_id").alias("high"))
-    several = groups.filter(F.col("low") != F.col("high")).select("field_name", "form_id")
-    members = marked.join(several, ["field_name", "form_id"], "left_semi").distinct()
+    # Forms of two strings or more are few beside all; a form that very many records share moves only if it is one of them.
+    several = sent_if_small(cut_lineage(groups.filter(F.col("low") != F.col("high")).select("field_name", "form_id")))
+    members = cut_lineage(marked.join(several, ["field_name", "form_id"], "left_semi").distinct())
     strings = members.select("field_name", "form_id", "raw_id").distinct()
     pairs = strings.withColumnRenamed("raw_id", "raw_a").join(strings.withColumnRenamed("raw_id", "raw_b"), ["field_name", "form_id"]).filter("raw_a < raw_b")
     left = members.select("field_name", "form_id", F.col("raw_id").alias("raw_a"), F.col("record_key").alias("a"))
     right = members.select("field_name", "form_id", F.col("raw_id").alias("raw_b"), F.col("record_key").alias("b"))
     joined = pairs.join(left, ["field_name", "form_id", "raw_a"]).join(right, ["field_name", "form_id", "raw_b"])
     return joined.filter("a != b").select("field_name", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+
+
+def alike_classes(forms: DataFrame) -> DataFrame:
+    """(field_name, form_id, record_key, n_records, n_strings): the class of every record whose string has look-alikes, and the class's size.
+
+    The pairs of ``alike_pairs`` follow from it: records of one class with
+    different strings.
+    """
+    marked = cut_lineage(
+        forms.filter(F.col("form").isNotNull() & F.col("record_key").isNotNull()).select("field_name", "record_key", F.unhex(F.md5("form")).alias("form_id"), "raw_id").distinct()
+    )
+    strings = marked.groupBy("field_name", "form_id", "raw_id").agg(F.count(F.lit(1)).alias("n"))
+    classes = strings.groupBy("field_name", "form_id").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_strings")).filter("n_strings > 1")
+    return marked.join(sent_if_small(cut_lineage(classes)), ["field_name", "form_id"]).select("field_name", F.hex("form_id").alias("form_id"), "record_key", "n_records", "n_strings").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import MOST_SENT, cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -130,8 +130,8 @@ def pack(counts: DataFrame, sizes: DataFrame, salts: int = SALTS) -> DataFrame:
     order = Window.partitionBy("size_id", "n_tokens", "salt").orderBy("doc_id", "piece_no")
     ranked = pieces.withColumn("n", F.row_number().over(order) - 1).join(offsets, ["size_id", "n_tokens", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("n"))
-    # The plan's size follows from the capacities alone.
-    found = ranked.join(F.broadcast(planned), ["size_id", "n_tokens"]).filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
+    # The plan's size follows from the capacities alone; very large ones would need a shuffle.
+    found = ranked.join(F.broadcast(planned) if len(slots) <= MOST_SENT else planned, ["size_id", "n_tokens"]).filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("each"))
     return found.select("size_id", container.cast("bigint").alias("container_no"), "doc_id", "piece_no", "first_token", "n_tokens")
 

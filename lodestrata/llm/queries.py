@@ -42,6 +42,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike_pairs(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw_id"], "raw"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records whose strings have look-alikes, by class."""
+    return lookalikes.alike_classes(lookalikes.consistent_form(_p3_strings(spark, sf_dir), ["field_name", "record_key", "raw_id"], "raw"))
+
+
 def _p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdups.collapse(table(spark, sf_dir, "objects").select("hash", "content"), "hash", "content")
 
@@ -97,6 +102,7 @@ QUERIES = {
     "p2_bodies": p2_bodies,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p7_containers": p7_containers,

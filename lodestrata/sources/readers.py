@@ -20,21 +20,20 @@ IGNORED_FOLDERS = (".git", "node_modules", "dist", ".next", "coverage")
 ENTRY_SCHEMA = "archive string, entry_no int, name string, size bigint, modified_at string, data binary, skip_code string"
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modified_at, length, content) of the supported files of a folder or one file, ignored folders left out."""
+def list_files(spark: SparkSession, path: str, archives: bool = False) -> DataFrame:
+    """(path, modified_at, length, content) of the supported files of a folder or one file, ignored folders left out; or of its ZIP archives."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ignored = r"/(?:" + "|".join(x.replace(".", r"\.") for x in IGNORED_FOLDERS) + ")/"
-    return files.filter(urls.is_supported_file(F.col("path")) & ~F.col("path").rlike(ignored)).select(
-        "path", F.col("modificationTime").alias("modified_at"), "length", "content"
-    )
+    wanted = F.lower("path").endswith(".zip") if archives else urls.is_supported_file(F.col("path"))
+    return files.filter(wanted & ~F.col("path").rlike(ignored)).select("path", F.col("modificationTime").alias("modified_at"), "length", "content")
 
 
 def limited(files: DataFrame, max_files: int = MAX_ENTRIES, max_bytes: int = ENTRY_BYTES) -> DataFrame:
     """Adds skip_code: TOO_MANY_ENTRIES beyond the first ``max_files`` by path, ENTRY_TOO_LARGE, else NULL."""
-    # Files are listed by the driver, so their order is no burden here.
-    place = F.row_number().over(Window.orderBy("path"))
-    code = F.when(place > max_files, "TOO_MANY_ENTRIES").when(F.col("length") > max_bytes, "ENTRY_TOO_LARGE")
-    return files.withColumn("skip_code", code)
+    # Only paths are ordered, and one of them is brought back: the first that is too many.
+    beyond = files.select("path").orderBy("path").offset(max_files).limit(1).collect()
+    many = F.col("path") >= beyond[0].path if beyond else F.lit(False)
+    return files.withColumn("skip_code", F.when(many, "TOO_MANY_ENTRIES").when(F.col("length") > max_bytes, "ENTRY_TOO_LARGE"))
 
 
 def entry_problem(name: Column, flags: Column, mode: Column) -> Column:
@@ -172,6 +171,21 @@ def documents_of(path: str, data: bytes) -> list[dict]:
     return [plain | {"title": name}]
 
 
+def without_root(name: Column) -> Column:
+    """The path of an archive's entry below the archive's one root folder."""
+    return F.regexp_replace(F.translate(name, "\\", "/"), r"^[^/]*/(?=.)", "")
+
+
+def entry_documents(entries: DataFrame, origin: Column | None = None) -> DataFrame:
+    """Documents of an archive's entries (archive, name, modified_at, data, skip_code), read by their extension like files.
+
+    ``origin`` names an entry, by default ``archive#name``; entries with a skip
+    code are left out.
+    """
+    named = F.concat("archive", F.lit("#"), F.col("name")) if origin is None else origin
+    return read_documents(entries.filter("skip_code is null").select(named.alias("path"), "modified_at", F.col("data").alias("content")))
+
+
 FIELDS = ["kind", "title", "content", "origin", "original_path", "purpose", "authorship", "occurred_at", "occurred_end", "event_time_provenance", "modified_at"]
 DOCUMENT_SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import urls
 from lodestrata.session import cut_lineage
+from lodestrata.sources import readers
 
 #: Limits of one site's crawl.
 MAX_PAGES, MAX_DEPTH, PAGE_BYTES, SITE_BYTES = 50, 2, 5 * 1024 * 1024, 100 * 1024 * 1024
-MAX_SITEMAPS, MAX_FEEDS = 16, 4
+MAX_SITEMAPS, MAX_FEEDS, MAX_HOPS = 16, 4, 5
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -79,8 +80,10 @@ def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH) ->
     scopes = start.select(urls.directory_of(F.col("url")).alias("scope")).distinct()
     clean = links.select(urls.canonical_url(F.col("src")).alias("src"), urls.canonical_url(F.col("dst")).alias("dst")).filter("src is not null and dst is not null").distinct()
     host = urls.origin_of
+    # Each round reads the links inside; they are chosen once.
     inside = clean.join(scopes, (host(clean["dst"]) == host(scopes["scope"])) & clean["dst"].startswith(scopes["scope"]), "left_semi")
-    met = start.withColumn("depth", F.lit(0))
+    inside = cut_lineage(inside)
+    met = cut_lineage(start.withColumn("depth", F.lit(0)))
     frontier = met
     for depth in range(1, max_depth + 1):
         found = inside.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
@@ -119,10 +122,51 @@ def wiki_documents(docs: DataFrame) -> DataFrame:
 
 
 def repository_documents(entries: DataFrame, repository: str, ref: str) -> DataFrame:
-    """Documents of a repository's archive: its root folder cut off, references by others."""
-    path = F.regexp_replace("name", r"^[^/]*/", "")
-    origin = F.concat(F.lit(f"{repository}/tree/{ref}#"), path)
-    return entries.filter("skip_code is null").select(
-        origin.alias("origin"), path.alias("original_path"), F.lit("reference").alias("purpose"), F.lit("other").alias("authorship"), F.lit("sourced").alias("content_scope"),
-        origin.alias("external_id"), "modified_at", F.col("data").alias("content"),
-    )
+    """Documents of a repository's archive (readers.zip_entries), each read by its extension: its root folder cut off, references by others."""
+    base = f"{repository}/tree/{ref}#"
+    documents = readers.entry_documents(entries, F.concat(F.lit(base), readers.without_root(F.col("name"))))
+    fixed = {"purpose": "reference", "authorship": "other", "content_scope": "sourced"}
+    return documents.withColumns({**{c: F.lit(v) for c, v in fixed.items()}, "external_id": F.col("origin"), "original_path": F.substring("original_path", len(base) + 1, 1 << 20)})
+
+
+def follow_redirects(pages: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """(url, final_url, hops, skip_code) of fetched pages (url, status, location): where the redirects of each lead.
+
+    TOO_MANY_REDIRECTS beyond ``max_hops`` and in a loop, CROSS_ORIGIN_REDIRECT
+    to another origin, NOT_FETCHED where the table ends; each round joins only
+    the pages that still move.
+    """
+    known = pages.select(urls.canonical_url(F.col("url")).alias("url"), "status", "location").filter("url is not null").dropDuplicates(["url"])
+    moves = cut_lineage(known.filter(F.col("status").between(300, 399) & F.col("location").isNotNull()).select(F.col("url").alias("at"), F.when(F.col("location").startswith("/"), F.concat(urls.origin_of(F.col("url")), "location")).otherwise(F.col("location")).alias("to")))
+    moves = moves.withColumn("to", urls.canonical_url(F.col("to")))
+    moving = known.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("skip_code"))
+    done = []
+    for _ in range(max_hops + 1):
+        met = moving.join(moves, F.col("final_url") == F.col("at"), "left")
+        cross = urls.origin_of(F.col("to")) != urls.origin_of(F.col("url"))
+        code = F.when(F.col("at").isNotNull() & F.coalesce(cross, F.lit(True)), "CROSS_ORIGIN_REDIRECT").when(F.col("at").isNotNull() & (F.col("hops") >= max_hops), "TOO_MANY_REDIRECTS")
+        met = cut_lineage(met.withColumn("skip_code", code))
+        done.append(met.filter("at is null OR skip_code is not null").select("url", "final_url", "hops", "skip_code"))
+        moving = met.filter("at is not null AND skip_code is null").select("url", F.col("to").alias("final_url"), (F.col("hops") + 1).alias("hops"), "skip_code")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    fetched = known.select(F.col("url").alias("_known"))
+    out = out.join(fetched, F.col("final_url") == F.col("_known"), "left")
+    return out.select("url", "final_url", "hops", F.coalesce("skip_code", F.when(F.col("_known").isNull(), "NOT_FETCHED")).alias("skip_code"))
+
+
+def followed(listings: DataFrame, most: int, kind: str) -> DataFrame:
+    """Of the sitemaps or feeds (site, url) that a site names, the first ``most`` by URL of its own origin, others with a skip_code."""
+    rows = listings.select("site", urls.canonical_url(F.col("url")).alias("url")).distinct()
+    own = F.lower(urls.part(F.col("url"), 3)) == F.lower("site")
+    place = F.row_number().over(Window.partitionBy("site", own).orderBy("url"))
+    return rows.withColumn("skip_code", F.when(~F.coalesce(own, F.lit(False)), "CROSS_ORIGIN").when(place > most, f"TOO_MANY_{kind.upper()}"))
+
+
+def sitemaps_followed(sitemaps: DataFrame) -> DataFrame:
+    return followed(sitemaps, MAX_SITEMAPS, "sitemaps")
+
+
+def feeds_followed(feeds: DataFrame) -> DataFrame:
+    return followed(feeds, MAX_FEEDS, "feeds")

@@ -21,14 +21,21 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """Supported files of a folder as they appear."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(path)
-    return files.filter(urls.is_supported_file(F.col("path")) & (F.col("length") <= readers.ENTRY_BYTES))
+    return files.filter(urls.is_supported_file(F.col("path")))
 
 
 def follow(archive: Archive, path: str, checkpoint: str) -> StreamingQuery:
-    """Imports what is there and then ends; started again, it goes on from its checkpoint."""
+    """Imports what is there and then ends; started again, it goes on from its checkpoint.
+
+    Files that are too large or too many are named with their code in the
+    archive's folder ``skipped``.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
-        documents = readers.read_documents(batch.select("path", F.col("modificationTime").alias("modified_at"), "content"))
-        archive.add(documents)
+        coded = readers.limited(batch.withColumnRenamed("modificationTime", "modified_at"))
+        archive.add(readers.read_documents(coded.filter("skip_code is null").select("path", "modified_at", "content")))
+        skipped = coded.filter("skip_code is not null").select("path", "skip_code")
+        if not skipped.isEmpty():
+            skipped.write.mode("append").json(f"{archive.path}/skipped")
 
     return file_stream(archive.spark, path).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

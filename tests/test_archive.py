@@ -44,8 +44,8 @@ def test_tokens(spark):
 
 
 def test_dates(spark):
-    assert values(spark, dates.normalize_date, ["2026-09-15", "2026-09", "2026", "09/15", "2026-02-30", None]) == ["2026-09-15", "2026-09", "2026", None, None, None]
-    assert values(spark, dates.infer_date, ["on 2024/3/2.", "2025年11月", "no 20240302 date", "2023-02-30 then 2023-03", ""]) == ["2024-03-02", "2025-11", None, "2023-02", None]
+    assert values(spark, dates.normalize_date, ["2026-09-15", "2026-09", "2026", "09/15", "2026-02-30", None, "２０２６-０９", "2026-09-15 10:00"]) == ["2026-09-15", "2026-09", "2026", None, None, None, "2026-09", "2026-09-15"]
+    assert values(spark, dates.infer_date, ["on 2024/3/2.", "2025年11月", "no 20240302 date", "2023-02-30 then 2023-03", "", "２０２４年３月", "２０２４-０１-１２", "2024⽉ 2024年㋂"]) == ["2024-03-02", "2025-11", None, "2023-02", None, "2024-03", "2024-01-12", "2024-03"]
     span = value(spark, dates.date_range, "2024-05-01\nx\n2023年4月\n2025")
     assert (span.start, span.end) == ("2023-04", "2024-05-01")
 
@@ -170,7 +170,10 @@ def test_files(spark, tmp_path):
     assert docs["Walk"].occurred_at == "2024-03-02" and docs["Walk"].event_time_provenance == "filename"
     assert docs["Chat"].content == "# Chat\n\n## 2023-11-14 · user\nhi\nthere" and docs["Chat"].kind == "chat"
     archives = spark.read.format("binaryFile").load(str(tmp_path / "x.zip"))
-    codes = {r.name: r.skip_code for r in readers.zip_entries(archives).collect()}
+    entries = readers.zip_entries(archives)
+    (inside,) = readers.entry_documents(entries).collect()
+    assert inside.title == "a" and inside.origin.endswith("x.zip#notes/a.md")
+    codes = {r.name: r.skip_code for r in entries.collect()}
     assert codes == {"notes/a.md": None, "../up.md": "UNSAFE_PATH", "b.png": "UNSUPPORTED_TYPE", "empty.md": "EMPTY_CONTENT"}
 
 
@@ -196,6 +199,49 @@ def test_sites(spark):
     assert {r.url[-1]: r.depth for r in web.reachable(seeds, links).collect()} == {"1": 0, "2": 1, "3": 2}
 
 
+def test_redirects_and_listings(spark):
+    pages = [("https://a.example/1", 301, "/2"), ("https://a.example/2", 302, "https://a.example/3"), ("https://a.example/3", 200, None), ("https://a.example/x", 301, "https://b.example/"), ("https://a.example/loop", 301, "/loop"), ("https://a.example/gone", 301, "/nowhere"), (None, 200, None)]
+    got = {r.url[18:]: (r.final_url[18:], r.hops, r.skip_code) for r in web.follow_redirects(spark.createDataFrame(pages, "url string, status int, location string")).collect()}
+    assert got == {"1": ("3", 2, None), "2": ("3", 1, None), "3": ("3", 0, None), "x": ("x", 0, "CROSS_ORIGIN_REDIRECT"), "loop": ("loop", 5, "TOO_MANY_REDIRECTS"), "gone": ("nowhere", 1, "NOT_FETCHED")}
+    listed = spark.createDataFrame([("a.example", f"https://a.example/{n}.xml") for n in range(6)] + [("a.example", "https://b.example/x.xml")], "site string, url string")
+    assert sorted((r.url[-5:], r.skip_code) for r in web.feeds_followed(listed).collect() if r.skip_code) == [("4.xml"[-5:], "TOO_MANY_FEEDS"), ("5.xml"[-5:], "TOO_MANY_FEEDS"), ("x.xml"[-5:], "CROSS_ORIGIN")]
+
+
+def test_repository_entries_are_read_by_extension(spark):
+    rows = [("r.zip", 0, "root-main/docs/a.md", 5, None, b"# Head\n\nwords", None), ("r.zip", 1, "root-main/p.html", 5, None, b"<title>T</title><main><p>text</p></main>", None), ("r.zip", 2, "root-main/x.png", 5, None, None, "UNSUPPORTED_TYPE")]
+    docs = {d.origin: (d.title, d.original_path, d.purpose, d.authorship) for d in web.repository_documents(spark.createDataFrame(rows, readers.ENTRY_SCHEMA), "https://h/o/r", "main").collect()}
+    assert docs == {"https://h/o/r/tree/main#docs/a.md": ("Head", "docs/a.md", "reference", "other"), "https://h/o/r/tree/main#p.html": ("T", "p.html", "reference", "other")}
+
+
+def test_commands(spark, tmp_path):
+    from lodestrata import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# Walk\n\nalpha beta")
+    space = str(tmp_path / "space")
+    do = lambda *words: cli.run(spark, cli._parser().parse_args(["--space", space, *words]))
+    entered = do("enter", str(tmp_path / "in"), "--authorship", "other")
+    assert entered["connections"] == 1 and entered["syncs"][0]["state"] == "completed" and entered["overview"]["memories"] == 1
+    job = do("sync-status")["job"]
+    assert (job["imported"], job["unchanged"]) == (1, 0)
+    assert [h["title"] for h in do("search", "alpha")["hits"]] == ["Walk"]
+    (source,) = do("sources")["sources"]
+    assert source["authorship"] == "other" and do("read", source["id"], "--start", "3")["content"] == "alpha beta"
+    archive = store.Archive(spark, space)
+    archive.remove(source["id"])
+    before = set(archive.files.folders())
+    assert archive.vacuum() and set(archive.files.folders()) < before and store.live(archive.tables().sources).isEmpty()
+    with pytest.raises(store.ArchiveError):
+        do("sync", "nobody")
+
+
+def test_stated_dates_that_are_not_real_are_refused(spark):
+    rows = [note("a", "x", occurred_at="2023-02-30"), note("b", "y", occurred_at="２０２３-０１-０２")]
+    tables = added(spark, rows)
+    assert [(r.origin, r.occurred_at) for r in tables.sources.collect()] == [("b", "2023-01-02")]
+    assert [(r.origin, r.code) for r in store.refused(documents(spark, rows)).collect()] == [("a", "INVALID_DATE")]
+
+
 def test_jobs(spark):
     ledger = spark.createDataFrame([], "job_id string, connection_id string, state string, error string, completed int, total int, imported int, unchanged int, skipped int, created_at timestamp, updated_at timestamp")
     for n, state in enumerate(["pending", "running", "completed"]):

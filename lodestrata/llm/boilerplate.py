@@ -40,16 +40,18 @@ KEYS_SENT = 1_000_000
 #: A line that a page repeats more often than this is aligned by the number of its repetition.
 REPEATS = 64
 
-_DIGITS = regex.compile(r"\p{N}+")
-_SPACE = regex.compile(r"[\s\p{Z}\p{Cf}]+")
-_NAME = regex.compile(r"\s(?:[·|–—\-•»:])\s([^·|–—•»]{2,40})$")
-_SENTENCE = regex.compile(r"[.!?。！？…][\"'”’»」』）)]*$")
-_ITEM = regex.compile(r"^(?:[-*•·‣▪◦–+]|\d{1,3}[.)、])\s*")
+_DIGITS = re.compile(r"\d+")
+#: Characters that show nothing and are no spaces.
+_HIDDEN = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb\U000e0001-\U000e007f]")
+_NAME = re.compile(r"\s(?:[·|–—\-•»:])\s([^·|–—•»]{2,40})$")
+_SENTENCE = re.compile(r"[.!?。！？…][\"'”’»」』）)]*$")
+_ITEM = re.compile(r"^(?:[-*•·‣▪◦–+]|\d{1,3}[.)、])\s*")
 _HEADING = re.compile(r"^#{1,6} ")
 _LEAD = re.compile(r"^([^:：。，,.!?]{1,30})[:：]\s*\S")
 _SEPARATED = re.compile(r"\s*(?:\||·|/|•|»|>|›|\s{2,}|\t|、|[,，。！？；]|[.!?;](?=\s|$))\s*")
 _OWNER = regex.compile(r"^(?:©|\(c\)|copyright)\s*(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*(.{2,40}?)(?:\s+\p{Han}{4}|[.,].*)?$", regex.I)
-_WRITING = regex.compile(r"[，,;；]")
+_HAN, _LETTER = re.compile("[\u3400-\u9fff\U00020000-\U0003ffff]"), re.compile(r"[^\W\d_]")
+_WRITING = re.compile(r"[，,;；]")
 
 HEADING, ITEM, SENTENCE, WRITING, WIDE, SUBJECT, MARKED = 1, 2, 4, 8, 16, 32, 64
 
@@ -60,7 +62,9 @@ _NARROW = np.uint64((1 << 48) - 1)
 
 
 def plain(line: str) -> str:
-    return _SPACE.sub(" ", line if line.isascii() else unicodedata.normalize("NFKC", line)).strip()
+    if not line.isascii():
+        line = _HIDDEN.sub(" ", unicodedata.normalize("NFKC", line))
+    return " ".join(line.split())
 
 
 def key_of(kind: str, words: str) -> int:
@@ -94,9 +98,9 @@ def labels_of(words: str) -> list[str]:
     if len(parts) < 2 or max(map(len, parts)) > 40:
         parts = [words] if len(words) <= 24 else []
         spaced = words.split(" ")
-        if 2 <= len(spaced) <= 8 and len(words) <= 60 and regex.search(r"\p{Han}", words):
+        if 2 <= len(spaced) <= 8 and len(words) <= 60 and _HAN.search(words):
             parts = spaced
-    return [p for p in parts if re.search(r"[^\W\d_]", p)]
+    return [p for p in parts if _LETTER.search(p)]
 
 
 def frames_of(words: str, heading: bool) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import conversations, formatdups
+from lodestrata.llm import conversations, formatdups, lookalikes
 
 
 def _quoted(text: str) -> str:
@@ -69,4 +69,61 @@ pieces AS (SELECT item_id, x, need, substring(x, CAST(p * step + 1 AS INT), CAST
 near AS (SELECT DISTINCT d.doc_id, d.t, p.item_id, p.x, p.need FROM docs d JOIN pieces p ON contains(d.t, p.piece))
 SELECT DISTINCT doc_id, item_id FROM near WHERE len(list_filter(range(1, length(x) - need + 2), lambda i: contains(t, substring(x, CAST(i AS INT), CAST(need AS INT))))) > 0"""
 
-ORACLE_SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_copies": P4_COPIES, "p8_found": P8_FOUND}
+_SINGLE = [c for c in [*lookalikes._WIDE, *lookalikes._ALIKE] if len(lookalikes._plain(chr(c))) == 1 and lookalikes._plain(chr(c)) != chr(c)]
+_SOURCE = "".join(map(chr, _SINGLE)) + lookalikes._HYPHENS + lookalikes._SPACES + lookalikes._BREAKS
+_TARGET = "".join(lookalikes._plain(chr(c)) for c in _SINGLE) + "-" * len(lookalikes._HYPHENS) + " " * len(lookalikes._SPACES) + "\n" * len(lookalikes._BREAKS)
+_SEVERAL = [chr(c) for c in lookalikes._ALIKE if len(lookalikes._plain(chr(c))) > 1]
+_UNSEEN = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}\x{0001}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{0084}\x{0086}-\x{009F}]"
+
+
+def _seen(x: str) -> str:
+    out = f"translate(regexp_replace(regexp_replace({x}, {_quoted(_UNSEEN)}, '', 'g'), '\\r\\n?', chr(10), 'g'), {_quoted(_SOURCE)}, {_quoted(_TARGET)})"
+    for char in _SEVERAL:
+        out = f"replace({out}, {_quoted(char)}, {_quoted(lookalikes._plain(char))})"
+    return rf"regexp_replace(regexp_replace(nfc_normalize({out}), '^[ \n]+|[ \n]+$', '', 'g'), ' +\n', chr(10), 'g')"
+
+
+_LETTER = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{M}]"
+_FOREIGN_LETTER = r"[\p{Greek}\p{Cyrillic}\p{Armenian}]"
+
+
+def _to(script: str) -> str:
+    latin = f"translate(token, {_quoted(lookalikes.FOREIGN)}, {_quoted(lookalikes.LATIN)})"
+    if script == "Latin":
+        return f"nfc_normalize({latin})"
+    table = lookalikes.TO_SCRIPT[script.lower()]
+    return f"nfc_normalize(translate({latin}, {_quoted(''.join(map(chr, table)))}, {_quoted(''.join(v if isinstance(v, str) else chr(v) for v in table.values()))}))"
+
+
+_SCRIPTS = ["Armenian", "Cyrillic", "Greek", "Latin"]
+_OPTIONS = " UNION ALL ".join(
+    rf"SELECT token, script, {_quoted(x.lower())} AS target, {_to(x)} AS option, len(regexp_extract_all(token, '\p{{{x}}}')) AS letters, regexp_full_match({_to(x)}, '[\p{{{x}}}\p{{M}}]+') AS pure FROM asked" for x in _SCRIPTS
+)
+
+# The text's script first, then the token's own by number of letters; only what stands in the corpus as a token of one script.
+_P3_FORMS = rf"""WITH raw AS (SELECT DISTINCT 'title' AS field_name, id AS record_key, title AS raw FROM sources WHERE id IS NOT NULL AND title IS NOT NULL UNION SELECT 'content', id, content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL),
+seen AS MATERIALIZED (SELECT *, {_seen('raw')} AS form FROM raw),
+doubted AS MATERIALIZED (SELECT DISTINCT form, CASE WHEN NOT regexp_matches(translate(form, {_quoted(lookalikes.FOREIGN)}, ''), {_quoted(_FOREIGN_LETTER)}) OR (l >= g AND l >= c) THEN 'latin' WHEN c >= g THEN 'cyrillic' ELSE 'greek' END AS script
+  FROM (SELECT form, len(regexp_extract_all(form, '\p{{Latin}}')) AS l, len(regexp_extract_all(form, '\p{{Greek}}')) AS g, len(regexp_extract_all(form, '\p{{Cyrillic}}')) AS c FROM seen WHERE regexp_matches(form, {_quoted(_FOREIGN_LETTER)}))),
+pieces AS MATERIALIZED (SELECT form, script, unnest(p) AS piece, generate_subscripts(p, 1) AS n FROM (SELECT *, regexp_extract_all(form, '{_LETTER}+|[^\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{Armenian}}\p{{M}}]+') AS p FROM doubted)),
+asked AS (SELECT DISTINCT piece AS token, script FROM pieces WHERE regexp_matches(piece, {_quoted(_FOREIGN_LETTER)})),
+vocabulary AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(form, '{_LETTER}+')) AS word FROM (SELECT DISTINCT form FROM seen)),
+options AS ({_OPTIONS}),
+mixed AS (SELECT token, script, count(*) FILTER (letters > 0) AS n_scripts, bool_or(letters > 0 AND target = script) AS own FROM options GROUP BY token, script),
+chosen AS (SELECT o.token, o.script, arg_min(o.option, CASE WHEN o.target = o.script THEN -1000000 ELSE -o.letters END) AS repair FROM options o JOIN mixed m ON m.token = o.token AND m.script = o.script
+  WHERE NOT (m.n_scripts < 2 AND m.own) AND o.pure AND o.option <> o.token AND (o.target = o.script OR o.letters > 0) AND o.option IN (SELECT word FROM vocabulary) GROUP BY o.token, o.script),
+repaired AS (SELECT p.form, string_agg(coalesce(c.repair, p.piece), '' ORDER BY p.n) AS fixed FROM pieces p LEFT JOIN chosen c ON c.token = p.piece AND c.script = p.script GROUP BY p.form),
+final AS MATERIALIZED (SELECT s.field_name, s.record_key, s.raw, coalesce(r.fixed, s.form) AS form FROM seen s LEFT JOIN repaired r USING (form))"""
+
+P3_FOUND = f"""{_P3_FORMS}, several AS (SELECT field_name, form FROM final GROUP BY field_name, form HAVING count(DISTINCT raw) > 1)
+SELECT DISTINCT a.field_name, least(a.record_key, b.record_key) AS key_a, greatest(a.record_key, b.record_key) AS key_b FROM (SELECT * FROM final JOIN several USING (field_name, form)) a
+  JOIN final b ON a.field_name = b.field_name AND a.form = b.form AND a.raw < b.raw AND a.record_key <> b.record_key"""
+
+P3_CLASSES = f"""{_P3_FORMS}, classes AS (SELECT field_name, form, count(*) AS n_records, count(DISTINCT raw) AS n_strings FROM final GROUP BY field_name, form HAVING count(DISTINCT raw) > 1)
+SELECT DISTINCT field_name, upper(md5(form)) AS form_id, record_key, n_records, n_strings FROM final JOIN classes USING (field_name, form)"""
+
+# Every stored row has its form.
+P3_FORMS = f"""{_P3_FORMS} SELECT s.field_name, s.record_key, f.form FROM (SELECT 'title' AS field_name, id AS record_key, title AS raw FROM sources UNION ALL SELECT 'content', id, content FROM chunks) s
+  LEFT JOIN final f ON f.field_name = s.field_name AND f.record_key = s.record_key AND f.raw = s.raw"""
+
+ORACLE_SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_forms": P3_FORMS, "p3_classes": P3_CLASSES, "p4_found": P4_FOUND, "p4_copies": P4_COPIES, "p8_found": P8_FOUND}

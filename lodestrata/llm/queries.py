@@ -91,6 +91,12 @@ def p9_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.document_figures(documents, words, model)
 
 
+def p9_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every document that follow from counts of characters, words and lines."""
+    names = ["n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_ratio", "end_punct_share"]
+    return textstats.document_figures(table(spark, sf_dir, "documents"), []).select("doc_id", *names)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not natural prose."""
     return p9_figures(spark, sf_dir).filter("text_kind != 'prose'").select("doc_id", "text_kind").distinct()
@@ -111,6 +117,7 @@ QUERIES = {
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_figures": p9_figures,
+    "p9_ratios": p9_ratios,
 }
 
 ORACLE_SQL = sql.ORACLE_SQL

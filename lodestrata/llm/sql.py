@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import conversations, formatdups, lookalikes
+from lodestrata.llm import conversations, formatdups, lookalikes, textstats
 
 
 def _quoted(text: str) -> str:
@@ -126,4 +126,23 @@ SELECT DISTINCT field_name, upper(md5(form)) AS form_id, record_key, n_records,
 P3_FORMS = f"""{_P3_FORMS} SELECT s.field_name, s.record_key, f.form FROM (SELECT 'title' AS field_name, id AS record_key, title AS raw FROM sources UNION ALL SELECT 'content', id, content FROM chunks) s
   LEFT JOIN final f ON f.field_name = s.field_name AND f.record_key = s.record_key AND f.raw = s.raw"""
 
-ORACLE_SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_forms": P3_FORMS, "p3_classes": P3_CLASSES, "p4_found": P4_FOUND, "p4_copies": P4_COPIES, "p8_found": P8_FOUND}
+# Han characters become one of them, broken ones a sign, so that classes are Unicode's.
+_HAN = r"[\x{2E80}-\x{2FDF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+_BROKEN = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in textstats.BROKEN) + "]"
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(x, {_quoted(pattern)}))"
+
+
+_ENDED = f"[{textstats.ENDS}]$|[{textstats.ENDS}][{textstats.QUOTES.replace(']', chr(92) + ']')}]$"
+
+P9_RATIOS = rf"""WITH plain AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(regexp_replace(coalesce(text, ''), {_quoted(_BROKEN)}, '+', 'g'), {_quoted(_HAN)}, '一', 'g') AS x FROM documents),
+counted AS (SELECT doc_id, n_chars, regexp_replace(x, '一', ' ', 'g') AS spaced, len(regexp_extract_all(x, '一')) AS n_han, {_count(r'[^\p{Z}\p{Cc}\p{Cf}\p{Cs}]')} AS n_shown, {_count(r'\p{N}')} AS n_digits, {_count(r'\p{P}')} AS n_punct, {_count(r'[\p{S}\p{Co}]')} AS n_symbols,
+  list_filter(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(l, '[\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '')), lambda l: regexp_matches(l, '[^\p{{Z}}\p{{Cc}}\p{{Cf}}]') AND NOT regexp_matches(l, '^[\p{{Z}}\p{{Cc}}\p{{Cf}}]*#(?:[\p{{Z}}\p{{Cc}}]|$|#(?:[\p{{Z}}\p{{Cc}}]|$|#))')) AS lines FROM plain),
+runs AS (SELECT *, regexp_extract_all(spaced, '[\p{{L}}\p{{M}}\p{{N}}]+') AS words FROM counted)
+SELECT doc_id, n_chars, len(words) + n_han AS n_words, len(lines) AS n_lines, CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda w: length(w)))::DOUBLE / len(words) ELSE 0 END AS mean_word_length,
+  n_symbols::DOUBLE / greatest(n_shown, 1) AS symbol_ratio, n_digits::DOUBLE / greatest(n_shown, 1) AS digit_ratio, n_punct::DOUBLE / greatest(n_shown, 1) AS punct_ratio,
+  len(list_filter(lines, lambda l: regexp_matches(l, {_quoted(_ENDED)})))::DOUBLE / greatest(len(lines), 1) AS end_punct_share FROM runs"""
+
+ORACLE_SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_forms": P3_FORMS, "p3_classes": P3_CLASSES, "p4_found": P4_FOUND, "p4_copies": P4_COPIES, "p8_found": P8_FOUND, "p9_ratios": P9_RATIOS}

@@ -41,3 +41,20 @@ def test_null_empty_long(spark):
     # Bodies without letters and digits are equal but for formatting.
     assert got == {"b": "b", "c": "b", "d": "d", "e": "d", "f": "b"}
     assert D.collapse(rows.limit(0), "hash", "content").isEmpty()
+
+
+def test_a_hot_group_without_spark_choosing_broadcasts(spark):
+    bodies = [f"one{' ' * (n % 40)}body{'.' * (n // 40)}" for n in range(400)] + [f"other {n}" for n in range(800)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(hashlib.sha256(b.encode()).hexdigest(), b) for b in bodies], "hash string, content string")
+        df = D.collapse(rows, "hash", "content", hot_rows=300, salts=5)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # No row moves by the hot key alone: it is marked by a broadcast and spread by salts.
+        assert plan.count("BroadcastHashJoin") >= 2
+        got = {r.hash: r.rep_hash for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    hot = [hashlib.sha256(b.encode()).hexdigest() for b in bodies[:400]]
+    assert len(got) == 1200 and {got[h] for h in hot} == {min(hot)}

@@ -46,3 +46,12 @@ def test_pairs(spark, copies):
 def test_visible_form_of_long_text(spark):
     long = "ａ​" * 50_000
     assert spark.createDataFrame([(long,)], "s string").select(L.visible_form(F.col("s"))).head()[0] == "a" * 50_000
+
+
+def test_classes_give_the_pairs(spark):
+    rows = [("t", f"p{n}", "plain title") for n in range(60)] + [("t", f"z{n}", "plаin title") for n in range(3)] + [("t", "w", "plain  title"), ("c", "y", "plain title"), ("t", "z0", "plаin title"), ("t", None, "plаin title")]
+    df = spark.createDataFrame(rows, "field_name string, record_key string, raw string").withColumn("raw_id", L.string_id(F.col("raw")))
+    formed = lambda: L.consistent_form(df, ["field_name", "record_key", "raw_id"], "raw")
+    classes = L.alike_classes(formed()).collect()
+    assert {(r.n_records, r.n_strings) for r in classes} == {(63, 2)} and len(classes) == 63
+    assert L.alike_pairs(formed()).count() == 180

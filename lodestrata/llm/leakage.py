@@ -34,7 +34,7 @@ SHORT = 24
 #: Coordinates of the hashed terms, dimensions of the latent space, and those added while it is found.
 TERMS, RANK, OVERSAMPLING = 1 << 14, 40, 8
 #: Least cosine of a candidate, and of one whose wording is compared.
-LEAST_COSINE, REWORDED_COSINE = 0.6, 0.75
+LEAST_COSINE, REWORDED_COSINE = 0.2, 0.75
 #: Share of an item's terms in common order, and of its answer, that make a reworded passage.
 LEAST_COMMON, LEAST_ANSWER = 0.6, 0.8
 #: Terms that make up an answer: the item's numbers, then its rarest terms, without those of its question.

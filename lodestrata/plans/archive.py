@@ -542,6 +542,36 @@ def feed_parse(spark, d):
     return web.feed_urls(spark.createDataFrame([("a.example", rss), ("b.example", atom)], "site string, body string"))
 
 
+_MOVED = "SELECT url, CASE WHEN length(url) % 3 <> 0 THEN lead(url) OVER (PARTITION BY site ORDER BY url) END AS location FROM (SELECT DISTINCT site, url FROM web_pages WHERE url IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED ({_MOVED}), r(url, at_url, hops) AS (SELECT url, url, 0 FROM p UNION ALL SELECT r.url, p.location, r.hops + 1 FROM r JOIN p ON p.url = r.at_url WHERE p.location IS NOT NULL AND r.hops < 5)
+SELECT r.url, r.at_url AS final_url, CAST(r.hops AS INT) AS hops, CASE WHEN p.location IS NOT NULL THEN 'TOO_MANY_REDIRECTS' END AS skip_code FROM r JOIN p ON p.url = r.at_url QUALIFY row_number() OVER (PARTITION BY r.url ORDER BY r.hops DESC) = 1""")
+def redirects(spark, d):
+    """Where redirects lead, if two in three pages have moved to the next of their site."""
+    pages = table(spark, d, "web_pages").select("site", "url").filter("url is not null").distinct()
+    moved = F.when(F.length("url") % 3 != 0, F.lead("url").over(Window.partitionBy("site").orderBy("url")))
+    fetched = pages.select("url", moved.alias("location")).withColumn("status", F.when(F.col("location").isNotNull(), 301).otherwise(200))
+    return web.follow_redirects(fetched)
+
+
+@query("""SELECT site, url, CASE WHEN NOT coalesce(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) = lower(site), FALSE) THEN 'CROSS_ORIGIN' WHEN row_number() OVER (PARTITION BY site ORDER BY url) > 16 THEN 'TOO_MANY_SITEMAPS' END AS skip_code
+FROM (SELECT DISTINCT site, url FROM web_pages WHERE url IS NOT NULL)""")
+def sitemap_limits(spark, d):
+    """Which sitemaps of a site are read, if each of its pages were one."""
+    return web.sitemaps_followed(table(spark, d, "web_pages").filter("url is not null").select("site", "url"))
+
+
+@query(f"""WITH b AS (SELECT hash, regexp_replace(regexp_replace(regexp_replace(replace(content, chr(0), ''), '^\\x{{FEFF}}+', ''), '\\r\\n?', chr(10), 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS body FROM {sql.OBJECTS}), t AS (SELECT *, list_filter(string_split(body, chr(10)), lambda l: l LIKE '# %' AND regexp_matches(substring(l, 3), '\\S'))[1] AS heading FROM b WHERE body <> '')
+SELECT 'https://code.example/o/r/tree/main#docs/' || hash || '.md' AS origin, coalesce(regexp_replace(substring(heading, 3), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), hash) AS title, sha256(body) AS digest, 'reference' AS purpose, 'other' AS authorship FROM t""")
+def repository_entries(spark, d):
+    """The documents of a repository that holds every body as a Markdown file."""
+    name = F.concat(F.lit("root-1/docs/"), "hash", F.lit(".md"))
+    entries = _objects(spark, d).select(F.lit("r.zip").alias("archive"), name.alias("name"), F.lit(None).cast("string").alias("modified_at"), F.encode("content", "UTF-8").alias("data"), F.lit(None).cast("string").alias("skip_code"))
+    rows = web.repository_documents(entries, "https://code.example/o/r", "main")
+    return rows.select("origin", "title", F.sha2("content", 256).alias("digest"), "purpose", "authorship")
+
+
 @query("""SELECT DISTINCT 'wiki/' || coalesce(slug, CAST(id AS VARCHAR)) AS origin, CAST(id AS VARCHAR) AS external_id, user_name AS author, coalesce(nullif(trim(body_markdown, ' '), ''), nullif(trim(body_html, ' '), ''), nullif(trim(description, ' '), '')) AS content FROM yuque_docs""")
 def wiki_documents(spark, d):
     """Documents of a wiki with the first body that has text."""

@@ -69,8 +69,8 @@ def bm25(index: DataFrame, stored: DataFrame, terms: list[tuple[int, str]]) -> D
     spark = index.sparkSession
     asked = spark.createDataFrame(terms, "query_no int, token string")
     tokens = sorted({t for _, t in terms})
-    buckets = sorted({r.b for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket_of(F.col("t")).alias("b")).collect()}) if tokens else []
-    hits = index.filter(F.col("bucket").isin(buckets) & F.col("token").isin(tokens)) if tokens else index.limit(0)
+    # The buckets of literals are known when the plan is made, so they reach the scan.
+    hits = index.filter(F.col("bucket").isin(*[bucket_of(F.lit(t)) for t in tokens]) & F.col("token").isin(tokens)) if tokens else index.limit(0)
     frequency = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # One row per term, and one row of totals.
     weighted = hits.join(F.broadcast(asked.join(frequency, "token")), "token").join(F.broadcast(corpus_statistics(stored)))

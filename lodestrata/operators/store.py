@@ -267,14 +267,17 @@ def status(sources: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def doctor(tables: Tables) -> DataFrame:
     """(problem, n): sources without body, bodies under a wrong hash, repeated ids, chunks without body, chunks that are not indexed."""
+    # Ids are counted together, not joined: the index has many rows of few bytes, which Spark might take for a table to broadcast.
+    ids = tables.chunks.select("id", F.lit(1).alias("rows")).unionAll(tables.postings.select("chunk_id", F.lit(0)))
     found = [
         ("source_without_object", tables.sources.join(tables.objects, F.col("object_hash") == F.col("hash"), "left_anti")),
         ("wrong_hash", tables.objects.filter(F.sha2("content", 256) != F.col("hash"))),
         ("repeated_source", tables.sources.groupBy("id").count().filter("count > 1")),
         ("chunk_without_object", tables.chunks.join(tables.objects, F.col("object_hash") == F.col("hash"), "left_anti")),
-        ("chunk_not_indexed", tables.chunks.join(tables.postings, F.col("id") == F.col("chunk_id"), "left_anti")),
     ]
     rows = [df.agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n")) for name, df in found]
+    alone = ids.groupBy("id").agg(F.sum("rows").alias("rows"), F.min("rows").alias("least")).filter("least = 1")
+    rows.append(alone.agg(F.lit("chunk_not_indexed").alias("problem"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import chunking, dates, html, text, urls
 from lodestrata.operators import connections, jobs, search, store
+from lodestrata.plans import archive as plans
 from lodestrata.session import cut_lineage
 from lodestrata.sources import readers, web
 
@@ -70,6 +72,21 @@ def test_same_body_two_origins(spark):
     assert all(r.n == 0 for r in store.doctor(tables).collect())
 
 
+def test_doctor_counts_passages_without_index_rows(spark):
+    tables = added(spark, [note("a", "some words"), note("b", "。。"), note("c", "more words")])
+    tables.chunks = tables.chunks.unionAll(tables.chunks.filter("content = '。。'"))
+    assert {r.problem: r.n for r in store.doctor(tables).collect() if r.n} == {"chunk_not_indexed": 2}
+    plan = store.doctor(tables)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[id#\d+\], \[chunk_id#", plan)
+
+
+def test_doctor_query_stores_no_index(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_INDEXES", {})
+    monkeypatch.setattr(plans, "cut_lineage", lambda df: pytest.fail("the index is stored"))
+    report = plans.doctor(spark, "/root/testdata/sf0.001")
+    assert {r.problem: r.n for r in report.collect()}.keys() == {"source_without_object", "wrong_hash", "repeated_source", "chunk_without_object", "chunk_not_indexed"}
+
+
 def test_repeat_import_keeps_what_was_marked(spark):
     tables = added(spark, [note("a", "body", title="first title")])
     source = tables.sources.head().id

@@ -45,6 +45,8 @@ GRAMS = (28, 14, 7, 3, 1)
 BLOCK_ITEMS = 4096
 SLICE_CHARS = 1_000_000
 _BLOCK = 512
+#: Vectors gathered at once, passages compared with the items at once, and places that a term's sum takes at once.
+_GATHERED, _COMPARED, _PIECE = 1 << 14, 1024, 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -188,15 +190,26 @@ def _slices(batch):
         start = stop
 
 
-def _sums(begin: np.ndarray, coordinate: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For every row, which begins at ``begin``, the sum of its coordinates' vectors."""
-    out = np.zeros((len(begin) - 1, table.shape[1]), np.float32)
-    full = np.flatnonzero(begin[1:] > begin[:-1])
-    # Some rows at a time, so that the gathered vectors stay small.
-    for at in range(0, len(full), 2048):
-        some = full[at : at + 2048]
-        low, high = begin[some[0]], begin[some[-1] + 1]
-        out[some] = np.add.reduceat(table.take(coordinate[low:high], axis=0), begin[some] - low, axis=0)
+def _sums(begin: np.ndarray, coordinate: np.ndarray, table: np.ndarray, piece: int) -> np.ndarray:
+    """For every row, which begins at ``begin``, the sum of its coordinates' vectors.
+
+    Rows are filled up to whole pieces with a vector of zeros, since products with
+    ones add pieces of one length several times faster than ``reduceat`` adds rows.
+    """
+    sizes = np.diff(begin)
+    edges = np.concatenate(([0], np.cumsum(-(-sizes // piece))))
+    filled = np.full(edges[-1] * piece, len(table), np.intp)
+    filled[np.arange(len(coordinate)) + np.repeat(edges[:-1] * piece - begin[:-1], sizes)] = coordinate
+    filled = filled.reshape(-1, piece)
+    table = np.concatenate((table, np.zeros((1, table.shape[1]), table.dtype)))
+    sums, ones, step = np.empty((len(filled), table.shape[1]), np.float32), np.ones((1, piece), np.float32), _GATHERED // piece
+    # Some pieces at a time, so that the gathered vectors stay in the processor's cache.
+    for at in range(0, len(filled), step):
+        sums[at : at + step] = np.matmul(ones, table.take(filled[at : at + step], axis=0, mode="clip"))[:, 0]
+    out = np.zeros((len(sizes), table.shape[1]), np.float32)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = sums if len(sums) == len(full) else np.add.reduceat(sums, edges[full], axis=0)
     return out
 
 
@@ -250,7 +263,7 @@ def _latent_basis(documents: DataFrame, idf: np.ndarray, seed: int = 7) -> np.nd
         for batch in batches:
             for _, part in _slices(batch):
                 coordinate, begin, before = part.cells()
-                image = _passages(_sums(begin, coordinate, weighted), before)
+                image = _passages(_sums(begin, coordinate, weighted, CELL), before)
                 square += image.T.astype(float) @ image
                 # A term's cell is in the passage that begins there and in the one before.
                 double = image.copy()
@@ -260,7 +273,7 @@ def _latent_basis(documents: DataFrame, idf: np.ndarray, seed: int = 7) -> np.nd
                 double[inner] += image[inner - 1]
                 order = np.argsort(coordinate, kind="stable")
                 cell = np.repeat(np.arange(before[-1]), np.diff(begin))
-                products += _sums(np.searchsorted(coordinate[order], np.arange(TERMS + 1)), cell[order], double)
+                products += _sums(np.searchsorted(coordinate[order], np.arange(TERMS + 1)), cell[order], double, _PIECE)
         products *= idf[:, None].astype(np.float32)
         blocks = [b for b in range(0, TERMS, _BLOCK) if products[b : b + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
@@ -302,7 +315,17 @@ def _latent(part: Slice, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray
     """Latent vectors of all passages, of unit length, and the number of passages before each text."""
     coordinate, begin, before = part.cells()
     weighted = basis * idf[:, None].astype(np.float32)
-    return _unit(_passages(_sums(begin, coordinate, weighted), before)), before
+    return _unit(_passages(_sums(begin, coordinate, weighted, CELL), before)), before
+
+
+def _index(keys: np.ndarray, wanted: np.ndarray, end: int) -> np.ndarray:
+    """Where each wanted number stands in ``keys`` (sorted, below ``end``), -1 where it doesn't."""
+    if end <= 1 << 24:
+        table = np.full(end, -1, np.int32)
+        table[keys] = np.arange(len(keys))
+        return table.take(wanted)
+    at = np.searchsorted(keys, wanted)
+    return np.where(np.append(keys, -1)[at] == wanted, at, -1)
 
 
 class Items:
@@ -314,7 +337,13 @@ class Items:
         self.chars = np.diff(part.starts) - 1
         self.need = np.maximum(1, -(-self.chars // 2))
         self.latent, before = _latent(part, idf, basis)
-        self.item_of = np.repeat(np.arange(len(ids)), np.diff(before))
+        self.edges = before
+        # Passages by their number within the item, those of items with many passages first: the ones of a number stand side by side.
+        sizes = np.diff(before)
+        by_size = np.argsort(-sizes, kind="stable")
+        self.column = np.argsort(by_size)
+        self.ranked = np.concatenate([self.latent[before[by_size[sizes[by_size] > k]] + k] for k in range(sizes.max())])
+        self.ranks = np.concatenate(([0], np.cumsum([np.count_nonzero(sizes > k) for k in range(sizes.max())])))
         text = part.text_of(part.place)
         self.terms = [part.term[text == n] for n in range(len(ids))] if len(ids) < 64 else np.split(part.term, np.searchsorted(text, np.arange(1, len(ids))))
         asked = Slice(questions)
@@ -336,6 +365,9 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.answer_terms, first = np.unique(flat[order], return_index=True)
         self.answer_begin, self.answer_items = np.concatenate((first, [len(flat)])), np.repeat(np.arange(len(ids)), sizes)[order]
+        self.answer_sizes, self.answer_keys = sizes, np.repeat(np.arange(len(first)), np.diff(self.answer_begin)) * len(ids) + self.answer_items
+        self.answer_mask = np.zeros(1 << 20, bool)
+        self.answer_mask[(self.answer_terms >> np.uint64(44)).astype(np.int64)] = True
         # The gram of an item is shorter than the half that is sought, so every such half holds one.
         gram_of = np.array([next((g for g in GRAMS if g <= max(1, n * 6 // 10)), 1) for n in self.need])
         self.classes = []
@@ -354,43 +386,70 @@ class Items:
     def nearest(self, vectors: np.ndarray, before: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, cosine) of the texts and items whose nearest passages are candidates, by text and item."""
         found = []
-        edges = np.searchsorted(self.item_of, np.arange(len(self.ids) + 1))
-        # Blocks of whole texts of about 4,096 passages, and of items.
-        cuts = np.unique(np.searchsorted(before, np.arange(0, before[-1], 4096)))
+        # Blocks of whole texts, and of the passages of these.
+        cuts = np.unique(np.searchsorted(before, np.arange(0, before[-1], _COMPARED)))
         cuts = np.concatenate((cuts[cuts < len(before) - 1], [len(before) - 1]))
         for first, last in zip(cuts[:-1], cuts[1:]):
-            there = vectors[before[first] : before[last]].T
-            for low in range(0, len(self.ids), 512):
-                high = min(low + 512, len(self.ids))
-                cosine = self.latent[edges[low] : edges[high]] @ there
-                cosine = np.maximum.reduceat(cosine, edges[low:high] - edges[low], axis=0)
-                cosine = np.maximum.reduceat(cosine, before[first:last] - before[first], axis=1)
-                cosine[self.chars[low:high] < SHORT] = 1
-                item, text = np.nonzero(cosine >= least)
-                found.append((text + first, item + low, cosine[item, text]))
-        text, item, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-        order = np.lexsort((item, text))
-        return text[order], item[order], cosine[order]
+            best = np.full((last - first, len(self.ids)), -2, np.float32)
+            for low in range(before[first], before[last], _COMPARED):
+                high = min(low + _COMPARED, before[last])
+                there = vectors[low:high].T
+                cosine = self.ranked[: self.ranks[1]] @ there
+                for begin, end in zip(self.ranks[1:-1], self.ranks[2:]):
+                    np.maximum(cosine[: end - begin], self.ranked[begin:end] @ there, out=cosine[: end - begin])
+                one, other = np.searchsorted(before, low, side="right") - 1, np.searchsorted(before, high)
+                nearest = np.maximum.reduceat(cosine, np.maximum(before[one:other] - low, 0), axis=1).T
+                np.maximum(best[one - first : other - first], nearest, out=best[one - first : other - first])
+            best = best[:, self.column]
+            best[:, self.chars < SHORT] = 1
+            text, item = np.nonzero(best >= least)
+            found.append((text + first, item, best[text, item]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+
+    def between(self, vectors: np.ndarray, before: np.ndarray, text: int, item: int) -> np.ndarray:
+        """Cosines of a text's passages and an item's, the same whatever else is searched (products of larger matrices may differ in the last digits)."""
+        return vectors[before[text] : before[text + 1]] @ self.latent[self.edges[item] : self.edges[item + 1]].T
 
     def nearest_passage(self, vectors: np.ndarray, before: np.ndarray, text: int, item: int) -> int:
-        low, high = np.searchsorted(self.item_of, (item, item + 1))
-        return int(before[text] + np.argmax((vectors[before[text] : before[text + 1]] @ self.latent[low:high].T).max(axis=1)))
+        return int(before[text] + np.argmax(self.between(vectors, before, text, item).max(axis=1)))
 
-    def answered(self, part: Slice, wanted: np.ndarray) -> np.ndarray:
+    def answer_hits(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a slice's terms that stand in an answer, in order, and which of the answers' terms each is."""
+        maybe = np.flatnonzero(self.answer_mask[(part.term >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.answer_terms, part.term[maybe]), max(len(self.answer_terms) - 1, 0))
+        true = self.answer_terms[at] == part.term[maybe] if len(maybe) else np.zeros(0, bool)
+        return part.place[maybe[true]], at[true]
+
+    def answered(self, part: Slice, hits: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
         """Which of the wanted pairs (sorted keys text * items + item) have enough of the item's answer anywhere in the text."""
-        if not len(self.answer_terms) or not len(wanted):
+        once = np.unique(part.text_of(hits[0]) * len(self.answer_terms) + hits[1])
+        if not len(once) or not len(wanted):
             return np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(self.answer_terms, part.term), len(self.answer_terms) - 1)
-        hit = np.flatnonzero(self.answer_terms[at] == part.term)
-        once = np.unique(part.text_of(part.place[hit]) * len(self.answer_terms) + at[hit])
         text, which = once // len(self.answer_terms), once % len(self.answer_terms)
         times = self.answer_begin[which + 1] - self.answer_begin[which]
         spot = np.repeat(self.answer_begin[which] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        pair = np.repeat(text, times) * len(self.ids) + self.answer_items[spot]
-        place = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-        counts = np.bincount(place[wanted[place] == pair], minlength=len(wanted))
+        place = _index(wanted, np.repeat(text, times) * len(self.ids) + self.answer_items[spot], (len(part.starts) - 1) * len(self.ids))
+        counts = np.bincount(place[place >= 0], minlength=len(wanted))
         return (counts >= self.least_answer[wanted % len(self.ids)]) & (counts > 0)
 
+    def answer_shares(self, hits: tuple[np.ndarray, np.ndarray], item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Shares of the items' answers that stand between two places, for any number of items with their places."""
+        first, last = np.searchsorted(hits[0], low), np.searchsorted(hits[0], high)
+        counts = np.zeros(len(item), np.int64)
+        # Some items at a time, so that the hits between their places stay few.
+        ends = np.cumsum(last - first)
+        cuts = np.unique(np.concatenate((np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1 << 20)), [len(item)])))
+        for one, other in itertools.pairwise(np.unique(np.append(0, cuts)).tolist()):
+            times = (last - first)[one:other]
+            source = np.repeat(np.arange(one, other), times)
+            spot = np.repeat(first[one:other] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(source))
+            key = hits[1][spot] * len(self.ids) + item[source]
+            at = np.minimum(np.searchsorted(self.answer_keys, key), len(self.answer_keys) - 1)
+            true = self.answer_keys[at] == key
+            once = np.unique(source[true] * len(self.answer_keys) + at[true])
+            counts += np.bincount(once // len(self.answer_keys), minlength=len(item))
+        return counts / np.maximum(1, self.answer_sizes[item])
+
     def stretches(self, part: Slice, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, longest stretch in common) of wanted pairs, sorted keys text * items + item; pairs without a common gram are left out."""
         n = len(self.ids)
@@ -406,7 +465,7 @@ class Items:
             spot = np.repeat(begin[which] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(source))
             text, item = part.text_of(place)[source], items[spot]
             pair = text * n + item
-            keep = wanted[np.minimum(np.searchsorted(wanted, pair), max(len(wanted) - 1, 0))] == pair if len(wanted) else np.zeros(len(pair), bool)
+            keep = _index(wanted, pair, (len(part.starts) - 1) * n) >= 0
             pair, here, there = pair[keep], place[source][keep], places[spot[keep]]
             if not len(pair):
                 continue
@@ -435,22 +494,6 @@ def common_terms(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _reworded(items: Items, part: Slice, vectors: np.ndarray, before: np.ndarray, text: int, item: int) -> tuple[float, float]:
-    """Shares of an item's terms that stand in the same order around the text's nearest passage, and of its answer there."""
-    terms, answer = items.terms[item], items.answers[item]
-    if not len(terms) or not len(answer):
-        return 0.0, 0.0
-    # As much text on either side of the passage as the item is long.
-    middle = part.starts[text] + (items.nearest_passage(vectors, before, text, item) - before[text]) * CELL
-    low = max(part.starts[text], middle - int(items.chars[item]))
-    high = min(part.starts[text + 1], middle + 2 * CELL + int(items.chars[item]))
-    there = part.term[slice(*np.searchsorted(part.place, (low, high)))]
-    answered = float(np.isin(answer, there).mean())
-    if answered < LEAST_ANSWER:
-        return 0.0, answered
-    return common_terms(terms, there) / len(terms), answered
-
-
 def _found(items: Items, idf: np.ndarray, basis: np.ndarray, ids: pa.Array, part: Slice, least_cosine: float) -> pa.RecordBatch:
     vectors, before = _latent(part, idf, basis)
     text, item, cosine = items.nearest(vectors, before, least_cosine)
@@ -461,11 +504,22 @@ def _found(items: Items, idf: np.ndarray, basis: np.ndarray, ids: pa.Array, part
     exact = (shared >= items.need[item]) & (items.chars[item] > 0)
     rows = [(k, "stretch", None, None) for k in np.flatnonzero(exact)]
     maybe = np.flatnonzero(~exact & (cosine >= REWORDED_COSINE))
-    for k in maybe[items.answered(part, pair[maybe])]:
-        common, answered = _reworded(items, part, vectors, before, int(text[k]), int(item[k]))
+    hits = items.answer_hits(part)
+    maybe = maybe[items.answered(part, hits, pair[maybe])]
+    # Around the nearest passage, as much text on either side of it as the item is long.
+    passage = np.array([items.nearest_passage(vectors, before, t, i) for t, i in zip(text[maybe].tolist(), item[maybe].tolist())], np.int64)
+    middle = part.starts[text[maybe]] + (passage - before[text[maybe]]) * CELL
+    low = np.maximum(part.starts[text[maybe]], middle - items.chars[item[maybe]])
+    high = np.minimum(part.starts[text[maybe] + 1], middle + 2 * CELL + items.chars[item[maybe]])
+    answered = items.answer_shares(hits, item[maybe], low, high)
+    for n in np.flatnonzero(answered >= LEAST_ANSWER):
+        terms = items.terms[item[maybe[n]]]
+        # The item's terms that stand in the same order there.
+        common = common_terms(terms, part.term[slice(*np.searchsorted(part.place, (low[n], high[n])))]) / len(terms)
         if common >= LEAST_COMMON:
-            rows.append((k, "reworded", common, answered))
+            rows.append((maybe[n], "reworded", common, float(answered[n])))
     at = np.array([r[0] for r in rows], np.int64)
+    near = [1.0 if items.chars[item[k]] < SHORT else float(items.between(vectors, before, int(text[k]), int(item[k])).max()) for k in at.tolist()]
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(text[at], pa.int64())),
@@ -475,7 +529,7 @@ def _found(items: Items, idf: np.ndarray, basis: np.ndarray, ids: pa.Array, part
             pa.array(items.chars[item[at]], pa.int32()),
             pa.array([r[2] for r in rows], pa.float64()),
             pa.array([r[3] for r in rows], pa.float64()),
-            pa.array(cosine[at], pa.float64()),
+            pa.array(near, pa.float64()),
         ],
         [f.split()[0] for f in SCHEMA.split(", ")],
     )

@@ -1,4 +1,8 @@
 import random
+import time
+import tracemalloc
+
+import numpy as np
 
 from lodestrata.llm import leakage as K
 
@@ -98,8 +102,6 @@ def test_items_in_blocks_give_the_same(spark):
 
 
 def test_common_terms_is_a_longest_common_subsequence():
-    import numpy as np
-
     random.seed(1)
     for _ in range(200):
         a, b = ([random.randint(0, 4) for _ in range(random.randint(0, 90))] for _ in range(2))
@@ -108,3 +110,79 @@ def test_common_terms_is_a_longest_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert K.common_terms(np.array(a), np.array(b)) == table[-1][-1]
+
+
+def prepared(texts, questions=None):
+    basis = np.random.default_rng(5).standard_normal((K.TERMS, K.RANK)).astype(np.float32)
+    return K.Items(list(range(len(texts))), texts, questions or [""] * len(texts), np.ones(K.TERMS), basis)
+
+
+def test_sums_are_right_and_take_a_fraction_of_reduceat():
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((5000, 48)).astype(np.float32)
+    sizes = rng.integers(0, 65, 4000)
+    sizes[:3], sizes[-2:] = 0, (1, 0)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    coordinate = rng.integers(0, len(table), begin[-1])
+    full = np.flatnonzero(sizes)
+    wanted = np.zeros((len(sizes), 48), np.float32)
+
+    def least(f):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    def plain_sums():
+        wanted[full] = np.add.reduceat(table.take(coordinate, axis=0), begin[full], axis=0)
+
+    slow = least(plain_sums)
+    for piece in (K._PIECE, K.CELL):
+        assert np.allclose(K._sums(begin, coordinate, table, piece), wanted, atol=1e-4)
+    assert least(lambda: K._sums(begin, coordinate, table, K.CELL)) < slow / 2
+    assert not K._sums(np.zeros(4, int), coordinate[:0], table, K.CELL).any()
+
+
+def test_nearest_passages_against_brute_force_in_little_memory():
+    random.seed(8)
+    rng = np.random.default_rng(8)
+    items = prepared([" ".join(random.choice(WORDS) for _ in range(random.choice([1, 12, 60, 200]))) for _ in range(500)])
+    sizes = np.array([1, 3, 2500, 1, 17, 20000, 2, 1100])
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    vectors = K._unit(rng.standard_normal((before[-1], K.RANK)).astype(np.float32))
+    tracemalloc.start()
+    text, item, cosine = items.nearest(vectors, before, 0.4)
+    assert tracemalloc.get_traced_memory()[1] < 25e6
+    tracemalloc.stop()
+    wanted = {}
+    for t in range(len(sizes)):
+        for i in range(len(items.ids)):
+            top = float((items.latent[items.edges[i] : items.edges[i + 1]] @ vectors[before[t] : before[t + 1]].T).max())
+            if items.chars[i] < K.SHORT or top >= 0.4:
+                wanted[t, i] = 1 if items.chars[i] < K.SHORT else top
+    assert list(zip(text.tolist(), item.tolist())) == sorted(wanted) and np.allclose(cosine, [wanted[k] for k in sorted(wanted)], atol=1e-5)
+
+
+def test_answers_between_places_against_brute_force():
+    random.seed(6)
+    texts = [" ".join([random.choice(WORDS) for _ in range(30)] + [str(random.randint(1, 30)) for _ in range(5)]) for _ in range(40)]
+    items = prepared(texts, ["alder birch"] * 40)
+    part = K.Slice([" ".join(random.choice([*WORDS, *map(str, range(30))]) for _ in range(random.choice([0, 50, 300]))) for _ in range(30)])
+    hits = items.answer_hits(part)
+    item, low = np.array([random.randrange(40) for _ in range(200)]), np.array([random.randrange(len(part.kept)) for _ in range(200)])
+    high = low + 150
+    wanted = [np.isin(items.answers[i], part.term[slice(*np.searchsorted(part.place, (a, b)))]).mean() for i, a, b in zip(item, low, high)]
+    assert any(wanted) and items.answer_shares(hits, item, low, high).tolist() == wanted
+    pairs = np.sort(np.unique([random.randrange(30 * 40) for _ in range(400)]))
+    text_of = part.text_of(part.place)
+    enough = [np.isin(items.answers[p % 40], part.term[text_of == p // 40]).sum() >= items.least_answer[p % 40] for p in pairs]
+    assert any(enough) and items.answered(part, hits, pairs).tolist() == enough
+
+
+def test_index_of_numbers_in_small_and_large_ranges():
+    keys, asked = np.array([2, 5, 9]), np.array([0, 2, 9, 5, 8])
+    for end in (10, 1 << 25):
+        assert K._index(keys, asked, end).tolist() == [-1, 0, 2, 1, -1]
+        assert K._index(keys[:0], asked, end).tolist() == [-1] * 5
